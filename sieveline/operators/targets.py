@@ -16,8 +16,6 @@ from ..params import (
 from .ledger import n
 from .ordering import dense_index
 
-NO_TERMS = F.lit(None).cast("array<string>")
-
 
 def words(column: Column) -> Column:
     """A keyword array as one text."""

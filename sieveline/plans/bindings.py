@@ -126,7 +126,7 @@ class Tables:
         k = F.col("o_orderkey")
         return self.read("orders").select(
             F.col("o_orderpriority").alias("compound"), (F.col("o_custkey") % n_targets).alias("target"),
-            (-(k % 50).cast("double") / 4).alias("score"))
+            (-(k % 50 + 1).cast("double") / 4).alias("score"))
 
     @cached_property
     def abstracts(self) -> DataFrame:
@@ -187,5 +187,5 @@ VIEWS = {
         round(CAST(embedding[1] AS DOUBLE) * 60, 3) AS x, round(CAST(embedding[2] AS DOUBLE) * 60, 3) AS y,
         round(CAST(embedding[3] AS DOUBLE) * 60, 3) AS z, vec_id % 5 = 0 AS is_ligand FROM embeddings""",
     "known_actives": """SELECT o_orderpriority AS compound, o_custkey % (SELECT count(*) FROM supplier) AS target,
-        -CAST(o_orderkey % 50 AS DOUBLE) / 4 AS score FROM orders""",
+        -CAST(o_orderkey % 50 + 1 AS DOUBLE) / 4 AS score FROM orders""",
 }
