@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,10 +39,11 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 def explode_drops(drops: DataFrame) -> DataFrame:
     """Facts of batch drops, tagged by section; a fact without ``exh`` takes the drop's."""
-    tagged = F.concat(*[
-        F.transform(F.coalesce(F.col(s), F.array().cast(T.ArrayType(FACT))),
-                    lambda f, s=s: F.struct(F.lit(s).alias("zone"), f.alias("f")))
-        for s in SECTIONS])
+    def section(name: str) -> Column:
+        listed = F.coalesce(F.col(name), F.array().cast(T.ArrayType(FACT)))
+        return F.transform(listed, lambda f: F.struct(F.lit(name).alias("zone"), f.alias("f")))
+
+    tagged = F.concat(*[section(s) for s in SECTIONS])
     rows = drops.select("round", "batch_id", F.col("exh").alias("_file_exh"), F.explode(tagged).alias("_t"))
     return rows.select(
         "round", "batch_id", "_t.f.target", "_t.f.ligand", "_t.f.score",
@@ -63,12 +64,19 @@ def read_trend(spark: SparkSession, path: str) -> DataFrame:
         "timestamp", F.try_to_timestamp("timestamp")).drop("type")
 
 
+def smiles_map(files: DataFrame) -> DataFrame:
+    """(ligand, smiles) rows of id-to-structure maps in a ``value`` column."""
+    return files.select(F.explode(F.from_json("value", T.MapType(STRING, STRING))).alias("ligand", "smiles"))
+
+
 def read_smiles_map(spark: SparkSession, path: str) -> DataFrame:
-    """(ligand, smiles) rows of id-to-structure maps, one file per map."""
-    text = spark.read.option("wholetext", True).text(path)
-    return text.select(F.explode(F.from_json("value", T.MapType(STRING, STRING))).alias("ligand", "smiles"))
+    return smiles_map(spark.read.option("wholetext", True).text(path))
+
+
+def audit_log(files: DataFrame) -> DataFrame:
+    """Audit logs in a ``value`` column, as their ``steps`` map."""
+    return files.select(F.from_json("value", AUDIT_SCHEMA).alias("_l")).select("_l.steps")
 
 
 def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
-    text = spark.read.option("wholetext", True).text(path)
-    return text.select(F.from_json("value", AUDIT_SCHEMA).alias("_l")).select("_l.steps")
+    return audit_log(spark.read.option("wholetext", True).text(path))

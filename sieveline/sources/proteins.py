@@ -101,23 +101,15 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = spark.read.option("lineSep", "\n>").text(path)
     record = F.regexp_replace(F.regexp_replace("value", "\r", ""), r"^>", "")
-    header = F.substring_index(record, "\n", 1)
-    body = F.when(F.instr(record, "\n") > 0, F.expr("substring(_r, instr(_r, '\n') + 1)")).otherwise("")
-    first_word = F.substring_index(F.trim(F.col("header")), " ", 1)
-    parts = F.split(first_word, r"\|")
+    split = raw.select(F.split(record, "\n", 2).alias("_r")).where(F.trim(F.col("_r")[0]) != "")
+    header, body = F.col("_r")[0], F.coalesce(F.try_element_at("_r", F.lit(2)), F.lit(""))
+    words = F.split(F.trim(header), " ", 2)
+    parts = F.split(words[0], r"\|")
     tagged = (F.size(parts) > 1) & parts[0].isin("sp", "tr")
-    accession = F.when(tagged, parts[1]).otherwise(parts[0])
-    return (
-        raw.select(record.alias("_r")).where(F.trim("_r") != "")
-        .select(header_of("_r").alias("header"), F.upper(F.regexp_replace(body, r"\s+", "")).alias("sequence"))
-        .select("header", accession.alias("accession"),
-                F.when(F.instr("header", " ") > 0, F.expr("substring(header, instr(header, ' ') + 1)")).otherwise("").alias("description"),
-                "sequence")
-    )
-
-
-def header_of(column: str) -> Column:
-    return F.substring_index(column, "\n", 1)
+    return split.select(
+        header.alias("header"), F.when(tagged, F.try_element_at(parts, F.lit(2))).otherwise(parts[0]).alias("accession"),
+        F.coalesce(F.try_element_at(words, F.lit(2)), F.lit("")).alias("description"),
+        F.upper(F.regexp_replace(body, r"\s+", "")).alias("sequence"))
 
 
 def fasta_records(df: DataFrame, width: int = 60) -> DataFrame:

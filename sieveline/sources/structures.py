@@ -29,17 +29,21 @@ def file_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
-def read_pose_scores(spark: SparkSession, path: str, pattern: str = "*.pdbqt") -> DataFrame:
-    """(target, pocket_idx, ligand, pose, energy) of every result line under ``*_results`` folders.
-
-    The pose number comes from the line's own order in its file, so each file is read whole; files
-    are small and many. Folders named ``target_pocketN_results`` keep their pocket number.
-    """
-    files = (
+def whole_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, value) of every small text file below ``path``."""
+    return (
         spark.read.option("wholetext", True).option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern).text(path)
-        .select("value", F.col("_metadata.file_path").alias("path"))
+        .select(F.col("_metadata.file_path").alias("path"), "value")
     )
+
+
+def pose_scores(files: DataFrame) -> DataFrame:
+    """(target, pocket_idx, ligand, pose, energy) of every result line of pose files.
+
+    Pose numbers follow the lines of a file, so a file is one row here. Folders named
+    ``target_pocketN_results`` keep their pocket number instead of posing as targets.
+    """
     folder = F.regexp_extract("path", r"([^/]+)_results/[^/]+$", 1)
     energies = F.regexp_extract_all("value", F.lit(r"REMARK VINA RESULT:?\s+" + FLOAT), F.lit(1))
     return files.select(
@@ -50,6 +54,10 @@ def read_pose_scores(spark: SparkSession, path: str, pattern: str = "*.pdbqt") -
     ).select("target", "pocket_idx", "ligand", (F.col("_i") + 1).alias("pose"), F.col("_e").cast("double").alias("energy"))
 
 
+def read_pose_scores(spark: SparkSession, path: str, pattern: str = "*.pdbqt") -> DataFrame:
+    return pose_scores(whole_files(spark, path, pattern))
+
+
 def first_pose(poses: DataFrame) -> DataFrame:
     """Energy of the first reported pose."""
     return poses.groupBy("target", "pocket_idx", "ligand").agg(F.min_by("energy", "pose").alias("score"))
@@ -92,21 +100,11 @@ def atom_lines(files: DataFrame, kind: str = "pdb") -> DataFrame:
 
 
 def read_atoms(spark: SparkSession, path: str, kind: str = "pdb", pattern: str = "*") -> DataFrame:
-    files = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern).text(path)
-        .select("value", F.col("_metadata.file_path").alias("path"))
-    )
-    return atom_lines(files, kind)
+    return atom_lines(whole_files(spark, path, pattern), kind)
 
 
-def read_pocket_report(spark: SparkSession, path: str, pattern: str = "*_info.txt") -> DataFrame:
-    """Pocket blocks of report files: one row per (file, pocket)."""
-    files = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern).text(path)
-        .select("value", F.col("_metadata.file_path").alias("path"))
-    )
+def pocket_report(files: DataFrame) -> DataFrame:
+    """Pocket blocks of report files: one row per (file, pocket); absent values are null."""
     blocks = F.filter(F.split("value", r"(?=Pocket\s+\d+\s*:)"), lambda b: b.rlike(r"^Pocket\s+\d+\s*:"))
     rows = files.select(F.regexp_replace(file_name(F.col("path")), r"_info\.txt$", "").alias("target"), F.explode(blocks).alias("_b"))
     return rows.select(
@@ -115,6 +113,10 @@ def read_pocket_report(spark: SparkSession, path: str, pattern: str = "*_info.tx
         *[F.regexp_extract("_b", label + FLOAT, 1).try_cast("double").alias(name) for name, label in POCKET_FIELDS.items()])
 
 
+def read_pocket_report(spark: SparkSession, path: str, pattern: str = "*_info.txt") -> DataFrame:
+    return pocket_report(whole_files(spark, path, pattern))
+
+
 def read_pocket_predictions(spark: SparkSession, path: str, pattern: str = "*_predictions.csv") -> DataFrame:
     """Pocket prediction tables: padded headers, comment lines, and rows that do not parse dropped.
 
@@ -137,19 +139,28 @@ def read_pocket_predictions(spark: SparkSession, path: str, pattern: str = "*_pr
     return out.dropna(subset=["pocket_id", "score", "probability", "volume", "center_x", "center_y", "center_z"])
 
 
-def read_box_configs(spark: SparkSession, path: str, pattern: str = "*_vina.conf") -> DataFrame:
-    """One row per box file with all six box values."""
-    lines = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
-        .select(F.regexp_replace(file_name(F.col("_metadata.file_path")), r"(_vina)?\.conf$", "").alias("target"),
-                F.split("value", "=", 2).alias("_kv"))
-        .where((F.size("_kv") == 2) & ~F.trim(F.col("_kv")[0]).startswith("#"))
-    )
-    pairs = lines.select("target", F.trim(F.col("_kv")[0]).alias("key"), F.trim(F.col("_kv")[1]).try_cast("double").alias("value"))
+def box_configs(lines: DataFrame) -> DataFrame:
+    """One row per box file with all six values, from its (path, value) lines."""
+    kv = F.split("value", "=", 2)
+    pairs = lines.where((F.size(kv) == 2) & ~F.trim(kv[0]).startswith("#")).select(
+        F.regexp_replace(file_name(F.col("path")), r"(_vina)?\.conf$", "").alias("target"),
+        F.trim(kv[0]).alias("key"), F.trim(kv[1]).try_cast("double").alias("value"))
     wide = pairs.groupBy("target").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in BOX_KEYS])
     return wide.dropna(subset=list(BOX_KEYS))
 
 
+def config_lines(spark: SparkSession, path: str, pattern: str = "*_vina.conf") -> DataFrame:
+    """(path, value) of every line of the box files."""
+    return (
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+        .select(F.col("_metadata.file_path").alias("path"), "value")
+    )
+
+
+def read_box_configs(spark: SparkSession, path: str, pattern: str = "*_vina.conf") -> DataFrame:
+    return box_configs(config_lines(spark, path, pattern))
+
+
 def strip_run_keys(lines: DataFrame, keys: tuple[str, ...] = RUN_KEYS) -> DataFrame:
     """Config lines without those that belong to a single run."""
     return lines.where(~F.trim(F.substring_index("value", "=", 1)).isin(*keys))
