@@ -12,6 +12,7 @@ from ..functions.text import blank_to_null, contains_any, joined, matched_terms
 from ..params import (
     ANCHOR_TERMS, FEEDING_FAMILIES, FUNCTION_CLASS_KEYWORDS, INDUCTION_TERMS,
     LITERATURE_ORGANISMS, LITERATURE_PHENOTYPES)
+from ..session import cut_lineage, spread_small_scan
 from .ledger import n
 from .ordering import top_per_group
 from .skew import ROWS_PER_SLICE, sliced_join
@@ -150,12 +151,11 @@ def word_form(term: str) -> str:
 
 
 def literature_terms(targets: DataFrame) -> DataFrame:
-    """(target, term, first): the gene, and the first 40 characters of a name longer than three."""
+    """(target, term): the gene, and the first 40 characters of a name longer than three."""
     name = F.when(F.length("name") > 3, F.left(F.col("name"), F.lit(40)))
     term = F.explode(F.array_compact(F.array(blank_to_null(F.col("gene")), name)))
     rows = targets.select("target", term.alias("_t")).select("target", F.trim(plain_words(F.col("_t"))).alias("term"))
-    return rows.where(F.col("term") != "").distinct().withColumn(
-        "token", F.substring_index("term", " ", 1))
+    return rows.where(F.col("term") != "").distinct()
 
 
 def literature_matches(targets: DataFrame, abstracts: DataFrame,
@@ -165,13 +165,23 @@ def literature_matches(targets: DataFrame, abstracts: DataFrame,
     """(target, pmid) of abstracts that name the target, an organism and a phenotype.
 
     Both fixed word groups are checked while scanning. Then only (abstract, word) rows are joined
-    to the first words of the terms; the text is looked at again only for terms of several words.
+    to the rarest word of each term; the text is looked at again only for terms of several words.
     """
-    words = plain_words(F.col("text"))
-    organism, phenotype = (contains_any(words, [word_form(t) for t in group]) for group in (organisms, phenotypes))
-    relevant = abstracts.where(organism & phenotype).select("pmid", words.alias("words"))
-    tokens = relevant.select("pmid", F.explode(F.array_distinct(F.split(F.trim("words"), " "))).alias("token"))
-    terms = literature_terms(targets)
+    def fits(words: Column) -> Column:
+        organism, phenotype = (contains_any(words, [word_form(t) for t in group]) for group in (organisms, phenotypes))
+        return organism & phenotype
+
+    # filtering a one-element array cleans each text once, where a filter on the column would repeat it
+    clean = F.explode(F.filter(F.array(plain_words(F.col("text"))), fits))
+    relevant = cut_lineage(spread_small_scan(abstracts).select("pmid", clean.alias("words")), "abstracts")
+    parts = cut_lineage(literature_terms(targets).select("target", "term", F.explode(F.split("term", " ")).alias("token")), "terms")
+    named = relevant.select("pmid", F.explode(F.array_distinct(F.split(F.trim("words"), " "))).alias("token"))
+    tokens = cut_lineage(named.join(parts.select("token").distinct(), "token", "left_semi"), "tokens")
+    spread = parts.join(tokens.groupBy("token").agg(F.count("*").alias("_n")), "token", "left").withColumn(
+        "_n", F.coalesce("_n", F.lit(0)))
+    terms = cut_lineage(
+        spread.groupBy("target", "term").agg(F.min(F.struct("_n", "token")).alias("_m"))
+        .where(F.col("_m._n") > 0).select("target", "term", F.col("_m.token").alias("token")), "rare-words")
     met = sliced_join(tokens, terms, ["token"], rows_per_slice=rows_per_slice)
     single = met.where(F.col("term") == F.col("token")).select("target", "pmid")
     phrases = met.where(F.col("term") != F.col("token")).join(relevant, "pmid").where(
@@ -181,6 +191,7 @@ def literature_matches(targets: DataFrame, abstracts: DataFrame,
 
 def literature_evidence(targets: DataFrame, matches: DataFrame, n_ids: int = 5) -> DataFrame:
     """Evidence flag, number of abstracts and the first ids of every target."""
+    matches = cut_lineage(matches, "matches")
     counts = matches.groupBy("target").agg(F.count("*").alias("rnai_count"))
     first = top_per_group(matches, ["target"], [F.col("pmid")], n_ids).groupBy("target").agg(
         F.array_sort(F.collect_list("pmid")).alias("pmids"))

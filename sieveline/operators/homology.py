@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import ortholog_call
 from ..params import DEFAULTS, HYDROPHOBIC_RESIDUES, SMALL_RESIDUES, ScreenParams
+from ..session import cut_lineage, spread_small_scan
 from .ledger import n
 from .ordering import keep_first
 from .skew import ROWS_PER_SLICE, sliced_join
@@ -24,29 +25,37 @@ def kmer_containment(query: DataFrame, subject: DataFrame, k: int = 5, min_conta
                      rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Best subject of each query by the share of the query's k-mers it holds.
 
-    Inputs have (id, sequence). For a share of at least c, a subject must hold one of the query's
-    ``n - ceil(c * n) + 1`` rarest k-mers, so only those are joined on and the common ones never
-    are; the candidates are then counted exactly. Ties go to the smallest subject id. This is
-    containment, not alignment identity.
+    Inputs have (id, sequence). A subject that holds ``need = ceil(c * n)`` of a query's n k-mers
+    must hold at least ``need / 2`` of its ``n - need / 2`` rarest ones. Only those are joined on,
+    so the most common k-mers never are, and only subjects that reach that count are looked at in
+    full. Ties go to the smallest subject id. This is containment, not alignment identity.
     """
-    q = query.select(F.col("id").alias("query_id"), kmer_array(F.col("sequence"), k).alias("q_kmers")).where(
-        F.size("q_kmers") > 0)
-    s = subject.select(F.col("id").alias("subject_id"), kmer_array(F.col("sequence"), k).alias("s_kmers"))
+    q = cut_lineage(
+        spread_small_scan(query).select(F.col("id").alias("query_id"), kmer_array(F.col("sequence"), k).alias("q_kmers"))
+        .where(F.size("q_kmers") > 0), "query-kmers")
     q_rows = q.select("query_id", F.size("q_kmers").alias("n_kmers"), F.explode("q_kmers").alias("kmer"))
-    s_rows = s.select("subject_id", F.explode("s_kmers").alias("kmer"))
+    # read back as a sized table, the wanted k-mers are broadcast if small and shuffled if not
+    wanted = cut_lineage(q_rows.select("kmer").distinct(), "wanted-kmers")
+    s_rows = spread_small_scan(subject).select(
+        F.col("id").alias("subject_id"), F.explode(kmer_array(F.col("sequence"), k)).alias("kmer"))
+    shared_rows = cut_lineage(s_rows.join(wanted, "kmer", "left_semi"), "subject-kmers")
 
-    wanted = q_rows.select("kmer").distinct()
-    shared_rows = s_rows.join(wanted, "kmer", "left_semi")
     spread = shared_rows.groupBy("kmer").agg(F.count("*").alias("n_subjects"))
     rare_first = Window.partitionBy("query_id").orderBy(F.coalesce("n_subjects", F.lit(0)), "kmer")
-    prefix = F.col("n_kmers") - F.ceil(F.col("n_kmers") * min_containment - 1e-9) + 1
-    probes = (
-        q_rows.join(spread, "kmer", "left").withColumn("_place", F.row_number().over(rare_first))
-        .where((F.col("_place") <= prefix) & F.col("n_subjects").isNotNull()).select("kmer", "query_id")
+    need = F.ceil(F.col("n_kmers") * min_containment - 1e-9)
+    half = F.greatest(F.lit(1), F.ceil(need / 2))
+    probes = cut_lineage(
+        q_rows.withColumn("at_least", half).join(spread, "kmer", "left")
+        .withColumn("_place", F.row_number().over(rare_first))
+        .where((F.col("_place") <= F.col("n_kmers") - need + half) & F.col("n_subjects").isNotNull())
+        .select("kmer", "query_id", "at_least"), "probes")
+    candidates = (
+        sliced_join(probes, shared_rows, ["kmer"], rows_per_slice=rows_per_slice)
+        .groupBy("query_id", "subject_id").agg(F.count("*").alias("_n"), F.first("at_least").alias("_least"))
+        .where(F.col("_n") >= F.col("_least")).select("query_id", "subject_id")
     )
-    candidates = sliced_join(probes, shared_rows, ["kmer"], rows_per_slice=rows_per_slice).select(
-        "query_id", "subject_id").distinct()
-    counted = candidates.join(q, "query_id").join(s, "subject_id").select(
+    held = shared_rows.groupBy("subject_id").agg(F.collect_list("kmer").alias("s_kmers"))  # one sequence's k-mers
+    counted = candidates.join(q, "query_id").join(held, "subject_id").select(
         "query_id", "subject_id", F.size("q_kmers").alias("n_kmers"),
         F.size(F.array_intersect("q_kmers", "s_kmers")).alias("n_shared"))
     enough = counted.where(F.col("n_shared") >= F.col("n_kmers") * min_containment - 1e-9)

@@ -7,32 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is treated as hot above this many rows on either side of a join.
-ROWS_PER_SLICE = 200_000
-# At most this many keys can exceed total/MAX_HOT_KEYS rows, which bounds the broadcast below.
+from ..session import cut_lineage
+
+# A key is hot above this many rows on either side: two full slices are then compared in one task.
+ROWS_PER_SLICE = 20_000
+# Only the largest keys are sliced, which bounds the table of hot keys whatever the input size.
 MAX_HOT_KEYS = 10_000
 
 
 def hot_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], rows_per_slice: int) -> DataFrame:
-    """Hot keys with the number of slices each side needs.
-
-    Only keys above both ``rows_per_slice`` and a 1/MAX_HOT_KEYS share of either side are listed,
-    so the table never has more than 2 x MAX_HOT_KEYS rows whatever the input size.
-    """
+    """Hot keys with the number of slices each side needs; at most 2 x MAX_HOT_KEYS rows."""
     keys = list(keys)
 
-    def sizes(df: DataFrame, name: str) -> DataFrame:
-        counts = df.groupBy(*keys).agg(F.count("*").alias(name))
-        total = counts.agg(F.sum(name)).scalar()
-        floor = F.greatest(F.lit(rows_per_slice).cast("double"), F.coalesce(total / MAX_HOT_KEYS, F.lit(0.0)))
-        return counts.where(F.col(name) > floor)
+    def largest(df: DataFrame, name: str) -> DataFrame:
+        counts = df.groupBy(*keys).agg(F.count("*").alias(name)).where(F.col(name) > rows_per_slice)
+        return counts.orderBy(F.desc(name)).limit(MAX_HOT_KEYS)
+
+    both = largest(left, "n_left").unionByName(largest(right, "n_right"), allowMissingColumns=True)
+
+    def slices(side: str) -> Column:
+        return F.greatest(F.lit(1), F.ceil(F.coalesce(F.max(f"n_{side}"), F.lit(1)) / rows_per_slice).cast("int"))
 
-    both = sizes(left, "n_left").unionByName(sizes(right, "n_right"), allowMissingColumns=True)
-    slices = {
-        side: F.greatest(F.lit(1), F.ceil(F.coalesce(F.max(f"n_{side}"), F.lit(1)) / rows_per_slice).cast("int"))
-        for side in ("left", "right")
-    }
-    return both.groupBy(*keys).agg(slices["left"].alias("_ls"), slices["right"].alias("_rs"))
+    return both.groupBy(*keys).agg(slices("left").alias("_ls"), slices("right").alias("_rs"))
 
 
 def sliced_join(
@@ -46,17 +42,21 @@ def sliced_join(
 
     The left rows of a hot key fall into ``_ls`` slices and are repeated over the right's ``_rs``,
     and the other way round, so each pair meets exactly once and no task sees more than a slice
-    of either side. Keys that are not hot take part unchanged. The two sides must share no column
-    names beyond ``keys``; ``condition`` is evaluated inside the join.
+    of either side. Without hot keys it is a plain join. Key sizes are counted first, in one
+    pre-aggregated pass over each side, so the sides should be cheap to read twice. The two sides
+    share no column names beyond ``keys``; ``condition`` is evaluated inside the join.
     """
     keys = list(keys)
-    hot = F.broadcast(hot_keys(left, right, keys, rows_per_slice))
+    hot = cut_lineage(hot_keys(left, right, keys, rows_per_slice), "hot-keys")
+    if hot.isEmpty():
+        matched = left.join(right, keys)
+        return matched if condition is None else matched.where(condition)
+    hot = F.broadcast(hot)  # at most 2 x MAX_HOT_KEYS rows
 
     def spread(df: DataFrame, own: str, other: str, own_slice: str, other_slice: str) -> DataFrame:
         mixed = F.xxhash64(*[F.col(c) for c in df.columns])
-        sized = df.join(hot, keys, "left")
         return (
-            sized
+            df.join(hot, keys, "left")
             .withColumn(own_slice, F.pmod(mixed, F.coalesce(F.col(own), F.lit(1))).cast("int"))
             .withColumn(other_slice, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)))
             .drop("_ls", "_rs")

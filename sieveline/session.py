@@ -54,3 +54,18 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     path = scratch_path(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+SPLIT_BYTES = 128 * 1024 * 1024
+
+
+def spread_small_scan(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer splits than there are cores, before heavy work per row.
+
+    The splits are estimated from the number of files and their size. Only inputs below one split
+    per core are moved, so nothing large is ever shuffled for this.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    splits = max(len(df.inputFiles()), size // SPLIT_BYTES)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < splits < cores else df
