@@ -70,7 +70,7 @@ def smiles_map(files: DataFrame) -> DataFrame:
 
 
 def read_smiles_map(spark: SparkSession, path: str) -> DataFrame:
-    return smiles_map(spark.read.option("wholetext", True).text(path))
+    return smiles_map(spark.read.text(path, wholetext=True))
 
 
 def audit_log(files: DataFrame) -> DataFrame:
@@ -79,4 +79,4 @@ def audit_log(files: DataFrame) -> DataFrame:
 
 
 def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
-    return audit_log(spark.read.option("wholetext", True).text(path))
+    return audit_log(spark.read.text(path, wholetext=True))

@@ -19,7 +19,7 @@ POCKET_FIELDS = {
 }
 ATOM_COLUMNS = {
     "atom_name": (13, 4), "resname": (18, 3), "chain": (22, 1), "resnum": (23, 4),
-    "x": (31, 8), "y": (39, 8), "z": (47, 8), "b": (61, 6),
+    "x": (31, 8), "y": (39, 8), "z": (47, 8), "b": (61, 6), "element": (77, 2),
 }
 BOX_KEYS = ("center_x", "center_y", "center_z", "size_x", "size_y", "size_z")
 RUN_KEYS = ("out", "log", "exhaustiveness", "num_modes", "energy_range")
@@ -32,8 +32,7 @@ def file_name(path: Column) -> Column:
 def whole_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, value) of every small text file below ``path``."""
     return (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern).text(path)
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), "value")
     )
 
@@ -74,21 +73,20 @@ def _field(name: str) -> Column:
 
 
 def atom_lines(files: DataFrame, kind: str = "pdb") -> DataFrame:
-    """Atom rows of whole files given as (path, value). ``kind='pose'`` keeps the first model only.
+    """Atom rows of whole files given as (path, value).
 
-    Hydrogens and lines whose coordinates do not parse are dropped; a missing element is the first
-    letter of the atom name.
+    ``kind='pose'`` keeps the first model only, ``kind='receptor'`` only ATOM records with a residue
+    number. Hydrogens and lines whose coordinates do not parse are dropped; a missing element is
+    the first letter of the atom name. Pose files put the atom type one column further right, so
+    its first letter is what counts there.
     """
     text = F.col("value")
     if kind == "pose":
         text = F.split(text, r"(?m)^ENDMDL", 2)[0]
     lines = files.select(file_name(F.col("path")).alias("file"), F.posexplode(F.split(text, "\r?\n")).alias("line_no", "line"))
-    atoms = lines.where(F.col("line").startswith("ATOM") | F.col("line").startswith("HETATM"))
-    tail = F.trim(F.substring("line", 77, 3))
-    letters = F.upper(F.regexp_extract(tail, r"^([A-Za-z]{1,2})", 1))
-    if kind == "pose":  # force-field atom types: the element is their first letter
-        letters = F.when(letters.isin("CL", "BR"), letters).otherwise(F.left(letters, F.lit(1)))
-        letters = F.when(letters == "A", "C").otherwise(letters)
+    is_atom = F.col("line").startswith("ATOM")
+    atoms = lines.where(is_atom if kind == "receptor" else is_atom | F.col("line").startswith("HETATM"))
+    letters = F.upper(_field("element"))
     fallback = F.upper(F.regexp_extract(_field("atom_name"), r"([A-Za-z])", 1))
     out = atoms.select(
         "file", F.col("line_no").cast("bigint").alias("line_no"), F.trim(F.substring("line", 1, 6)).alias("record"),
@@ -96,7 +94,8 @@ def atom_lines(files: DataFrame, kind: str = "pdb") -> DataFrame:
         _field("resnum").try_cast("int").alias("resnum"),
         F.when(letters != "", letters).otherwise(fallback).alias("element"),
         *[_field(a).try_cast("double").alias(a) for a in ("x", "y", "z", "b")])
-    return out.where((F.col("element") != "H") & F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull())
+    out = out.where((F.col("element") != "H") & F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull())
+    return out.where(F.col("resnum").isNotNull()) if kind == "receptor" else out
 
 
 def read_atoms(spark: SparkSession, path: str, kind: str = "pdb", pattern: str = "*") -> DataFrame:
