@@ -114,21 +114,25 @@ def promiscuity_split(report: DataFrame, known: DataFrame) -> DataFrame:
 # --- joins to dimensions ----------------------------------------------------------------
 
 
+def look_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left join of a few fixed rows to a large table with one row per key.
+
+    The table is reduced to the wanted keys first, so it is only scanned, where a plain outer join
+    would shuffle all of it. ``rows`` should be a written table: its size then tells Spark whether
+    the keys may be broadcast.
+    """
+    return rows.join(table.join(rows.select(key).distinct(), key, "left_semi"), key, "left")
+
+
 def enrich_hits(hits: DataFrame, targets: DataFrame, compounds: DataFrame,
                 selectivity: DataFrame | None = None, top: int = 50,
                 order: Sequence[str] = BEST_FIRST) -> DataFrame:
-    """Ranked top hits with target, compound and selectivity columns; no hit is lost.
-
-    The ``top`` rows are cut and fixed first. Each dimension, which holds one row per key, is then
-    reduced to those keys before the outer join, so a dimension of any size is only scanned.
-    """
-    out = cut_lineage(ranked_top(hits, [F.col(c) for c in order], top), "top")
-    dimensions = [("target", targets), ("ligand", compounds)]
-    if selectivity is not None:
-        dimensions.append(("ligand", selectivity))
-    for key, table in dimensions:
-        wanted = F.broadcast(out.select(key).distinct())  # at most ``top`` rows
-        out = out.join(table.join(wanted, key, "left_semi"), key, "left")
+    """Ranked top hits with target, compound and selectivity columns; no hit is lost."""
+    best = cut_lineage(ranked_top(hits, [F.col(c) for c in order], top), "top")
+    out = look_up(best, targets, "target")
+    for table in (compounds, selectivity):
+        if table is not None:
+            out = out.join(table.join(best.select("ligand").distinct(), "ligand", "left_semi"), "ligand", "left")
     return out
 
 

@@ -38,7 +38,11 @@ def kmer_containment(query: DataFrame, subject: DataFrame, k: int = 5, min_conta
     wanted = cut_lineage(q_rows.select("kmer").distinct(), "wanted-kmers")
     s_rows = spread_small_scan(subject).select(
         F.col("id").alias("subject_id"), F.explode(kmer_array(F.col("sequence"), k)).alias("kmer"))
-    shared_rows = cut_lineage(s_rows.join(wanted, "kmer", "left_semi"), "subject-kmers")
+    held = s_rows.join(wanted, "kmer", "left_semi").groupBy("subject_id").agg(
+        F.array_sort(F.collect_list("kmer")).alias("s_kmers"))  # at most one sequence's k-mers
+    # subjects that share the same k-mers with the queries, copies above all, are compared once
+    held = cut_lineage(held.groupBy("s_kmers").agg(F.min("subject_id").alias("subject_id")), "subject-kmers")
+    shared_rows = held.select("subject_id", F.explode("s_kmers").alias("kmer"))
 
     spread = shared_rows.groupBy("kmer").agg(F.count("*").alias("n_subjects"))
     rare_first = Window.partitionBy("query_id").orderBy(F.coalesce("n_subjects", F.lit(0)), "kmer")
@@ -54,7 +58,6 @@ def kmer_containment(query: DataFrame, subject: DataFrame, k: int = 5, min_conta
         .groupBy("query_id", "subject_id").agg(F.count("*").alias("_n"), F.first("at_least").alias("_least"))
         .where(F.col("_n") >= F.col("_least")).select("query_id", "subject_id")
     )
-    held = shared_rows.groupBy("subject_id").agg(F.collect_list("kmer").alias("s_kmers"))  # one sequence's k-mers
     counted = candidates.join(q, "query_id").join(held, "subject_id").select(
         "query_id", "subject_id", F.size("q_kmers").alias("n_kmers"),
         F.size(F.array_intersect("q_kmers", "s_kmers")).alias("n_shared"))

@@ -10,6 +10,7 @@ from ..params import DEFAULTS, ScreenParams
 from .ordering import dense_index, keep_first, running_by_round, top_per_group
 
 PAIR = ["target", "ligand"]
+TARGETS_PER_SLICE = 1000
 
 
 def n(predicate: Column) -> Column:
@@ -119,19 +120,19 @@ def plan_pairs(targets: DataFrame, batches: DataFrame, batch_id: int | None = No
     """Every target with every ligand of the chosen batches.
 
     Each target is first repeated per batch number and then meets only that batch's ligands, so
-    the pairs come out of an ordinary join on the batch, spread over (batch, target slice).
+    the pairs come out of an ordinary join on the batch. Targets are cut into slices, and a batch
+    is repeated per slice, so that no task forms more than TARGETS_PER_SLICE x batch size pairs.
     """
     chosen = batches if batch_id is None else batches.where(F.col("batch_id") == batch_id)
-    slices = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     last = chosen.agg(F.max("batch_id")).scalar()
     first = chosen.agg(F.min("batch_id")).scalar()
+    slices = F.ceil(targets.agg(F.count("*")).scalar() / TARGETS_PER_SLICE).cast("int")
     repeated = (
         targets.select("target")
         .withColumn("batch_id", F.explode(F.sequence(first, last)))
-        .withColumn("_slice", F.pmod(F.xxhash64("target"), F.lit(slices)).cast("int"))
+        .withColumn("_slice", F.pmod(F.xxhash64("target"), slices).cast("int"))
     )
-    spread = chosen.select("ligand", "batch_id").withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    spread = chosen.select("ligand", "batch_id").withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1)))
     return repeated.join(spread, ["batch_id", "_slice"]).select("target", "ligand", "batch_id")
 
 

@@ -11,7 +11,7 @@ from ..functions import chem
 from ..functions.rules import first_match
 from ..params import DEFAULTS, LIBRARY_MODES, SCAFFOLD_LABELS, ScreenParams
 from .ledger import n
-from .ordering import dense_index, keep_first
+from .ordering import keep_first
 
 STAGES = ("no_structure", "lipinski", "pains", "qed", "already_prepared", "passed")
 
@@ -102,8 +102,7 @@ def funnel_work(staged: DataFrame, target_count: int) -> DataFrame:
     position among passed and prepared ones is below the target.
     """
     counted = staged.where(F.col("fail_stage").isin("passed", "already_prepared"))
-    placed = dense_index(counted, [F.col("ligand")], "_place")
-    return placed.where((F.col("_place") < target_count) & (F.col("fail_stage") == "passed")).drop("_place")
+    return counted.orderBy("ligand").limit(target_count).where(F.col("fail_stage") == "passed")
 
 
 def valid_files(files: DataFrame, min_bytes: int = 500) -> DataFrame:

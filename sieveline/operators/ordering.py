@@ -36,6 +36,30 @@ def dense_index(df: DataFrame, order: Sequence[Column], name: str = "idx", start
     )
 
 
+def rank_in_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank",
+                   slices: int | None = None) -> DataFrame:
+    """Rank 1, 2, ... of every row within its group, for groups of any size.
+
+    A plain window puts a whole group into one task. Here rows are range-partitioned by key and
+    order, so a large group spreads over several slices; each slice holds at most one group that
+    began in an earlier one, and only those offsets (one row per slice) are passed around.
+    """
+    keys = list(keys)
+    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *keys, *order).withColumn("_slice", F.spark_partition_id())
+    fixed = cut_lineage(ranged, "ordered")
+    parts = fixed.groupBy("_slice", *keys).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    continued = parts.withColumn("_offset", F.sum("_n").over(before)).where("_offset IS NOT NULL").drop("_n")
+    within = F.row_number().over(Window.partitionBy("_slice", *keys).orderBy(*order))
+    return (
+        fixed.withColumn("_row", within)
+        .join(F.broadcast(continued), ["_slice", *keys], "left")  # at most one row per slice
+        .withColumn(name, (F.col("_row") + F.coalesce("_offset", F.lit(0))).cast("int"))
+        .drop("_slice", "_row", "_offset").select(*df.columns, name)
+    )
+
+
 def ranked_top(df: DataFrame, order: Sequence[Column], n: int, name: str = "rank") -> DataFrame:
     """The first ``n`` rows under ``order`` with their rank 1..n."""
     return (
@@ -65,7 +89,8 @@ def tail_counts(points: DataFrame, keys: Sequence[str], value: str, weight: str,
     ``n_total``, where ``weight`` says how many rows a point stands for.
 
     Totals are taken in two levels, over coarse bins and inside each bin, so that no task has to
-    order all values of one key.
+    order all values of one key. Scores carry three decimals, so a bin of 0.05 has at most 50
+    different values however many rows a key has; finer data wants a smaller ``bin_width``.
     """
     keys = list(keys)
     distinct = points.groupBy(*keys, value).agg(F.sum(weight).alias("n_here"))

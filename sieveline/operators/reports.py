@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import first_match
 from ..functions.text import safe_name
+from ..session import cut_lineage
+from .hits import look_up
 
 
 def job_name(target: Column, ligand: Column) -> Column:
@@ -22,8 +24,10 @@ def build_jobs(hits: DataFrame, sequences: DataFrame, smiles: DataFrame, done: D
     named = hits.withColumn("job_name", job_name(F.col("target"), F.col("ligand")))
     if done is not None:
         named = named.join(done.select("job_name"), "job_name", "left_anti")
-    joined = named.join(sequences.select("target", "sequence"), "target", "left").join(
-        smiles.select("ligand", "smiles"), "ligand", "left")
+    named = cut_lineage(named, "jobs")
+    joined = look_up(named, sequences.select("target", "sequence"), "target")
+    wanted = smiles.select("ligand", "smiles").join(named.select("ligand").distinct(), "ligand", "left_semi")
+    joined = joined.join(wanted, "ligand", "left")
     no_sequence = F.coalesce(F.col("sequence"), F.lit("")) == ""
     no_smiles = F.coalesce(F.col("smiles"), F.lit("")) == ""
     return joined.withColumn("skip_reason", first_match([(no_sequence, "no_sequence"), (no_smiles, "no_smiles")]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import Rule, first_match, rule_score
@@ -14,7 +14,7 @@ from ..params import (
     DEFAULTS, DRUGGABLE_CLASSES, ESSENTIAL_PROCESSES, KNOWN_TARGET_KEYWORDS, MEMBRANE_TERMS,
     PRIORITY_CLASSES, ScreenParams)
 from .ledger import n
-from .ordering import dense_index
+from .ordering import dense_index, rank_in_groups
 
 
 def words(column: Column) -> Column:
@@ -177,23 +177,27 @@ def structure_counts(chosen: DataFrame) -> DataFrame:
 # --- pockets and boxes ------------------------------------------------------------------
 
 
-def filter_pockets(pockets: DataFrame, p: ScreenParams = DEFAULTS) -> DataFrame:
-    """Druggable pockets, ranked by volume: the largest is primary, the others allosteric."""
-    good = pockets.where(
+def druggable(pockets: DataFrame, p: ScreenParams = DEFAULTS) -> DataFrame:
+    """Pockets that are druggable and large enough; unknown values count as zero."""
+    return pockets.where(
         (F.coalesce("score", F.lit(0.0)) >= p.min_druggability)
         & (F.coalesce("volume", F.lit(0.0)) >= p.min_pocket_volume))
-    by_volume = Window.partitionBy("target").orderBy(F.desc("volume"), "pocket_id")
-    place = F.row_number().over(by_volume) - 1
-    return good.withColumn("pocket_rank", place).withColumn(
-        "site_type", F.when(F.col("pocket_rank") == 0, "PRIMARY").otherwise(
-            F.concat(F.lit("ALLOSTERIC_"), F.col("pocket_rank"))),
-    ).withColumn("allosteric_candidate", F.col("pocket_rank") > 0)
+
+
+def filter_pockets(pockets: DataFrame, p: ScreenParams = DEFAULTS) -> DataFrame:
+    """Druggable pockets, ranked by volume: the largest is primary, the others allosteric."""
+    good = druggable(pockets, p)
+    ranked = rank_in_groups(good, ["target"], [F.desc("volume"), F.col("pocket_id")], "pocket_rank")
+    place = F.col("pocket_rank")
+    return ranked.withColumn("pocket_rank", place - 1).withColumn(
+        "site_type", F.when(place == 0, "PRIMARY").otherwise(F.concat(F.lit("ALLOSTERIC_"), place)),
+    ).withColumn("allosteric_candidate", place > 0)
 
 
 def pocket_counts(good: DataFrame) -> DataFrame:
-    """Druggable and allosteric sites of the targets that have any."""
-    return good.groupBy("target").agg(
-        F.count("*").alias("druggable_pockets"), n(F.col("allosteric_candidate")).alias("allosteric_sites"))
+    """Druggable pockets of each target that has any, and how many of them are secondary."""
+    return good.groupBy("target").agg(F.count("*").alias("druggable_pockets")).withColumn(
+        "allosteric_sites", F.col("druggable_pockets") - 1)
 
 
 def merge_pocket_source(pockets: DataFrame, new: DataFrame, source: str) -> DataFrame:

@@ -190,18 +190,23 @@ def read_ledger(t):
     return SL.read_ledger(t.spark, path)
 
 
-def write_drops(t, path, facts=None, chunks=16, single_files=False):
-    """Batch drops of the facts: one JSON object per (round, batch, chunk), arrays per section."""
+FACTS_PER_DROP = 2000
+
+
+def write_drops(t, path, facts=None):
+    """Batch drops of the facts, one JSON object per (round, batch, chunk) with arrays per section.
+    The number of chunks follows the table, so that a drop stays small."""
     facts = t.facts if facts is None else facts
+    chunks = F.greatest(F.lit(1), F.ceil(t.facts.agg(F.count("*")).scalar() / FACTS_PER_DROP))
     text = facts.select(
         "round", "batch_id", F.when(F.col("batch_id") % 2 == 0, 6).alias("file_exh"),
-        F.pmod(F.xxhash64("target", "ligand"), F.lit(chunks)).alias("chunk"),
+        F.pmod(F.xxhash64(*facts.columns), chunks).alias("chunk"),
         F.when(F.col("score") <= -7, "kept").when(F.col("score") <= -5.5, "near_miss").otherwise("pruned").alias("zone"),
         F.struct(F.col("target").cast("string").alias("target"), F.col("ligand").cast("string").alias("ligand"), "score",
                  F.when(F.col("line") != 1, F.col("exh")).alias("exh")).alias("fact"))
     drops = text.groupBy("round", "batch_id", "chunk").agg(
-        F.max("file_exh").alias("exh"), *[F.collect_list(F.when(F.col("zone") == z, F.col("fact"))).alias(z) for z in SL.SECTIONS]).drop("chunk")
-    (drops.coalesce(1) if single_files else drops).write.json(path)
+        F.max("file_exh").alias("exh"), *[F.collect_list(F.when(F.col("zone") == z, F.col("fact"))).alias(z) for z in SL.SECTIONS])
+    drops.drop("chunk").write.json(path)
 
 
 DROPS = """SELECT round, batch_id, CAST(target AS VARCHAR) AS target, CAST(ligand AS VARCHAR) AS ligand, score,

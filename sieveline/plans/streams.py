@@ -7,37 +7,27 @@ from pyspark.sql import functions as F
 from ..operators import hits as H
 from ..operators import reports as R
 from ..session import scratch_path
-from ..sources.ledger import DROP_SCHEMA  # noqa: F401
 from ..streaming import incremental as I
 from .registry import query
 from .sources import write_drops
 
 
-def _landed(t, parts=3):
-    """Drops of the facts in ``parts`` files, in the order of the rounds."""
-    path = scratch_path(t.spark, "landing")
-    for i in range(parts):
-        facts = t.facts.where(F.floor((F.col("round") - 1) * parts / 7) == i)
-        write_drops(t, f"{path}/{i}", facts, chunks=4, single_files=True)
-    return f"{path}/*"
+PARTS = 3
 
 
-def _run(t, stream, sink, mode):
-    q = I.start(stream, sink, scratch_path(t.spark, "checkpoint"), mode)
-    q.awaitTermination()
-    if q.exception():
-        raise q.exception()
-
-
-def _stream(t):
-    return I.stream_drops(t.spark, _landed(t), files_per_trigger=1)
+def _run(t, operator, sink, mode):
+    """Let the facts land in three parts, by round, and run the stream to its end after each."""
+    landing, checkpoint = scratch_path(t.spark, "landing"), scratch_path(t.spark, "checkpoint")
+    for i in range(PARTS):
+        write_drops(t, f"{landing}/{i}", t.facts.where(F.floor((F.col("round") - 1) * PARTS / 7) == i))
+        I.start(operator(I.stream_drops(t.spark, f"{landing}/*")), sink, checkpoint, mode).awaitTermination()
 
 
 @query("stream_top_hits", """SELECT CAST(target AS VARCHAR) AS target, CAST(ligand AS VARCHAR) AS ligand, min(score) AS score,
     CAST(min(round * 100 + batch_id) AS INT) AS first_seen FROM facts WHERE score <= -7 GROUP BY 1, 2""")
 def stream_top_hits(t):
     path = scratch_path(t.spark, "best")
-    _run(t, I.best_scores(_stream(t)), I.table_sink(path), "update")
+    _run(t, I.best_scores, I.table_sink(path), "update")
     rows = t.spark.read.option("basePath", path).parquet(path)
     return I.latest(rows, ["target", "ligand"]).select(
         "target", "ligand", "score", (F.col("first_seen.round") * 100 + F.col("first_seen.batch_id")).alias("first_seen"))
@@ -46,14 +36,14 @@ def stream_top_hits(t):
 @query("stream_new_hits", "SELECT DISTINCT round, CAST(target AS VARCHAR) AS target, CAST(ligand AS VARCHAR) AS ligand FROM facts WHERE score <= -7")
 def stream_new_hits(t):
     path = scratch_path(t.spark, "new")
-    _run(t, I.first_hits(_stream(t)), I.table_sink(path), "append")
+    _run(t, I.first_hits, I.table_sink(path), "append")
     return t.spark.read.option("basePath", path).parquet(path).select("round", "target", "ligand")
 
 
 @query("stream_trend", """SELECT CAST(sum(1) AS BIGINT) AS new_hits, CAST(sum(1) AS BIGINT) AS cum_hits, min(score) AS best_score FROM top_pairs""")
 def stream_trend(t):
     path = scratch_path(t.spark, "trend")
-    _run(t, I.best_scores(_stream(t)), I.trend_sink(path), "update")
+    _run(t, I.best_scores, I.trend_sink(path), "update")
     rows = I.read_epochs(t.spark, path, I.TREND)
     return rows.agg(F.sum("new_hits").alias("new_hits"), F.max("cum_hits").alias("cum_hits"), F.min("best_score").alias("best_score"))
 
@@ -62,7 +52,7 @@ def stream_trend(t):
     SELECT CAST(target AS VARCHAR) AS target, CAST(ligand AS VARCHAR) AS ligand, max(exh) AS exh FROM e GROUP BY 1, 2""")
 def stream_ledger(t):
     path = scratch_path(t.spark, "ledger")
-    _run(t, I.ledger_effort(_stream(t)), I.table_sink(path), "update")
+    _run(t, I.ledger_effort, I.table_sink(path), "update")
     return I.latest(t.spark.read.option("basePath", path).parquet(path), ["target", "ligand"])
 
 
@@ -76,7 +66,7 @@ def stream_refresh(t):
         landed = t.spark.read.option("basePath", path).parquet(path).where(F.col("epoch") < epoch)
         H.target_stats(landed).write.mode("overwrite").parquet(stats)
 
-    _run(t, _stream(t), I.refresh_every(2, refresh, I.table_sink(path)), "append")
+    _run(t, lambda s: s, I.refresh_every(2, refresh, I.table_sink(path)), "append")
     return t.spark.read.parquet(stats).select("target", "n_scored", "n_hits", "best_score")
 
 
@@ -84,7 +74,7 @@ def stream_refresh(t):
 def stream_jobs(t):
     path = scratch_path(t.spark, "jobs")
     build = lambda batch: batch.where("score <= -12").select(R.job_name(F.col("target"), F.col("ligand")).alias("job_name"))
-    _run(t, _stream(t), I.new_rows_sink(path, "job_name", "job_name string", build), "append")
+    _run(t, lambda s: s, I.new_rows_sink(path, "job_name", "job_name string", build), "append")
     return t.spark.read.option("basePath", path).parquet(path).select("job_name")
 
 
@@ -95,6 +85,6 @@ def windowed_hits(t):
     t.read("events").select(F.col("ts").cast("timestamp").alias("ts"), (-F.col("value") / 4).alias("score")).write.parquet(landing)
     stream = t.spark.readStream.schema("ts timestamp, score double").option("maxFilesPerTrigger", 4).parquet(landing)
     # complete mode also shows the newest window, which the watermark would hold back
-    _run(t, I.windowed_hits(stream), I.table_sink(path), "complete")
+    I.start(I.windowed_hits(stream), I.table_sink(path), scratch_path(t.spark, "checkpoint"), "complete").awaitTermination()
     rows = t.spark.read.option("basePath", path).parquet(path)
     return I.latest(rows, ["window_start"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

@@ -213,7 +213,7 @@ def filter_pockets(t):
 
 @query("pocket_counts", GOOD + " SELECT target, count(*) AS druggable_pockets, count(*) FILTER (WHERE r > 0) AS allosteric_sites FROM g GROUP BY 1")
 def pocket_counts(t):
-    return T.pocket_counts(T.filter_pockets(_pockets(t)))
+    return T.pocket_counts(T.druggable(_pockets(t)))
 
 
 @query("merge_pocket_source", POCKET + """, m AS (SELECT target, score FROM pockets WHERE NOT (source = 'fpocket' AND target % 3 = 0)

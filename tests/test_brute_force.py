@@ -191,3 +191,14 @@ def test_running_totals_cross_rounds(spark):
         total, best = total + n, s if best is None else min(best, s)
         want.append((total, best))
     assert got == want
+
+
+def test_rank_in_groups_with_a_large_group(spark):
+    rng = random.Random(4)
+    rows = [("hot" if i % 3 else f"g{i % 7}", rng.random()) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {(r.k, r.v): r["rank"] for r in ordering.rank_in_groups(df, ["k"], [F.desc("v")], slices=8).collect()}
+    groups = {}
+    for k, v in rows:
+        groups.setdefault(k, []).append(v)
+    assert got == {(k, v): i + 1 for k, vs in groups.items() for i, v in enumerate(sorted(vs, reverse=True))}
