@@ -182,15 +182,17 @@ def verdict_counts(selective: DataFrame) -> DataFrame:
 def select_hits(hits: DataFrame, n_targets: int = 5, n_hits: int = 5,
                 targets: Sequence | None = None) -> DataFrame:
     """Best ``n_hits`` of each of the best ``n_targets`` targets, or of a given list."""
+    order = [F.col("score"), F.col("ligand")]
     if targets is not None:
-        pool = hits.where(F.col("target").isin(*targets))
-    else:
-        best = (
-            hits.groupBy("target").agg(F.min("score").alias("_best"))
-            .orderBy("_best", "target").limit(n_targets).select("target")
-        )
-        pool = hits.join(best, "target", "left_semi")
-    return top_per_group(pool, ["target"], [F.col("score"), F.col("ligand")], n_hits)
+        return top_per_group(hits.where(F.col("target").isin(*targets)), ["target"], order, n_hits)
+    return _best_of_best(hits, n_targets, n_hits, "rank")
+
+
+def _best_of_best(hits: DataFrame, n_targets: int, n_hits: int, name: str) -> DataFrame:
+    """One pass over the hits: cut every target to its best hits, then pick the targets from that."""
+    ranked = cut_lineage(top_per_group(hits, ["target"], [F.col("score"), F.col("ligand")], n_hits, name), "ranked")
+    best = ranked.where(F.col(name) == 1).orderBy("score", "target").limit(n_targets).select("target")
+    return ranked.join(F.broadcast(best), "target", "left_semi")  # ``n_targets`` rows
 
 
 def priority_targets(hits: DataFrame, targets: DataFrame, top: int = 10) -> DataFrame:
@@ -227,13 +229,7 @@ def secondary_pocket_plan(pockets: DataFrame, hits: DataFrame, n_targets: int =
     """
     multi = pockets.groupBy("target").agg(F.count("*").alias("_n")).where(F.col("_n") >= 2).select("target")
     eligible = hits.join(multi, "target", "left_semi")
-    chosen = (
-        eligible.groupBy("target").agg(F.min("score").alias("_best"))
-        .orderBy("_best", "target").limit(n_targets).select("target")
-    )
-    best = top_per_group(
-        eligible.join(chosen, "target", "left_semi"), ["target"],
-        [F.col("score"), F.col("ligand")], n_ligands, "ligand_rank")
+    best = _best_of_best(eligible, n_targets, n_ligands, "ligand_rank")
     other = F.col("pocket_idx") >= 1 if pocket_index is None else F.col("pocket_idx") == pocket_index
     return pockets.where(other).select("target", "pocket_idx").join(
         best.select("target", "ligand", "score", "ligand_rank"), "target")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import score_tier, score_zone, stored_exhaustiveness
 from ..params import DEFAULTS, ScreenParams
+from ..session import cut_lineage
 from .ordering import dense_index, keep_first, running_by_round, top_per_group
 
 PAIR = ["target", "ligand"]
@@ -243,21 +244,27 @@ def write_rounds(rounds: DataFrame, path: str) -> None:
      .partitionBy("round").parquet(path))
 
 
+def packed_batch(round_no: Column, batch_id: Column) -> Column:
+    """Round and batch as one number that orders like the pair."""
+    return F.call_function("shiftleft", round_no.cast("bigint"), F.lit(32)) + batch_id
+
+
 def hit_trend(facts: DataFrame, p: ScreenParams = DEFAULTS) -> DataFrame:
     """Per batch: new distinct hits, hits so far, best score so far and ligands docked so far."""
     batch = ["round", "batch_id"]
     hits = facts.where(F.col("score") <= p.hit_score)
-    first = (
-        hits.groupBy(*PAIR).agg(F.min(F.struct(*batch)).alias("_first"))
-        .groupBy("_first.round", "_first.batch_id").agg(F.count("*").alias("new_hits"))
-    )
+    # (round, batch) as one number: a struct would force the largest aggregation here to sort
+    first = hits.groupBy(*PAIR).agg(F.min(packed_batch(F.col("round"), F.col("batch_id"))).alias("_first")).groupBy(
+        "_first").agg(F.count("*").alias("new_hits"))
     hit_score = F.when(F.col("score") <= p.hit_score, F.col("score"))
     batches = (
         facts.groupBy(*batch, "ligand").agg(F.min(hit_score).alias("_best"))
         .groupBy(*batch).agg(F.count("*").alias("batch_ligands"), F.min("_best").alias("batch_best"))
-        .join(first, batch, "left")
+        .withColumn("_first", packed_batch(F.col("round"), F.col("batch_id")))
+        .join(first, "_first", "left").drop("_first")
         .withColumn("new_hits", F.coalesce("new_hits", F.lit(0)))
     )
+    batches = cut_lineage(batches, "batches")  # one row per batch, used twice
     return running_by_round(
         batches,
         sums={"cum_hits": "new_hits", "n_ligands_docked": "batch_ligands"},

@@ -93,7 +93,7 @@ def tail_counts(points: DataFrame, keys: Sequence[str], value: str, weight: str,
     different values however many rows a key has; finer data wants a smaller ``bin_width``.
     """
     keys = list(keys)
-    distinct = points.groupBy(*keys, value).agg(F.sum(weight).alias("n_here"))
+    distinct = cut_lineage(points.groupBy(*keys, value).agg(F.sum(weight).alias("n_here")), "points")
     binned = distinct.withColumn("_bin", F.floor(F.col(value) / bin_width))
     above = Window.unboundedPreceding, -1
     per_bin = binned.groupBy(*keys, "_bin").agg(F.sum("n_here").alias("_n"))
