@@ -133,3 +133,8 @@ def duration_text(seconds: Column) -> Column:
     """Elapsed seconds as ``XhYYmZZs``."""
     whole = F.floor(seconds).cast("bigint")
     return F.format_string("%dh%02dm%02ds", F.floor(whole / 3600), F.floor(whole % 3600 / 60), whole % 60)
+
+
+def exact_avg(value: Column, scale: int = 6) -> Column:
+    """Mean over decimals, so that it does not depend on the order in which tasks add up."""
+    return F.avg(value.try_cast(f"decimal(18,{scale})")).cast("double")

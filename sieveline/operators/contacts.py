@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import first_match
+from ..functions.scores import exact_avg
 from ..params import AROMATIC_RESIDUES, DEFAULTS, HBOND_ELEMENTS, ScreenParams
 from .ledger import n
 from .skew import ROWS_PER_SLICE, sliced_join
@@ -79,7 +80,7 @@ def contact_summary(hits: DataFrame, found: DataFrame, pi: DataFrame, poses: Dat
 def residue_centroid(atoms: DataFrame, resname: str) -> DataFrame:
     """Mean position of one residue name per file."""
     return atoms.where(F.col("resname") == resname).groupBy("file").agg(
-        F.count("*").alias("n_atoms"), *[F.round(F.avg(a), 3).alias(f"center_{a}") for a in "xyz"])
+        F.count("*").alias("n_atoms"), *[F.round(exact_avg(F.col(a)), 3).alias(f"center_{a}") for a in "xyz"])
 
 
 def reference_check(cases: DataFrame) -> DataFrame:

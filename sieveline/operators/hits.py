@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import (
-    identity_bucket, score_bin, selectivity_ratio, selectivity_verdict)
+    exact_avg, identity_bucket, score_bin, selectivity_ratio, selectivity_verdict)
 from ..params import DEFAULTS, ScreenParams
 from ..session import cut_lineage
 from .ledger import PAIR, n
@@ -20,7 +20,7 @@ BEST_FIRST = ("score", "target", "ligand")
 def exclude_ids(df: DataFrame, ids: Sequence | DataFrame, key: str = "ligand") -> DataFrame:
     """Drop rows whose id is listed, from a short list or a table with column ``key``."""
     if isinstance(ids, DataFrame):
-        return df.join(ids.select(key).distinct(), key, "left_anti")
+        return df.join(ids.select(key), key, "left_anti")
     return df.where(~F.col(key).isin(*ids)) if ids else df
 
 
@@ -138,7 +138,7 @@ def enrich_hits(hits: DataFrame, targets: DataFrame, compounds: DataFrame,
 
 def append_new(existing: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     """Insert-only merge: rows of ``new`` whose key is not there yet."""
-    fresh = new.join(existing.select(*key).distinct(), list(key), "left_anti")
+    fresh = new.join(existing.select(*key), list(key), "left_anti")
     return existing.unionByName(fresh, allowMissingColumns=True)
 
 
@@ -245,6 +245,12 @@ def multipocket_summary(facts: DataFrame, p: ScreenParams = DEFAULTS) -> DataFra
              F.col("_b.score").alias("best_score"), F.col("_b.ligand").alias("best_ligand"))
 
 
+def multipocket_hits(facts: DataFrame, threshold: float | None = None, p: ScreenParams = DEFAULTS) -> DataFrame:
+    """Best score of every (target, pocket, ligand) that reaches the threshold."""
+    cut = p.hit_score if threshold is None else threshold
+    return facts.where(F.col("score") <= cut).groupBy("target", "pocket_idx", "ligand").agg(F.min("score").alias("score"))
+
+
 # --- distributions and rank recovery ----------------------------------------------------
 
 
@@ -271,10 +277,10 @@ def rank_recovery(reference: DataFrame, ranked: DataFrame) -> DataFrame:
     """Per compound: mean score, mean percentile and best target over the targets it was scored on."""
     scores = reference.where(F.col("score").isNotNull()).groupBy("compound").agg(
         F.count("*").alias("n_scored"),
-        F.round(F.avg("score"), 3).alias("avg_score"),
+        F.round(exact_avg(F.col("score")), 3).alias("avg_score"),
         F.min(F.struct("score", "target")).alias("_b"),
     )
-    ranks = ranked.groupBy("compound").agg(F.round(F.avg("percentile"), 2).alias("avg_percentile"))
+    ranks = ranked.groupBy("compound").agg(F.round(exact_avg(F.col("percentile")), 2).alias("avg_percentile"))
     return scores.join(ranks, "compound", "left").select(
         "compound", "n_scored", "avg_score", "avg_percentile",
         F.col("_b.score").alias("best_score"), F.col("_b.target").alias("best_target"))

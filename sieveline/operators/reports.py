@@ -66,7 +66,7 @@ def slim(df: DataFrame, columns: tuple[str, ...] = ("sequence", "high_conf_resid
 
 
 def step_rows(log: DataFrame) -> DataFrame:
-    """One row per pipeline step of an audit log."""
+    """One row per step of an audit log."""
     return log.select(F.explode("steps").alias("step", "s"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import Rule, first_match, rule_score
-from ..functions.scores import confidence_label, host_risk, search_box, search_effort
+from ..functions.scores import confidence_label, exact_avg, host_risk, search_box, search_effort
 from ..functions.text import contains_any, contains_word, joined, matched_terms, percent_text
 from ..params import (
     DEFAULTS, DRUGGABLE_CLASSES, ESSENTIAL_PROCESSES, KNOWN_TARGET_KEYWORDS, MEMBRANE_TERMS,
@@ -60,7 +60,7 @@ def availability_gate(df: DataFrame, available: DataFrame, order: Sequence[Colum
     """Keep proteins with a predicted structure on record. With ``max_check``, only the first
     rows under ``order`` are looked at and the rest are dropped."""
     checked = df if max_check is None else df.orderBy(*order).limit(max_check)
-    return checked.join(available.select("accession").distinct(), "accession", "left_semi").withColumn(
+    return checked.join(available.select("accession"), "accession", "left_semi").withColumn(
         "alphafold_available", F.lit(True))
 
 
@@ -107,7 +107,7 @@ def residue_confidence(atoms: DataFrame) -> DataFrame:
 def plddt_summary(atoms: DataFrame, p: ScreenParams = DEFAULTS) -> DataFrame:
     """Mean confidence, confident fraction, suitability and label of each predicted structure."""
     per_file = residue_confidence(atoms).groupBy("file").agg(
-        F.avg("plddt").alias("_mean"),
+        exact_avg(F.col("plddt")).alias("_mean"),
         F.count("*").alias("total_residues"),
         n(F.col("plddt") >= p.min_plddt).alias("high_conf_residues"),
     )
@@ -223,7 +223,7 @@ def best_pocket(pockets: DataFrame, min_volume: float = 100.0) -> DataFrame:
 def pocket_center(pocket_atoms: DataFrame, protein_atoms: DataFrame) -> DataFrame:
     """Mean position of the pocket's atoms, or of the whole protein where no pocket is known."""
     def center(df: DataFrame, tag: str) -> DataFrame:
-        return df.groupBy("target").agg(*[F.avg(a).alias(f"{tag}_{a}") for a in "xyz"])
+        return df.groupBy("target").agg(*[exact_avg(F.col(a)).alias(f"{tag}_{a}") for a in "xyz"])
 
     both = center(protein_atoms, "_a").join(center(pocket_atoms, "_p"), "target", "full_outer")
     return both.select("target", *[
@@ -336,7 +336,7 @@ def target_roster(ranked: DataFrame, configs: DataFrame, others: Sequence[DataFr
         "target", "_m.source_no", F.coalesce("_m.name", F.col("target").cast("string")).alias("name"))
 
 
-def pipeline_funnel(stages: Sequence[tuple[str, Column]], df: DataFrame) -> DataFrame:
+def stage_funnel(stages: Sequence[tuple[str, Column]], df: DataFrame) -> DataFrame:
     """Rows that pass each stage on top of all before it, counted in one scan."""
     passed, counts = F.lit(True), []
     for name, predicate in stages:

@@ -139,10 +139,9 @@ def batch_top_nested(t):
         F.transform("top", lambda s: F.concat_ws(":", s["target"].cast("string"), s["ligand"].cast("string"))), " ").alias("top"))
 
 
-@query("batch_failed", """SELECT round, batch_id, target FROM facts WHERE line = 7
-    GROUP BY 1, 2, 3 HAVING count(score) = 0""")
+@query("batch_failed", """SELECT round, batch_id, ligand AS target FROM facts GROUP BY 1, 2, 3 HAVING count(score) = 0""")
 def batch_failed(t):
-    return L.batch_failed(t.facts.where("line = 7"))
+    return L.batch_failed(t.facts.withColumn("target", F.col("ligand")))
 
 
 @query("campaign_status", """s AS (SELECT round, batch_id, count(DISTINCT ligand) AS n_ligands,
@@ -221,12 +220,13 @@ def near_miss_upgrade_by_round(t):
     return L.near_miss_upgrade(t.facts, H.top_hits(t.facts.where("round = 3")), round_no=3, prev_round=2)
 
 
-STATS = """SELECT target, min(score) AS best_score, arg_min(ligand, (score, ligand)) AS best_ligand, count(*) AS n_scored,
-    count(*) FILTER (WHERE score <= -7) AS n_hits FROM (SELECT * FROM facts WHERE score IS NOT NULL AND {where}) GROUP BY target"""
+# seen from the ligand's side: some ligands have scores from one source only
+STATS = """SELECT ligand AS target, min(score) AS best_score, arg_min(target, (score, target)) AS best_ligand, count(*) AS n_scored,
+    count(*) FILTER (WHERE score <= -7) AS n_hits FROM (SELECT * FROM facts WHERE score IS NOT NULL AND {where}) GROUP BY ligand"""
 
 
-@query("merge_score_sources", f"""a AS ({STATS.format(where="round <= 2 AND target % 3 <> 0")}),
-    b AS ({STATS.format(where="round >= 5 AND target % 4 <> 0")})
+@query("merge_score_sources", f"""a AS ({STATS.format(where="round = 1")}),
+    b AS ({STATS.format(where="round = 7")})
     SELECT coalesce(a.target, b.target) AS target,
     CASE WHEN a.target IS NULL OR b.best_score < a.best_score THEN b.best_score ELSE a.best_score END AS best_score,
     CASE WHEN a.target IS NULL OR b.best_score < a.best_score THEN b.best_ligand ELSE a.best_ligand END AS best_ligand,
@@ -234,9 +234,8 @@ STATS = """SELECT target, min(score) AS best_score, arg_min(ligand, (score, liga
     CASE WHEN a.target IS NULL THEN b.n_hits WHEN b.best_score < a.best_score THEN a.n_hits + b.n_hits ELSE a.n_hits END AS n_hits
     FROM a FULL JOIN b ON a.target = b.target""")
 def merge_score_sources(t):
-    a = H.target_stats(t.facts.where("round <= 2 AND target % 3 <> 0"))
-    b = H.target_stats(t.facts.where("round >= 5 AND target % 4 <> 0"))
-    return L.merge_score_sources(a, b)
+    swapped = t.facts.select("round", F.col("ligand").alias("target"), F.col("target").alias("ligand"), "score")
+    return L.merge_score_sources(H.target_stats(swapped.where("round = 1")), H.target_stats(swapped.where("round = 7")))
 
 
 @query("apply_refinement", """r AS (SELECT target, ligand, min(score) AS new FROM facts WHERE round = 7 AND score IS NOT NULL GROUP BY 1, 2)

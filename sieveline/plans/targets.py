@@ -129,7 +129,7 @@ def _protein_atoms(t):
         c("l_suppkey").alias("file"), F.lit("ATOM").alias("record"), F.when(c("l_linenumber") <= 5, "CA").otherwise("CB").alias("atom_name"),
         F.lit("A").alias("chain"), (c("l_partkey") % 300).cast("int").alias("resnum"),
         F.struct(c("l_orderkey") * 10 + c("l_linenumber"), c("l_quantity")).alias("line_no"), (50 + c("l_quantity")).alias("b"),
-        c("l_suppkey").alias("target"), c("l_discount").alias("x"), c("l_tax").alias("y"), c("l_quantity").alias("z"), c("l_linenumber").alias("line"))
+        c("l_suppkey").alias("target"), c("l_discount").alias("x"), c("l_tax").alias("y"), c("l_quantity").alias("z"), c("l_linenumber").alias("line"), c("l_orderkey").alias("order"))
 
 
 @query("plddt_summary", ATOMS + """, s AS (SELECT file, sum(plddt) / count(*) AS m, count(*) AS n, count(*) FILTER (WHERE plddt >= 70) AS h FROM pr GROUP BY 1)
@@ -145,11 +145,11 @@ def residue_bands(t):
     return T.residue_bands(_protein_atoms(t)).select("file", "resnum", "plddt", "band")
 
 
-@query("experimental_quality", """SELECT l_suppkey AS file, count(*) FILTER (WHERE l_linenumber = 7) AS total_residues, count(*) FILTER (WHERE l_linenumber = 7) > 0 AS suitable,
+@query("experimental_quality", """SELECT l_orderkey AS file, count(*) FILTER (WHERE l_linenumber = 7) AS total_residues, count(*) FILTER (WHERE l_linenumber = 7) > 0 AS suitable,
     CASE WHEN count(*) FILTER (WHERE l_linenumber = 7) > 0 THEN 'EXPERIMENTAL' END AS quality_label, CAST(NULL AS DOUBLE) AS mean_plddt
-    FROM lineitem WHERE l_quantity >= 48 GROUP BY 1""")
+    FROM lineitem GROUP BY 1""")
 def experimental_quality(t):
-    atoms = _protein_atoms(t).where("z >= 48").withColumn("atom_name", F.when(F.col("line") == 7, "CA").otherwise("N"))
+    atoms = _protein_atoms(t).withColumn("file", F.col("order")).withColumn("atom_name", F.when(F.col("line") == 7, "CA").otherwise("N"))
     return T.experimental_quality(atoms)
 
 
@@ -187,7 +187,7 @@ def structure_counts(t):
 # pockets: one per order line of a supplier's first orders; retail price as volume, discount as score
 POCKET = """pk AS (SELECT l_suppkey AS target, l_orderkey * 10 + l_linenumber AS pocket_id, l_extendedprice / 100 AS volume,
     CASE WHEN l_linenumber = 3 THEN NULL ELSE l_discount * 10 END AS score, CASE WHEN l_returnflag = 'A' THEN 'fpocket' ELSE 'dogsite' END AS source,
-    row_number() OVER (PARTITION BY l_suppkey, l_orderkey, l_linenumber ORDER BY l_extendedprice, l_discount, l_returnflag) AS rn FROM lineitem WHERE l_tax = 0),
+    row_number() OVER (PARTITION BY l_suppkey, l_orderkey, l_linenumber ORDER BY l_extendedprice, l_discount, l_returnflag) AS rn FROM lineitem),
     pockets AS (SELECT target, pocket_id, volume, score, source FROM pk WHERE rn = 1)"""
 
 
@@ -195,7 +195,7 @@ def _pockets(t):
     from ..operators.ordering import keep_first
 
     c = F.col
-    raw = t.read("lineitem").where("l_tax = 0").select(
+    raw = t.read("lineitem").select(
         c("l_suppkey").alias("target"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("pocket_id"), c("l_extendedprice"), c("l_discount"), c("l_returnflag"), c("l_linenumber"))
     once = keep_first(raw, ["target", "pocket_id"], ["l_extendedprice", "l_discount", "l_returnflag"])
     return once.select("target", "pocket_id", (c("l_extendedprice") / 100).alias("volume"), F.when(c("l_linenumber") != 3, c("l_discount") * 10).alias("score"),
@@ -343,22 +343,22 @@ def ranked_report(t):
 
 
 @query("target_roster", """b AS (SELECT DISTINCT target FROM facts WHERE score <= -12), s AS (SELECT DISTINCT l_suppkey AS target FROM lineitem WHERE l_quantity = 1),
-    u AS (SELECT target, name, 0 AS source_no FROM target_dim WHERE target % 3 = 0 AND target IN (SELECT target FROM b)
+    u AS (SELECT target, name, 0 AS source_no FROM target_dim WHERE acctbal > 5000 AND target IN (SELECT target FROM b)
         UNION ALL SELECT target, NULL, 1 FROM b UNION ALL SELECT target, NULL, 2 FROM s),
     r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY source_no) AS rn FROM u)
     SELECT target, CAST(source_no AS INT) AS source_no, coalesce(name, CAST(target AS VARCHAR)) AS name FROM r WHERE rn = 1""")
 def target_roster(t):
-    ranked = t.targets.where("target % 3 = 0").select("target", "name")
+    ranked = t.targets.where("acctbal > 5000").select("target", "name")
     seen = t.read("lineitem").where("l_quantity = 1").select(F.col("l_suppkey").alias("target"))
     return T.target_roster(ranked, t.facts.where("score <= -12").select("target"), [seen])
 
 
-@query("pipeline_funnel", """SELECT 0 AS stage_no, 'all' AS stage, count(*) AS n_rows FROM proteins UNION ALL
+@query("selection_funnel", """SELECT 0 AS stage_no, 'all' AS stage, count(*) AS n_rows FROM proteins UNION ALL
     SELECT 1, 'novel', count(*) FROM proteins WHERE NOT has_ligands UNION ALL
     SELECT 2, 'length', count(*) FROM proteins WHERE NOT has_ligands AND length BETWEEN 150 AND 1500 UNION ALL
     SELECT 3, 'available', count(*) FROM proteins WHERE NOT has_ligands AND length BETWEEN 150 AND 1500 AND alphafold_available""")
-def pipeline_funnel(t):
-    return T.pipeline_funnel([
+def selection_funnel(t):
+    return T.stage_funnel([
         ("all", F.lit(True)), ("novel", ~F.col("has_ligands")), ("length", F.col("length").between(150, 1500)),
         ("available", F.col("alphafold_available"))], t.proteins)
 
@@ -366,7 +366,7 @@ def pipeline_funnel(t):
 @query("hit_funnel", """SELECT 0 AS stage_no, 'scored' AS stage, count(score) AS n_rows FROM facts UNION ALL SELECT 1, 'hits', count(*) FROM facts WHERE score <= -7 UNION ALL
     SELECT 2, 'clean', count(*) FROM facts WHERE score <= -7 AND ligand % 13 <> 0""")
 def hit_funnel(t):
-    return T.pipeline_funnel([("scored", F.col("score").isNotNull()), ("hits", F.col("score") <= -7), ("clean", F.col("ligand") % 13 != 0)], t.facts)
+    return T.stage_funnel([("scored", F.col("score").isNotNull()), ("hits", F.col("score") <= -7), ("clean", F.col("ligand") % 13 != 0)], t.facts)
 
 
 @query("proteome_counts", """SELECT count(*) AS n_proteins, count(*) FILTER (WHERE has_structure) AS with_structure, count(*) FILTER (WHERE has_ligands) AS with_ligands,
@@ -439,11 +439,11 @@ def gpi_signal(t):
     return t.abstracts.select(F.col("pmid").alias("accession"), S.gpi_signal(F.col("text"), 4).alias("gpi"))
 
 
-@query("sequence_union", """u AS (SELECT item_id AS accession, text AS sequence, 0 AS source_no FROM benchmark WHERE text <> '' AND item_id % 3 = 0 UNION ALL
+@query("sequence_union", """u AS (SELECT item_id AS accession, text AS sequence, 0 AS source_no FROM benchmark WHERE text <> '' UNION ALL
     SELECT doc_id, text, 1 FROM documents WHERE text <> ''), r AS (SELECT *, row_number() OVER (PARTITION BY accession ORDER BY source_no, sequence) AS rn FROM u)
     SELECT accession, CAST(source_no AS INT) AS source_no, CAST(length(sequence) AS INT) AS length FROM r WHERE rn = 1""")
 def sequence_union(t):
-    first = t.read("benchmark").where("item_id % 3 = 0").select(F.col("item_id").alias("accession"), F.col("text").alias("sequence"))
+    first = t.read("benchmark").select(F.col("item_id").alias("accession"), F.col("text").alias("sequence"))
     second = t.abstracts.select(F.col("pmid").alias("accession"), F.col("text").alias("sequence"))
     return S.sequence_union([first, second]).select("accession", "source_no", F.length("sequence").alias("length"))
 
@@ -591,16 +591,15 @@ def literature_evidence(t):
 
 JOBS = """best AS (SELECT target FROM top_pairs GROUP BY 1 ORDER BY min(score), target LIMIT 8),
     r AS (SELECT target, ligand, score, row_number() OVER (PARTITION BY target ORDER BY score, ligand) AS rank FROM top_pairs WHERE target IN (SELECT target FROM best)),
-    j AS (SELECT r.target, r.ligand, r.target || '_' || r.ligand AS job_name, s.text AS sequence, c.smiles FROM r LEFT JOIN (SELECT item_id, text FROM benchmark WHERE item_id % 4 <> 0) s ON s.item_id = r.target % 40
-        LEFT JOIN compounds c ON c.ligand = r.ligand WHERE rank <= 10 AND NOT (r.ligand % 9 = 0)),
+    j AS (SELECT r.target, r.ligand, r.target || '_' || r.ligand AS job_name, s.text AS sequence, c.smiles FROM r LEFT JOIN benchmark s ON s.item_id = r.target
+        LEFT JOIN compounds c ON c.ligand = r.ligand WHERE rank <= 10 AND NOT EXISTS (SELECT 1 FROM facts o WHERE o.target = r.target AND o.ligand = r.ligand AND o.round = 1 AND o.score <= -12.25)),
     jobs AS (SELECT *, CASE WHEN coalesce(sequence, '') = '' THEN 'no_sequence' WHEN coalesce(smiles, '') = '' THEN 'no_smiles' END AS skip_reason FROM j)"""
 
 
 def _jobs(t):
     hits = H.select_hits(H.top_hits(t.facts), n_targets=8, n_hits=10)
-    texts = t.read("benchmark").where("item_id % 4 <> 0").select((F.col("item_id")).alias("i"), F.col("text").alias("sequence"))
-    sequences = t.targets.select("target", (F.col("target") % 40).alias("i")).join(texts, "i")
-    done = t.facts.where("ligand % 9 = 0").select(R.job_name(F.col("target"), F.col("ligand")).alias("job_name")).distinct()
+    sequences = t.read("benchmark").select(F.col("item_id").alias("target"), F.col("text").alias("sequence"))
+    done = t.facts.where("round = 1 AND score <= -12.25").select(R.job_name(F.col("target"), F.col("ligand")).alias("job_name")).distinct()
     return R.build_jobs(hits, sequences, t.compounds, done)
 
 
@@ -623,10 +622,10 @@ def job_skip_counts(t):
     return _jobs(t).groupBy(F.coalesce("skip_reason", F.lit("ready")).alias("state")).agg(F.count("*").alias("n_jobs"))
 
 
-@query("reference_check", """SELECT target, score, -9.5::DOUBLE AS reference_score, round(abs(score + 9.5), 3) AS difference, CASE WHEN score IS NULL THEN 'FAILED' WHEN abs(score + 9.5) <= 2 THEN 'PASS' ELSE 'FAIL' END AS status
-    FROM (SELECT ligand AS target, min(score) AS score FROM facts WHERE line = 7 GROUP BY 1)""")
+@query("reference_check", """SELECT target, round, score, -9.5::DOUBLE AS reference_score, round(abs(score + 9.5), 3) AS difference, CASE WHEN score IS NULL THEN 'FAILED' WHEN abs(score + 9.5) <= 2 THEN 'PASS' ELSE 'FAIL' END AS status
+    FROM (SELECT ligand AS target, round, min(score) AS score FROM facts GROUP BY 1, 2)""")
 def reference_check(t):
-    cases = t.facts.where("line = 7").groupBy(F.col("ligand").alias("target")).agg(F.min("score").alias("score"))
+    cases = t.facts.groupBy(F.col("ligand").alias("target"), "round").agg(F.min("score").alias("score"))
     return C.reference_check(cases.withColumn("reference_score", F.lit(-9.5)).withColumn("tolerance", F.lit(2.0))).drop("tolerance")
 
 

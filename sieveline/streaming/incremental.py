@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -72,10 +73,12 @@ def epoch_path(path: str, epoch: int) -> str:
 
 def read_epochs(spark: SparkSession, path: str, schema, before: int | None = None) -> DataFrame:
     """Rows of the sink with their ``epoch``; empty before anything was written."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    try:
+        rows = spark.read.schema(schema).option("basePath", path).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema).withColumn("epoch", F.lit(0))
-    rows = spark.read.schema(schema).option("basePath", path).parquet(path)
     if "epoch" not in rows.columns:
         rows = rows.withColumn("epoch", F.lit(0))
     return rows if before is None else rows.where(F.col("epoch") < before)
