@@ -5,9 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontamination import contamination
 from .frames import read_table
 from .jaccard_join import near_duplicate_groups
+from .license_scan import scan_licenses
+from .line_frequency import line_verdicts
+from .packing import pack_documents
+from .quality import score_quality
+from .token_counts import token_counts
+from .toxicity import score_toxicity
+from .unit_dedup import repeated_units
+from .warc import deduplicated_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -43,3 +53,133 @@ WITH RECURSIVE {SHINGLE_SQL}
 SELECT doc_id, n AS n_shingles, min(seen) AS component_id FROM sizes JOIN reach ON node = doc_id GROUP BY ALL""")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(read_table(spark, sf_dir, "documents"))
+
+
+DECONTAMINATION_SQL = r"""
+words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+spans AS (SELECT DISTINCT item_id, least(len(w), 10) AS k,
+            unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS x
+          FROM items WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT k FROM spans),
+runs AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS i, w FROM words, sizes WHERE len(w) >= k),
+texts AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS x FROM runs),
+found AS (SELECT doc_id, item_id, i, k FROM texts JOIN spans USING (k, x)),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS place FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+"""
+
+
+@_query("op2_decontamination", f"""
+WITH {DECONTAMINATION_SQL}
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.sort_array("item_ids")), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+LINES_SQL = r"""
+base AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lines AS (SELECT doc_id, source, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw
+          FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM base)),
+real AS (SELECT doc_id, source, line, len(lw) AS n, translate(array_to_string(lw, ' '),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000') AS norm FROM lines WHERE len(lw) > 0),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM real GROUP BY doc_id),
+hosts AS (SELECT source, count(DISTINCT doc_id) AS docs FROM documents GROUP BY source),
+often AS (SELECT source, norm FROM real JOIN hosts USING (source) GROUP BY source, norm, docs
+          HAVING count(DISTINCT doc_id) > 20 AND count(DISTINCT doc_id) > 0.01 * docs),
+gone AS (SELECT doc_id, sum(n) AS lost FROM real SEMI JOIN often USING (source, norm) GROUP BY doc_id),
+places AS (SELECT doc_id, i, x FROM (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i,
+             unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS x FROM base WHERE len(w) > 2)),
+twice AS (SELECT doc_id, x FROM places GROUP BY doc_id, x HAVING count(*) > 1),
+reps AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+         FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM places SEMI JOIN twice USING (doc_id, x)) GROUP BY doc_id),
+figures AS (SELECT doc_id, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars,
+              len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+              coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+              CAST(coalesce(lost, 0) AS BIGINT) AS n_removed_words
+            FROM base LEFT JOIN dups USING (doc_id) LEFT JOIN reps USING (doc_id) LEFT JOIN gone USING (doc_id))
+"""
+
+
+@_query("op1_line_frequency", f"""
+WITH {LINES_SQL}
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_removed_words <= 0.5 * n_words AS kept,
+       n_removed_words > 0.5 * n_words AS depleted
+FROM figures""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_verdicts(read_table(spark, sf_dir, "documents"))
+
+
+@_query("op9_best_fit_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+@_query("op10_token_counts")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read_table(spark, sf_dir, "documents"))
+
+
+WARC_SQL = r"""
+raw AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+hashed AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS hex FROM raw),
+coded AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
+            substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+              CAST((('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS INT), 5))::BIGINT >> CAST(15 - 5 * (i % 4) AS INT)) & 31 AS INT) + 1, 1)), '') AS payload_digest
+          FROM hashed)
+"""
+
+
+@_query("op3_warc_revisits", f"""
+WITH {WARC_SQL}
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = max(page_id) OVER (PARTITION BY payload_digest) THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id < max(page_id) OVER (PARTITION BY payload_digest) THEN max(page_id) OVER (PARTITION BY payload_digest) END AS refers_to
+FROM coded""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated_pages(read_table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+UNITS_SQL = r"""
+lines AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS unit, unnest(l) AS line
+          FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+placed AS (SELECT doc_id, unit, line, CAST(coalesce(sum(len(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM lines),
+words AS (SELECT doc_id, unit, start, start + len(line) AS "end", regexp_extract_all(
+            translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM placed),
+units AS (SELECT *, array_to_string(w, ' ') AS norm FROM words WHERE len(w) >= 10),
+ranked AS (SELECT *, row_number() OVER p AS r, first_value(doc_id) OVER p AS kept_doc_id, first_value(unit) OVER p AS kept_unit,
+             first_value(start) OVER p AS kept_start FROM units WINDOW p AS (PARTITION BY norm ORDER BY doc_id, unit))
+"""
+
+
+@_query("op7_substring_dedup", f"""
+WITH {UNITS_SQL}
+SELECT doc_id, CAST(unit AS INT) AS unit, start, "end", kept_doc_id, CAST(kept_unit AS INT) AS kept_unit, kept_start FROM ranked WHERE r > 1""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_units(read_table(spark, sf_dir, "documents")).drop("text_key")
+
+
+@_query("op5_license_alignment")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+@_query("op6_toxicity_fm")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@_query("op8_quality_cnn")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))

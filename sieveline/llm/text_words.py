@@ -76,9 +76,13 @@ def row_groups(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, in
 
 @dataclass
 class Words:
-    """Words of consecutive texts: text ``i`` has words ``first[i]`` to ``first[i + 1]``."""
+    """Words of consecutive texts: text ``i`` has words ``first[i]`` to ``first[i + 1]``.
+
+    Its bytes are ``data[offset[i]:offset[i + 1]]``.
+    """
 
     data: np.ndarray
+    offset: np.ndarray
     first: np.ndarray
     start: np.ndarray
     end: np.ndarray
@@ -121,7 +125,7 @@ def scan(column: pa.Array, word_byte: np.ndarray, fold: np.ndarray = SAME) -> Wo
     start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
     end = np.concatenate(ends) if ends else np.zeros(0, np.int64)
     key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-    return Words(data, np.searchsorted(start, offsets), start, end, key)
+    return Words(data, offsets, np.searchsorted(start, offsets), start, end, key)
 
 
 def _cut(data, at, stop, high, is_word, offsets) -> int:
