@@ -101,7 +101,6 @@ def _matched(docs: DataFrame, automaton: ItemAutomaton, all_rows: bool) -> DataF
     return keyed.mapInArrow(run, _HITS)
 
 
-@F.udf("struct<starts: array<long>, ends: array<long>, n_hit: long>")
 def _merged(starts, ends):
     spans = _union([s for block in zip(starts, ends, strict=True) for s in zip(*block, strict=True)])
     return [a for a, _ in spans], [b for _, b in spans], sum(b - a for a, b in spans)
@@ -129,8 +128,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     gathered = first.where("n_hit > 0")
     for part in more:
         gathered = gathered.union(part)
+    merged = F.udf(_merged, "struct<starts: array<long>, ends: array<long>, n_hit: long>")
     spans = (gathered.dropDuplicates(["doc_id", "text_key", "item_ids", "starts", "ends"]).groupBy("doc_id", "text_key", "n_words")
-             .agg(_merged(F.collect_list("starts"), F.collect_list("ends")).alias("m"),
+             .agg(merged(F.collect_list("starts"), F.collect_list("ends")).alias("m"),
                   F.sort_array(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
              .selectExpr("doc_id key_id", "text_key key_text", "n_words", "m.n_hit", "item_ids", "m.starts", "m.ends"))
     same = F.col("doc_id").eqNullSafe(F.col("key_id")) & F.col("text_key").eqNullSafe(F.col("key_text"))
@@ -142,8 +142,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     return rest.union(whole)
 
 
-@F.pandas_udf("string")
-def _without_spans(text, starts, ends):
+def _without_spans(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
     words = item_words(pa.array(text, pa.large_string()))
     out = []
     for row, value in enumerate(text):
@@ -173,6 +172,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
     joined = docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(key)), "left")
     joined = joined.where(F.col(share).isNull() | (F.col(share) <= max_coverage))
     hit = F.col(share).isNotNull()
-    text = F.when(hit, _without_spans(F.when(hit, F.col("text")).otherwise(""), F.coalesce(starts, F.array().cast("array<long>")),
-                                      F.coalesce(ends, F.array().cast("array<long>")))).otherwise(F.col("text"))
+    cut = F.pandas_udf(_without_spans, "string")
+    text = F.when(hit, cut(F.when(hit, F.col("text")).otherwise(""), F.coalesce(starts, F.array().cast("array<long>")),
+                            F.coalesce(ends, F.array().cast("array<long>")))).otherwise(F.col("text"))
     return with_text(joined, text).select(*docs.columns)

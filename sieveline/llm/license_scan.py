@@ -129,7 +129,10 @@ def _around(text, template, low, high, at, i) -> list[tuple[int, int]]:
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
-    """One row for each document and template of at least ``coverage``; places are counted in words of the text."""
+    """One row for each document and template of at least ``coverage``; places are counted in words of the text.
+
+    Of templates aligned with the same words, only those of the greatest coverage are given.
+    """
     ship_package(docs.sparkSession)
     named = {k: words_of(v) for k, v in sorted((templates or TEMPLATES).items()) if words_of(v)}
     wanted = {w for words in named.values() for w in words}
@@ -146,11 +149,14 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
                 for i, word in enumerate(words):
                     if word in wanted:
                         places.setdefault(word, []).append(i)
+                here = []
                 for name, template in named.items():
                     found = best_alignment(words, places, template, coverage)
                     if found:
-                        rows.append(row)
-                        out.append((name, len(template), len(found), len(found) / len(template), found[0][0], found[-1][0] + 1))
+                        here.append((name, len(template), len(found), len(found) / len(template), found[0][0], found[-1][0] + 1))
+                best = [x for x in here if not any(y[3] > x[3] and y[4] < x[5] and x[4] < y[5] for y in here)]
+                rows += [row] * len(best)
+                out += best
             columns = list(zip(*out, strict=True)) if out else [[]] * 6
             types = [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())),

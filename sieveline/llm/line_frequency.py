@@ -133,7 +133,6 @@ def line_verdicts(docs: DataFrame, host: str = "source", min_documents: int = MI
                     lost.alias("n_removed_words"), depleted.alias("depleted")))
 
 
-@F.pandas_udf("string")
 def _without_lines(text: pd.Series, gone: pd.Series) -> pd.Series:
     out = []
     for value, keys in zip(text, gone, strict=True):
@@ -151,5 +150,6 @@ def remove_frequent_lines(docs: DataFrame, host: str = "source", min_documents:
     joined = docs.join(met, docs["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(key)), "left")
     hit = F.col(lost).isNotNull()
     words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    text = F.when(hit, _without_lines(F.coalesce("text", F.lit("")), F.coalesce(lines, F.array().cast("array<long>")))).otherwise(F.col("text"))
+    cut = F.pandas_udf(_without_lines, "string")
+    text = F.when(hit, cut(F.coalesce("text", F.lit("")), F.coalesce(lines, F.array().cast("array<long>")))).otherwise(F.col("text"))
     return with_text(joined.where(~hit | (F.col(lost) <= max_lost * words)), text).select(*docs.columns)

@@ -121,7 +121,7 @@ def pack(pieces: DataFrame, length: int = LENGTH, shard_pieces: int = SHARD_PIEC
     pieces = cut_lineage(pieces, "pieces")
     shards = -(-pieces.count() // shard_pieces) or 1
 
-    def run(key, shard: pa.Table) -> pa.Table:
+    def run(key, shard):
         shard = shard.drop_columns("shard").sort_by([(x, "ascending") for x in ("doc_id", "piece", "ids_crc32")])
         sequence, offset = best_fit_decreasing(shard["length"].to_numpy(), length)
         return shard.append_column("sequence_id", pa.array(sequence + (key[0].as_py() << 40))).append_column("offset", pa.array(offset))

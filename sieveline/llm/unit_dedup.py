@@ -90,7 +90,6 @@ def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WOR
                     F.col("kept.unit").alias("kept_unit"), F.col("kept.start").alias("kept_start")))
 
 
-@F.pandas_udf("struct<text: string, starts: array<long>, ends: array<long>>")
 def _without_units(text: pd.Series, unit: pd.Series, gone: pd.Series) -> pd.DataFrame:
     texts, starts, ends = [], [], []
     for value, kind, dropped in zip(text, unit, gone, strict=True):
@@ -114,8 +113,9 @@ def remove_repeated_units(docs: DataFrame, unit: str = "line", min_words: int =
             .agg(F.collect_list("unit").alias(units)))
     joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(key)), "left")
     hit = F.col(units).isNotNull()
-    joined = joined.withColumn(new, F.when(hit, _without_units(F.when(hit, F.col("text")).otherwise(""), F.lit(unit),
-                                                               F.coalesce(units, F.array().cast("array<int>")))))
+    cut = F.pandas_udf(_without_units, "struct<text: string, starts: array<long>, ends: array<long>>")
+    joined = joined.withColumn(new, F.when(hit, cut(F.when(hit, F.col("text")).otherwise(""), F.lit(unit),
+                                                    F.coalesce(units, F.array().cast("array<int>")))))
     joined = joined.where(~hit | (F.regexp_replace(F.col(f"{new}.text"), r"[\x20\x09-\x0D]", "") != ""))
     out = with_text(joined, F.when(hit, F.col(f"{new}.text")).otherwise(F.col("text")))
     extra = [F.col(f"{new}.starts").alias("kept_starts"), F.col(f"{new}.ends").alias("kept_ends")] if offsets else []
