@@ -40,7 +40,7 @@ class ItemAutomaton:
         self.least = min([window, *self.short])
         self.keys = np.unique(keys)
         flat = np.searchsorted(self.keys, keys)
-        edge = np.cumsum([len(words) for _, words in items])[:-1]
+        edge = np.cumsum([len(words) for _, words in items], dtype=np.int64)[:-1]
         follows = np.ones(max(len(flat) - 1, 0), dtype=bool)
         follows[edge[(edge > 0) & (edge < len(flat))] - 1] = False
         self.pairs = np.unique((flat[:-1] * len(self.keys) + flat[1:])[follows]) if len(flat) else flat

@@ -13,6 +13,11 @@ SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, h
           "gone_doc int, met_doc string, text_key string, new_text string, label string, score string")
 
 
+def shout(text):
+    """``text`` with a-z in upper case."""
+    return text.translate({v: k for k, v in UPPER.items()})
+
+
 def words(text, lower=True):
     return WORD.findall((text or "").translate(UPPER) if lower else text or "")
 
@@ -49,5 +54,5 @@ def documents(spark, texts=None):
     rows = [(i, t, "en", None if i % 11 == 0 else f"src{i % 3}", None if t is None else len(t), "h", None, "g", 7, "m", "k", "n", "l", "s")
             for i, t in enumerate(texts)]
     if rows:
-        rows += [rows[-1], rows[-1], (None, rows[-2][1], *rows[-2][2:]), (None, None, *rows[-2][2:])]
+        rows += [rows[-1], rows[-1], (None, rows[0][1], *rows[0][2:]), (None, None, *rows[0][2:])]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
