@@ -7,11 +7,14 @@ Jaccard similarity of 0.8 or more. Nothing is sampled or capped:
 2. Each class is signed (see ``part_enum``); linked sets share a signature. Within each task, classes
    that share a signature are tied to the first of them, so a signature leaves a task once however
    many classes have it; only signatures met at least twice go on.
-3. Each class is compared with the earlier class that it shares most signatures with. These links alone
-   join most groups of near copies.
-4. Classes that share a signature but are not yet in one group are all compared.
+3. Of the classes with a signature, the one with most shared signatures is its hub: near copies of one text share more with
+   that text than with each other. Each class is compared with the hub that it meets most often. These
+   links alone join most groups of near copies.
+4. Classes that share a signature but are not yet in one group are all compared, unless their odd sketches
+   differ in more bits than similar sets can: each element flips one bit of its set's sketch, so two sketches differ in at
+   most as many bits as the sets differ in elements.
 
-Step 4 makes the result exact: a pair is left out only if it is already connected.
+Step 4 makes the result exact: a pair is left out only if it is already connected, or proven to be unlike.
 
 Null and empty texts, and texts without words, have no shingles and link with nothing. Texts of one to
 four words are one shingle. Rows with the same doc_id are one document if their texts are equal; if
@@ -39,8 +42,11 @@ from .text_words import LOWER, NOT_SPACE, mix, row_groups, scan, shingle_keys
 SHINGLE = 5
 PERCENT = 80
 
-_SETS = "doc_id long, n_shingles long, set_a long, set_b long"
-_SIGNS = "route long, doc_id long, sign long, pivot long"
+#: Words of 64 bits in an odd sketch.
+SKETCH = 8
+
+_SETS = "doc_id long, n_shingles long, set_a long, set_b long, " + ", ".join(f"odd_{i} long" for i in range(SKETCH))
+_SIGNS = "route long, doc_id long, sign long, met boolean"
 
 
 def _distinct(keys: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +70,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.
 
 
 def document_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b) of every document; equal sets have equal set_a and set_b."""
+    """(doc_id, n_shingles, set_a, set_b) and the odd sketch of every document; equal sets have equal set_a and set_b."""
     def run(batches):
         for ids, texts in _groups(batches):
             keys, first = _sets_of(texts, shingle)
@@ -74,18 +80,21 @@ def document_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 total = np.zeros(len(keys) + 1, dtype=np.uint64)
                 np.cumsum(mix(keys + np.uint64(salt * 0x5851F42D4C957F2D)), out=total[1:])
                 sums.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
+            bit = (mix(keys) % np.uint64(64 * SKETCH)).astype(np.int64)
+            cell = np.repeat(np.arange(len(ids)), size) * 64 * SKETCH + bit
+            odd = np.packbits(np.bincount(cell, minlength=len(ids) * 64 * SKETCH) & 1).view(np.int64).reshape(len(ids), SKETCH)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(size.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])],
-                ["doc_id", "n_shingles", "set_a", "set_b"])
+                [ids, pa.array(size.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), *map(pa.array, odd.T)],
+                [x.split()[0] for x in _SETS.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SETS)
 
 
 def _signed(docs: DataFrame, shingle: int) -> DataFrame:
-    """(route, doc_id, sign, pivot) of all signatures of ``docs``.
+    """(route, doc_id, sign, met) of all signatures of ``docs``.
 
-    A signature is one row of its task, with sign null and route the signature. Others of the same task
-    that have it are rows with the sign and the first of them as pivot; their route is spread.
+    The first document of a task with a signature is a row with the signature as route; ``met`` tells whether others of
+    the task have it. These are rows with the signature as sign, and their route is spread.
     """
     def run(batches):
         for ids, texts in _groups(batches):
@@ -97,25 +106,20 @@ def _signed(docs: DataFrame, shingle: int) -> DataFrame:
             lead = np.ones(len(sign), dtype=bool)
             lead[1:] = sign[1:] != sign[:-1]
             number = np.cumsum(lead) - 1
-            pivot = doc[lead][number] if len(sign) else doc
-            many = np.bincount(number)[number] > 1 if len(sign) else lead
-            keep = lead | (doc != pivot)
-            sign, doc, lead, pivot, many = (x[keep] for x in (sign, doc, lead, pivot, many))
+            keep = lead | (doc != doc[lead][number])
+            met = np.bincount(number[keep & ~lead], minlength=lead.sum())[number] > 0
+            sign, doc, lead, met = (x[keep] for x in (sign, doc, lead, met))
             route = np.where(lead, sign, mix(sign + mix(doc.astype(np.uint64)))).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(route), pa.array(doc), pa.array(sign.view(np.int64), mask=lead),
-                 pa.array(pivot, mask=lead & ~many)], ["route", "doc_id", "sign", "pivot"])
+                [pa.array(route), pa.array(doc), pa.array(sign.view(np.int64), mask=lead), pa.array(met)], ["route", "doc_id", "sign", "met"])
 
     return docs.select("doc_id", "text").mapInArrow(run, _SIGNS)
 
 
 def _shared(signed: DataFrame) -> DataFrame:
-    """(sign, doc_id, pivot): signatures that at least two documents have, and whom each is tied to."""
-    lead = F.col("sign").isNull()
+    """(sign, doc_id): signatures that at least two documents have."""
     return (signed.selectExpr("*", "min(doc_id) over (partition by route) low", "max(doc_id) over (partition by route) high")
-            .where(~lead | (F.col("low") < F.col("high")) | F.col("pivot").isNotNull())
-            .select(F.coalesce("sign", "route").alias("sign"), "doc_id",
-                    F.when(lead, F.col("low")).otherwise(F.col("pivot")).alias("pivot")))
+            .where("sign is not null or low < high or met").select(F.coalesce("sign", "route").alias("sign"), "doc_id"))
 
 
 def _texts(docs: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
@@ -169,25 +173,26 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int
     single = without_ids(docs.where("doc_id is not null"), spared, spared.count())
     shared = cut_lineage(_shared(_signed(single, shingle)), "shared")
 
-    ties = (shared.where("doc_id <> pivot").groupBy("doc_id", "pivot").count()
-            .groupBy("doc_id").agg(F.max_by("pivot", F.struct("count", -F.col("pivot"))).alias("pivot")))
-    size = real.groupBy("doc_id").agg(F.max("n_shingles").alias("most"), F.min("n_shingles").alias("least"))
-
-    def alike_in_size(pairs: DataFrame) -> DataFrame:
-        sized = (pairs.join(size.toDF("a", "most_a", "least_a"), "a").join(size.toDF("b", "most_b", "least_b"), "b"))
-        return sized.where(f"100 * most_a >= {percent} * least_b and 100 * most_b >= {percent} * least_a").select("a", "b")
+    often = shared.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    hubs = cut_lineage(shared.join(often, "doc_id").groupBy("sign").agg(
+        F.max_by("doc_id", F.struct("n", -F.col("doc_id"))).alias("hub")), "hubs")
+    ties = (shared.join(hubs, "sign").where("doc_id <> hub").groupBy("doc_id", "hub").count()
+            .groupBy("doc_id").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub")))
+    links = _links(docs, ties.toDF("a", "b"), shingle, percent)
 
-    links = _links(docs, alike_in_size(ties.toDF("a", "b")), shingle, percent)
-    group = smallest_reachable(links)
-    members = cut_lineage(
-        shared.select("sign", "doc_id").union(shared.where("doc_id <> pivot").select("sign", F.col("pivot")))
-        .join(group.toDF("doc_id", "label"), "doc_id", "left")
-        .select("sign", "doc_id", F.coalesce("label", "doc_id").alias("label")), "members")
+    group = smallest_reachable(links).toDF("doc_id", "label")
+    members = cut_lineage(shared.join(group, "doc_id", "left").select("sign", "doc_id", F.coalesce("label", "doc_id").alias("label")), "members")
     mixed = members.groupBy("sign").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    apart = cut_lineage(members.join(cut_lineage(mixed.select("sign"), "mixed"), "sign").distinct(), "apart")
-    pairs = (apart.toDF("sign", "a", "label_a").join(apart.toDF("sign", "b", "label_b"), "sign")
-             .where("a < b and label_a <> label_b").select("a", "b").distinct())
-    more = _links(docs, alike_in_size(pairs), shingle, percent)
+    odd = [f"odd_{i}" for i in range(SKETCH)]
+    sketches = real.groupBy("doc_id").agg(F.max("n_shingles").alias("size"), F.min("n_shingles").alias("least"), F.count_distinct("set_a").alias("texts"),
+                                          *(F.first(x).alias(x) for x in odd))
+    apart = cut_lineage(members.join(cut_lineage(mixed.select("sign"), "mixed"), "sign").distinct().join(sketches, "doc_id"), "apart")
+    differ = " + ".join(f"bit_count(a.{x} ^ b.{x})" for x in odd)
+    alike = (f"100 * a.size >= {percent} * b.least and 100 * b.size >= {percent} * a.least and (a.texts > 1 or b.texts > 1 "
+             f"or ({100 + percent}) * ({differ}) <= {100 - percent} * (a.size + b.size))")
+    pairs = (apart.alias("a").join(apart.alias("b"), F.expr(f"a.sign = b.sign and a.doc_id < b.doc_id and a.label <> b.label and {alike}"))
+             .select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct())
+    more = _links(docs, pairs, shingle, percent)
 
     linked = links.union(more).union(copies.toDF("a", "b"))
     return sets.join(smallest_reachable(linked).toDF("doc_id", "label"), "doc_id", "left").select(
