@@ -135,6 +135,12 @@ def duration_text(seconds: Column) -> Column:
     return F.format_string("%dh%02dm%02ds", F.floor(whole / 3600), F.floor(whole % 3600 / 60), whole % 60)
 
 
-def exact_avg(value: Column, scale: int = 6) -> Column:
-    """Mean over decimals, so that it does not depend on the order in which tasks add up."""
-    return F.avg(value.try_cast(f"decimal(18,{scale})")).cast("double")
+def exact_avg(value: Column, scale: int = 12) -> Column:
+    """Mean over decimals, so that it does not depend on the order in which tasks add up.
+
+    Values are rounded to ``scale`` places. One with more than ``38 - scale`` digits before the point
+    fails instead of being left out; NaN and infinities fail too.
+    """
+    exact = value.cast(f"decimal(38,{scale})")
+    checked = F.when(value.isNotNull() & exact.isNull(), F.raise_error(F.lit("value does not fit an exact mean"))).otherwise(exact)
+    return F.try_divide(F.sum(checked).cast("double"), F.count(value)).cast("double")

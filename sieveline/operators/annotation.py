@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import first_match
 from ..functions.text import blank_to_null, contains_any, joined, matched_terms
 from ..params import (
+    DEFAULTS,
     ANCHOR_TERMS, FEEDING_FAMILIES, FUNCTION_CLASS_KEYWORDS, INDUCTION_TERMS,
     LITERATURE_ORGANISMS, LITERATURE_PHENOTYPES)
 from ..session import cut_lineage, spread_small_scan
@@ -150,9 +151,17 @@ def word_form(term: str) -> str:
     return f" {term[:-1].lower()}" if term.endswith("*") else f" {term.lower()} "
 
 
-def literature_terms(targets: DataFrame) -> DataFrame:
-    """(target, term): the gene, and the first 40 characters of a name longer than three."""
-    name = F.when(F.length("name") > 3, F.left(F.col("name"), F.lit(40)))
+def literature_terms(targets: DataFrame, name_chars: int | None = DEFAULTS.literature_name_chars) -> DataFrame:
+    """(target, term): the gene, and a name longer than three characters.
+
+    A name of more than ``name_chars`` ends with its last whole word within them, since a part of a word
+    would only be found by accident; None asks for the whole name.
+    """
+    name = F.col("name")
+    if name_chars is not None:
+        whole = F.regexp_extract(F.left(name, F.lit(name_chars + 1)), r"(?s)^(.*[^\p{L}\p{N}])", 1)
+        name = F.when(F.length(name) <= name_chars, name).when(F.trim(whole) != "", whole).otherwise(F.left(name, F.lit(name_chars)))
+    name = F.when(F.length("name") > 3, name)
     term = F.explode(F.array_compact(F.array(blank_to_null(F.col("gene")), name)))
     rows = targets.select("target", term.alias("_t")).select("target", F.trim(plain_words(F.col("_t"))).alias("term"))
     return rows.where(F.col("term") != "").distinct()
@@ -161,6 +170,7 @@ def literature_terms(targets: DataFrame) -> DataFrame:
 def literature_matches(targets: DataFrame, abstracts: DataFrame,
                        organisms: Sequence[str] = LITERATURE_ORGANISMS,
                        phenotypes: Sequence[str] = LITERATURE_PHENOTYPES,
+                       name_chars: int | None = DEFAULTS.literature_name_chars,
                        rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """(target, pmid) of abstracts that name the target, an organism and a phenotype.
 
@@ -174,7 +184,7 @@ def literature_matches(targets: DataFrame, abstracts: DataFrame,
     # filtering a one-element array cleans each text once, where a filter on the column would repeat it
     clean = F.explode(F.filter(F.array(plain_words(F.col("text"))), fits))
     relevant = cut_lineage(spread_small_scan(abstracts).select("pmid", clean.alias("words")), "abstracts")
-    parts = cut_lineage(literature_terms(targets).select("target", "term", F.explode(F.split("term", " ")).alias("token")), "terms")
+    parts = cut_lineage(literature_terms(targets, name_chars).select("target", "term", F.explode(F.split("term", " ")).alias("token")), "terms")
     named = relevant.select("pmid", F.explode(F.array_distinct(F.split(F.trim("words"), " "))).alias("token"))
     tokens = cut_lineage(named.join(parts.select("token").distinct(), "token", "left_semi"), "tokens")
     spread = parts.join(tokens.groupBy("token").agg(F.count("*").alias("_n")), "token", "left").withColumn(

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import (
     exact_avg, identity_bucket, score_bin, selectivity_ratio, selectivity_verdict)
-from ..params import DEFAULTS, ScreenParams
+from ..params import DEFAULTS, STATIC_EXCLUSIONS, ScreenParams
 from ..session import cut_lineage
 from .ledger import PAIR, n
-from .ordering import ranked_top, tail_counts, top_per_group
+from .ordering import lowest_rows, ranked_top, tail_counts, top_per_group
 
 BEST_FIRST = ("score", "target", "ligand")
 
@@ -21,13 +21,15 @@ def exclude_ids(df: DataFrame, ids: Sequence | DataFrame, key: str = "ligand") -
     """Drop rows whose id is listed, from a short list or a table with column ``key``."""
     if isinstance(ids, DataFrame):
         return df.join(ids.select(key), key, "left_anti")
-    return df.where(~F.col(key).isin(*ids)) if ids else df
+    listed = F.col(key).cast("string").isin(*map(str, ids)) if ids else F.lit(False)
+    return df.where(~F.coalesce(listed, F.lit(False)))
 
 
 def top_hits(facts: DataFrame, threshold: float | None = None, top: int | None = None,
-             exclude: Sequence | DataFrame = (), p: ScreenParams = DEFAULTS) -> DataFrame:
+             exclude: Sequence | DataFrame = STATIC_EXCLUSIONS, p: ScreenParams = DEFAULTS) -> DataFrame:
     """Best score of each (target, ligand) at or below the threshold, with the round it was first
-    a hit. The threshold is applied to the facts, so it reaches the scan."""
+    a hit. The threshold is applied to the facts, so it reaches the scan. Ligands that are known to stick
+    to everything are left out by default."""
     cut = p.hit_score if threshold is None else threshold
     hits = exclude_ids(facts.where(F.col("score") <= cut), exclude).groupBy(*PAIR).agg(
         F.min("score").alias("score"), F.min("round").alias("first_seen_round"))
@@ -37,26 +39,24 @@ def top_hits(facts: DataFrame, threshold: float | None = None, top: int | None =
 def target_stats(facts: DataFrame, p: ScreenParams = DEFAULTS) -> DataFrame:
     """Per target: scored facts, hits, hit rate, and the best ligand where the best is negative."""
     scored = facts.where(F.col("score").isNotNull())
-    best = F.min(F.when(F.col("score") < 0, F.struct("score", "ligand")))
-    return scored.groupBy("target").agg(
-        F.count("*").alias("n_scored"), n(F.col("score") <= p.hit_score).alias("n_hits"), best.alias("_b"),
-    ).select(
+    stats = scored.groupBy("target").agg(F.count("*").alias("n_scored"), n(F.col("score") <= p.hit_score).alias("n_hits"))
+    best = lowest_rows(scored.where("score < 0"), ["target"], "score", ["ligand"]).toDF("_target", "best_score", "best_ligand")
+    return stats.join(best, F.col("target").eqNullSafe(F.col("_target")), "left").select(
         "target", "n_scored", "n_hits",
-        F.round(F.col("n_hits") / F.col("n_scored"), 3).alias("hit_rate"),
-        F.col("_b.score").alias("best_score"), F.col("_b.ligand").alias("best_ligand"),
-    )
+        F.round(F.col("n_hits") / F.col("n_scored"), 3).alias("hit_rate"), "best_score", "best_ligand")
 
 
 def docking_summary(poses: DataFrame, p: ScreenParams = DEFAULTS) -> DataFrame:
     """Per target: ligands docked, hits, leads and the best pose."""
-    per_ligand = poses.where(F.col("score").isNotNull()).groupBy(*PAIR).agg(F.min("score").alias("score"))
-    return per_ligand.groupBy("target").agg(
+    scored = poses.where(F.col("score").isNotNull())
+    per_ligand = scored.groupBy(*PAIR).agg(F.min("score").alias("score"))
+    totals = per_ligand.groupBy("target").agg(
         F.count("*").alias("total_docked"),
         n(F.col("score") <= p.hit_score).alias("hits"),
-        n(F.col("score") <= p.lead_score).alias("leads"),
-        F.min(F.struct("score", "ligand")).alias("_b"),
-    ).select("target", "total_docked", "hits", "leads",
-             F.col("_b.score").alias("best_energy"), F.col("_b.ligand").alias("best_ligand"))
+        n(F.col("score") <= p.lead_score).alias("leads"))
+    best = lowest_rows(scored, ["target"], "score", ["ligand"]).toDF("_target", "best_energy", "best_ligand")
+    return totals.join(best, F.col("target").eqNullSafe(F.col("_target"))).select(
+        "target", "total_docked", "hits", "leads", "best_energy", "best_ligand")
 
 
 def docking_totals(summary: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import score_tier, score_zone, stored_exhaustiveness
 from ..params import DEFAULTS, ScreenParams
 from ..session import cut_lineage
-from .ordering import dense_index, keep_first, running_by_round, top_per_group
+from .ordering import dense_index, keep_first, lowest_rows, running_by_round, top_per_group
 
 PAIR = ["target", "ligand"]
 TARGETS_PER_SLICE = 1000
@@ -164,21 +164,20 @@ def batch_summary(facts: DataFrame, p: ScreenParams = DEFAULTS) -> DataFrame:
 
     A target counts as ok in a batch when at least one score is present there.
     """
-    answered = F.when(F.col("score").isNotNull(), F.col("target"))
-    return facts.groupBy("round", "batch_id").agg(
-        F.countDistinct("ligand").alias("n_ligands"),
-        F.countDistinct("target").alias("n_targets"),
-        F.countDistinct(answered).alias("n_ok"),
-        n(F.col("score") <= p.hit_score).alias("total_hits"),
-    ).withColumn("n_failed", F.col("n_targets") - F.col("n_ok"))
+    batch = ["round", "batch_id"]
+    by_ligand = facts.groupBy(*batch, "ligand").agg(n(F.col("score") <= p.hit_score).alias("_hits")).groupBy(*batch).agg(
+        F.count("ligand").alias("n_ligands"), F.sum("_hits").alias("total_hits"))
+    by_target = facts.groupBy(*batch, "target").agg(F.count("score").alias("_scores")).groupBy(*batch).agg(
+        F.count("target").alias("n_targets"), n(F.col("target").isNotNull() & (F.col("_scores") > 0)).alias("n_ok"))
+    by_target = by_target.withColumnsRenamed({"round": "_round", "batch_id": "_batch"})
+    same = F.col("round").eqNullSafe(F.col("_round")) & F.col("batch_id").eqNullSafe(F.col("_batch"))
+    return by_ligand.join(by_target, same).select(
+        *batch, "n_ligands", "n_targets", "n_ok", "total_hits", (F.col("n_targets") - F.col("n_ok")).alias("n_failed"))
 
 
 def batch_top(facts: DataFrame, k: int = 5) -> DataFrame:
     """Best ``k`` (target, ligand) of each batch, one per target, as in the batch report."""
-    scored = facts.where(F.col("score").isNotNull())
-    best = scored.groupBy("round", "batch_id", "target").agg(
-        F.min(F.struct("score", "ligand")).alias("_b")
-    ).select("round", "batch_id", "target", "_b.score", "_b.ligand")
+    best = lowest_rows(facts, ["round", "batch_id", "target"], "score", ["ligand"])
     return top_per_group(best, ["round", "batch_id"], [F.col("score"), F.col("target"), F.col("ligand")], k)
 
 
@@ -217,20 +216,17 @@ def campaign_top(facts: DataFrame, k: int = 5) -> DataFrame:
 
 def round_summary(facts: DataFrame, p: ScreenParams = DEFAULTS) -> DataFrame:
     """One row per round: sizes, distinct hits and the best pair."""
-    scored = F.col("score").isNotNull()
-    pairs = facts.groupBy("round", *PAIR).agg(F.min("score").alias("score"), F.max("exh").alias("exh"))
-    return pairs.groupBy("round").agg(
-        F.max("exh").alias("exh"),
-        F.countDistinct("ligand").alias("n_ligands"),
-        F.countDistinct("target").alias("n_targets"),
-        n(F.col("score") <= p.hit_score).alias("n_hits"),
-        F.min(F.when(scored, F.struct("score", "target", "ligand"))).alias("_b"),
-    ).select(
-        "round", "exh", "n_ligands", "n_targets", "n_hits",
-        F.col("_b.score").alias("best_score"),
-        F.col("_b.ligand").alias("best_ligand"),
-        F.col("_b.target").alias("best_target"),
-    )
+    by_ligand = facts.groupBy("round", "ligand").agg(F.max("exh").alias("_exh")).groupBy("round").agg(
+        F.max("_exh").alias("exh"), F.count("ligand").alias("n_ligands"))
+    by_target = facts.groupBy("round", "target").count().groupBy("round").agg(F.count("target").alias("n_targets"))
+    hits = facts.where(F.col("score") <= p.hit_score).groupBy("round", *PAIR).count().groupBy("round").agg(F.count("*").alias("n_hits"))
+    best = lowest_rows(facts, ["round"], "score", ["target", "ligand"]).toDF("round", "best_score", "best_target", "best_ligand")
+    rounds = by_ligand
+    for part, how in ((by_target, "inner"), (hits, "left"), (best, "left")):
+        part = part.withColumnRenamed("round", "_round")
+        rounds = rounds.join(part, F.col("round").eqNullSafe(F.col("_round")), how).drop("_round")
+    return rounds.select("round", "exh", "n_ligands", "n_targets", F.coalesce("n_hits", F.lit(0)).alias("n_hits"),
+                         "best_score", "best_ligand", "best_target")
 
 
 def upsert_rounds(existing: DataFrame, new: DataFrame) -> DataFrame:

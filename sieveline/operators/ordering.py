@@ -76,6 +76,22 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
 
 
+def lowest_rows(df: DataFrame, keys: Sequence[str], value: str, ties: Sequence[str]) -> DataFrame:
+    """(keys, value, ties): the row of lowest ``value`` in each group, ties by ``ties``; for few groups.
+
+    The lowest value of each group is found by hash aggregation and looked up again, so only rows
+    that are tied for it are ordered. Rows without a value are left out.
+    """
+    valued = df.where(F.col(value).isNotNull())
+    lowest = cut_lineage(valued.groupBy(*keys).agg(F.min(value).alias("_low")), "lowest")
+    same = F.col(value) == F.col("_low")
+    for key in keys:
+        lowest = lowest.withColumnRenamed(key, f"_{key}")
+        same = same & F.col(key).eqNullSafe(F.col(f"_{key}"))
+    tied = valued.join(lowest, same).groupBy(*keys).agg(F.min(F.struct(value, *ties)).alias("_row"))
+    return tied.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in (value, *ties)])
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """One row per key, the smallest under ``order``; pre-aggregated before the shuffle."""
     rest = [c for c in df.columns if c not in keys]

@@ -11,19 +11,16 @@ from ..session import cut_lineage
 
 # A key is hot above this many rows on either side: two full slices are then compared in one task.
 ROWS_PER_SLICE = 20_000
-# Only the largest keys are sliced, which bounds the table of hot keys whatever the input size.
-MAX_HOT_KEYS = 10_000
 
 
 def hot_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], rows_per_slice: int) -> DataFrame:
-    """Hot keys with the number of slices each side needs; at most 2 x MAX_HOT_KEYS rows."""
+    """Every hot key with the number of slices each side needs, however many there are."""
     keys = list(keys)
 
-    def largest(df: DataFrame, name: str) -> DataFrame:
-        counts = df.groupBy(*keys).agg(F.count("*").alias(name)).where(F.col(name) > rows_per_slice)
-        return counts.orderBy(F.desc(name)).limit(MAX_HOT_KEYS)
+    def large(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.count("*").alias(name)).where(F.col(name) > rows_per_slice)
 
-    both = largest(left, "n_left").unionByName(largest(right, "n_right"), allowMissingColumns=True)
+    both = large(left, "n_left").unionByName(large(right, "n_right"), allowMissingColumns=True)
 
     def slices(side: str) -> Column:
         return F.greatest(F.lit(1), F.ceil(F.coalesce(F.max(f"n_{side}"), F.lit(1)) / rows_per_slice).cast("int"))
@@ -42,7 +39,9 @@ def sliced_join(
 
     The left rows of a hot key fall into ``_ls`` slices and are repeated over the right's ``_rs``,
     and the other way round, so each pair meets exactly once and no task sees more than a slice
-    of either side. Without hot keys it is a plain join. Key sizes are counted first, in one
+    of either side. Slices depend on the size of a key alone. The written table of hot keys is broadcast
+    only if Spark finds it small; else it is joined by a shuffle, where adaptive execution splits the
+    side with the hot keys. Without hot keys it is a plain join. Key sizes are counted first, in one
     pre-aggregated pass over each side, so the sides should be cheap to read twice. The two sides
     share no column names beyond ``keys``; ``condition`` is evaluated inside the join.
     """
@@ -51,7 +50,6 @@ def sliced_join(
     if hot.isEmpty():
         matched = left.join(right, keys)
         return matched if condition is None else matched.where(condition)
-    hot = F.broadcast(hot)  # at most 2 x MAX_HOT_KEYS rows
 
     def spread(df: DataFrame, own: str, other: str, own_slice: str, other_slice: str) -> DataFrame:
         mixed = F.xxhash64(*[F.col(c) for c in df.columns])

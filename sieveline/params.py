@@ -14,6 +14,9 @@ class ScreenParams:
     moderate_score: float = -5.0
     near_miss_margin: float = 1.5
 
+    # literature: characters of a target's name that are looked for
+    literature_name_chars: int = 40
+
     # ledger
     permanent_exhaustiveness: int = 9999
     legacy_exhaustiveness: int = 4

@@ -100,36 +100,37 @@ def clean_hits(t):
 
 
 @query("enrich_hits", """best AS (SELECT *, row_number() OVER (ORDER BY score, target, ligand) AS rank FROM top_pairs),
-    sel AS (SELECT ligand, max(score) AS host_score FROM facts WHERE round = 7 AND score IS NOT NULL GROUP BY 1)
+    sel AS (SELECT ligand, max(score) AS host_score FROM facts WHERE score IS NOT NULL GROUP BY 1)
     SELECT CAST(rank AS INT) AS rank, b.target, b.ligand, b.score, b.first_seen_round, d.name, d.max_identity, d.pan_tick,
     c.smiles, c.mw, s.host_score FROM best b LEFT JOIN target_dim d ON d.target = b.target
-    LEFT JOIN (SELECT * FROM compounds WHERE max_phase >= 2) c ON c.ligand = b.ligand LEFT JOIN sel s ON s.ligand = b.ligand WHERE rank <= 60""")
+    LEFT JOIN compounds c ON c.ligand = b.ligand LEFT JOIN sel s ON s.ligand = b.ligand WHERE rank <= 60""")
 def enrich_hits(t):
-    host = t.facts.where("round = 7 AND score IS NOT NULL").groupBy("ligand").agg(F.max("score").alias("host_score"))
+    host = t.facts.where("score IS NOT NULL").groupBy("ligand").agg(F.max("score").alias("host_score"))
     return H.enrich_hits(
         H.top_hits(t.facts), t.targets.select("target", "name", "max_identity", "pan_tick"),
-        t.compounds.where("max_phase >= 2").select("ligand", "smiles", "mw"), host, top=60)
+        t.compounds.select("ligand", "smiles", "mw"), host, top=60)
 
 
-@query("append_new_targets", """SELECT target, name, 'ranked' AS origin FROM target_dim WHERE acctbal > 4000
-    UNION ALL SELECT target, NULL AS name, 'added' AS origin FROM (SELECT DISTINCT target FROM facts WHERE score <= -12) WHERE target NOT IN (SELECT target FROM target_dim WHERE acctbal > 4000)""")
+@query("append_new_targets", """SELECT target, name, 'ranked' AS origin FROM target_dim WHERE target % 2 = 0
+    UNION ALL SELECT target, NULL AS name, 'added' AS origin FROM (SELECT target FROM target_dim WHERE target % 2 <> 0 UNION SELECT target FROM facts)
+    WHERE target NOT IN (SELECT target FROM target_dim WHERE target % 2 = 0)""")
 def append_new_targets(t):
-    existing = t.targets.where("acctbal > 4000").select("target", "name", F.lit("ranked").alias("origin"))
-    new = t.facts.where("score <= -12").select("target").distinct().withColumn("origin", F.lit("added"))
+    existing = t.targets.where("target % 2 = 0").select("target", "name", F.lit("ranked").alias("origin"))
+    new = t.targets.where("target % 2 <> 0").select("target").union(t.facts.select("target")).distinct().withColumn("origin", F.lit("added"))
     return H.append_new(existing, new, ["target"])
 
 
-@query("annotate_scores", STATS.format(and_where="AND round = 2 AND batch_id = 1 AND score <= -12") + """
+@query("annotate_scores", ALL_STATS + """
     SELECT d.target, d.name, CASE WHEN s.target IS NOT NULL THEN round(s.best_score, 3) ELSE d.acctbal END AS best_score, s.best_ligand, s.n_hits, s.hit_rate
     FROM target_dim d LEFT JOIN t_stats s ON s.target = d.target AND s.best_score < 0""")
 def annotate_scores(t):
     old = t.targets.select("target", "name", F.col("acctbal").alias("best_score"))
-    return H.annotate_scores(old, H.target_stats(t.facts.where("round = 2 AND batch_id = 1 AND score <= -12")))
+    return H.annotate_scores(old, H.target_stats(t.facts))
 
 
 SELECTIVITY = """a AS (SELECT ligand, CASE WHEN min(score) > -11.5 THEN 0 ELSE min(score) END AS primary_score
         FROM facts WHERE target % 2 = 0 AND score IS NOT NULL GROUP BY 1),
-    b AS (SELECT ligand, min(score) AS host_score FROM facts WHERE target % 2 = 1 AND round >= 6 AND score IS NOT NULL GROUP BY 1),
+    b AS (SELECT ligand, min(score) AS host_score FROM facts WHERE target % 2 = 1 AND score IS NOT NULL GROUP BY 1),
     j AS (SELECT a.ligand, primary_score, host_score, CASE WHEN primary_score <> 0 THEN host_score / primary_score END AS r
         FROM a LEFT JOIN b ON a.ligand = b.ligand)"""
 
@@ -138,7 +139,7 @@ def _selectivity(t, tiers=4):
     scored = t.facts.where("score IS NOT NULL")
     best = F.min("score")
     primary = scored.where("target % 2 = 0").groupBy("ligand").agg(F.when(best > -11.5, 0.0).otherwise(best).alias("score"))
-    host = scored.where("target % 2 = 1 AND round >= 6").groupBy("ligand").agg(best.alias("score"))
+    host = scored.where("target % 2 = 1").groupBy("ligand").agg(best.alias("score"))
     return H.selectivity(primary, host, tiers)
 
 
@@ -171,16 +172,16 @@ def select_hits_listed(t):
     return H.select_hits(H.top_hits(t.facts), targets=(3, 4)).select("target", "ligand", "score", "rank")
 
 
-@query("priority_targets", STATS.format(and_where="AND round = 1 AND batch_id = 1 AND score <= -11.75") + """,
-    clean AS (SELECT target, min(score) AS k, 1 AS tier FROM facts WHERE score <= -12.25 AND round = 7 AND batch_id <= 3 GROUP BY 1),
+@query("priority_targets", STATS.format(and_where="AND target % 2 <> 0") + """,
+    clean AS (SELECT target, min(score) AS k, 1 AS tier FROM facts WHERE score <= -7 AND target % 2 = 0 GROUP BY 1),
     listed AS (SELECT d.target, CASE WHEN s.best_score < 0 THEN s.best_score ELSE -novelty_score END AS k,
         CASE WHEN s.best_score < 0 THEN 2 ELSE 3 END AS tier FROM target_dim d LEFT JOIN t_stats s ON s.target = d.target),
     u AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY tier, k) AS rn FROM (SELECT * FROM clean UNION ALL SELECT * FROM listed))
     SELECT target, CAST(tier AS INT) AS tier, CAST(row_number() OVER (ORDER BY tier, k, target) AS INT) AS rank FROM u WHERE rn = 1
     ORDER BY rank LIMIT 80""")
 def priority_targets(t):
-    clean = t.facts.where("score <= -12.25 AND round = 7 AND batch_id <= 3")
-    stats = H.target_stats(t.facts.where("round = 1 AND batch_id = 1 AND score <= -11.75")).select("target", "best_score")
+    clean = t.facts.where("score <= -7 AND target % 2 = 0")
+    stats = H.target_stats(t.facts.where("target % 2 <> 0")).select("target", "best_score")
     listed = t.targets.select("target", F.col("novelty_score").alias("final_score")).join(stats, "target", "left")
     return H.priority_targets(clean, listed, 80)
 

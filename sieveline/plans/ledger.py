@@ -32,9 +32,9 @@ def zone_split(t):
 
 
 @query("zone_rows", f"""SELECT round, batch_id, target, ligand, score, {ZONE} AS zone
-    FROM facts WHERE score IS NOT NULL AND score <= -5.5""")
+    FROM facts WHERE score IS NOT NULL""")
 def zone_rows(t):
-    return L.zone_split(t.facts).where(F.col("zone") != "clear_fail").select(
+    return L.zone_split(t.facts).select(
         "round", "batch_id", "target", "ligand", "score", "zone")
 
 
@@ -52,12 +52,12 @@ def retention_totals(t):
     return L.retention_totals(L.retention_plan(t.facts, mode="prune"))
 
 
-@query("tiered_rewrite", f"""SELECT {TIER} AS tier, target, count(*) AS n_files, min(score) AS best_score
-    FROM facts WHERE score <= -7 GROUP BY 1, 2""")
+@query("tiered_rewrite", f"""SELECT {TIER} AS tier, CASE WHEN {TIER} IN ('lead', 'hit', 'unknown') THEN 'keep' ELSE 'archive' END AS action, target,
+    count(*) AS n_files, min(score) AS best_score FROM facts GROUP BY 1, 2, 3""")
 def tiered_rewrite(t):
     path = scratch_path(t.spark, "tiers")
     L.write_tiers(L.retention_plan(t.facts.select("target", "ligand", "score", "size")), path)
-    return t.spark.read.parquet(path).where("action = 'keep' AND tier <> 'unknown'").groupBy("tier", "target").agg(
+    return t.spark.read.parquet(path).groupBy("tier", "action", "target").agg(
         F.count("*").alias("n_files"), F.min("score").alias("best_score"))
 
 
@@ -81,13 +81,12 @@ def ledger_counts(t):
 
 
 @query("pending_work", f"""pairs AS (SELECT DISTINCT target, ligand FROM facts),
-    l AS (SELECT target, ligand, max({EFFORT}) AS exh FROM ledger_rows WHERE round <= 2 GROUP BY 1, 2)
+    l AS (SELECT target, ligand, max({EFFORT}) AS exh FROM ledger_rows GROUP BY 1, 2)
     SELECT target, ligand FROM pairs p
     WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.target = p.target AND l.ligand = p.ligand AND l.exh >= 8)
-      AND NOT EXISTS (SELECT 1 FROM facts h WHERE h.round = 3 AND h.score <= -7 AND h.target = p.target AND h.ligand = p.ligand)""")
+      AND NOT EXISTS (SELECT 1 FROM facts h WHERE h.score <= -7 AND h.target = p.target AND h.ligand = p.ligand)""")
 def pending_work(t):
-    hits = H.top_hits(t.facts.where("round = 3"))
-    return L.pending_work(t.facts.select(*PAIRS).distinct(), L.compact_ledger(t.ledger.where("round <= 2")), hits, 8)
+    return L.pending_work(t.facts.select(*PAIRS).distinct(), L.compact_ledger(t.ledger), H.top_hits(t.facts), 8)
 
 
 @query("assign_batches", """SELECT ligand, row_number() OVER (ORDER BY ligand) - 1 AS idx,
@@ -172,10 +171,10 @@ def round_summary(t):
     return L.round_summary(t.facts)
 
 
-@query("upsert_rounds", ROUNDS + """, early AS (SELECT round, count(*) AS n FROM facts WHERE score <= -11 GROUP BY 1)
+@query("upsert_rounds", ROUNDS + """, early AS (SELECT round, count(*) AS n FROM facts GROUP BY 1)
     SELECT round, n AS n_hits FROM early WHERE round > 3 UNION ALL SELECT round, n_hits FROM rounds WHERE round <= 3""")
 def upsert_rounds(t):
-    stale = t.facts.where("score <= -11").groupBy("round").agg(F.count("*").alias("n_hits"))
+    stale = t.facts.groupBy("round").agg(F.count("*").alias("n_hits"))
     fresh = L.round_summary(t.facts).where("round <= 3").select("round", "n_hits")
     path = scratch_path(t.spark, "rounds")
     L.write_rounds(stale, path)
@@ -225,8 +224,8 @@ STATS = """SELECT ligand AS target, min(score) AS best_score, arg_min(target, (s
     count(*) FILTER (WHERE score <= -7) AS n_hits FROM (SELECT * FROM facts WHERE score IS NOT NULL AND {where}) GROUP BY ligand"""
 
 
-@query("merge_score_sources", f"""a AS ({STATS.format(where="round = 1")}),
-    b AS ({STATS.format(where="round = 7")})
+@query("merge_score_sources", f"""a AS ({STATS.format(where="round % 2 <> 0")}),
+    b AS ({STATS.format(where="round % 2 = 0")})
     SELECT coalesce(a.target, b.target) AS target,
     CASE WHEN a.target IS NULL OR b.best_score < a.best_score THEN b.best_score ELSE a.best_score END AS best_score,
     CASE WHEN a.target IS NULL OR b.best_score < a.best_score THEN b.best_ligand ELSE a.best_ligand END AS best_ligand,
@@ -235,7 +234,7 @@ STATS = """SELECT ligand AS target, min(score) AS best_score, arg_min(target, (s
     FROM a FULL JOIN b ON a.target = b.target""")
 def merge_score_sources(t):
     swapped = t.facts.select("round", F.col("ligand").alias("target"), F.col("target").alias("ligand"), "score")
-    return L.merge_score_sources(H.target_stats(swapped.where("round = 1")), H.target_stats(swapped.where("round = 7")))
+    return L.merge_score_sources(H.target_stats(swapped.where("round % 2 <> 0")), H.target_stats(swapped.where("round % 2 = 0")))
 
 
 @query("apply_refinement", """r AS (SELECT target, ligand, min(score) AS new FROM facts WHERE round = 7 AND score IS NOT NULL GROUP BY 1, 2)

@@ -194,10 +194,11 @@ FACTS_PER_DROP = 2000
 
 
 def write_drops(t, path, facts=None):
-    """Batch drops of the facts, one JSON object per (round, batch, chunk) with arrays per section.
-    The number of chunks follows the table, so that a drop stays small."""
+    """Batch drops of the facts: one file of indented JSON for each (round, batch, chunk), with arrays per
+    section. The round is in the file's path only. The number of chunks follows the table, so that a drop stays small."""
     facts = t.facts if facts is None else facts
-    chunks = F.greatest(F.lit(1), F.ceil(t.facts.agg(F.count("*")).scalar() / FACTS_PER_DROP))
+    total, batches = t.facts.agg(F.count("*")).scalar(), t.facts.agg(F.count_distinct("round", "batch_id")).scalar()
+    chunks = F.greatest(F.lit(1), F.ceil(total / batches / FACTS_PER_DROP))
     text = facts.select(
         "round", "batch_id", F.when(F.col("batch_id") % 2 == 0, 6).alias("file_exh"),
         F.pmod(F.xxhash64(*facts.columns), chunks).alias("chunk"),
@@ -206,7 +207,9 @@ def write_drops(t, path, facts=None):
                  F.when(F.col("line") != 1, F.col("exh")).alias("exh")).alias("fact"))
     drops = text.groupBy("round", "batch_id", "chunk").agg(
         F.max("file_exh").alias("exh"), *[F.collect_list(F.when(F.col("zone") == z, F.col("fact"))).alias(z) for z in SL.SECTIONS])
-    drops.drop("chunk").write.json(path)
+    body = F.to_json(F.struct("batch_id", "exh", *SL.SECTIONS), {"pretty": "true"})
+    name = F.format_string("batch_R%d_B%d_compressed.json", "round", "batch_id")
+    drops.select(name.alias("drop"), body.alias("value")).write.option("maxRecordsPerFile", 1).partitionBy("drop").text(path)
 
 
 DROPS = """SELECT round, batch_id, CAST(target AS VARCHAR) AS target, CAST(ligand AS VARCHAR) AS ligand, score,
@@ -217,7 +220,7 @@ DROPS = """SELECT round, batch_id, CAST(target AS VARCHAR) AS target, CAST(ligan
 def read_batch_drops(t):
     path = scratch_path(t.spark, "drops")
     write_drops(t, path)
-    return SL.read_batch_drops(t.spark, path, multi_line=False)
+    return SL.read_batch_drops(t.spark, path)
 
 
 @query("box_configs", "SELECT 'T' || p_partkey AS target, CAST(p_size AS DOUBLE) AS center_x, p_retailprice AS center_y, CAST(-p_size AS DOUBLE) AS center_z, 20.0::DOUBLE AS size_x, 20.0::DOUBLE AS size_y, 25.0::DOUBLE AS size_z FROM part WHERE p_partkey % 9 <> 0")
@@ -303,11 +306,11 @@ def write_per_target(t):
     return t.spark.read.schema("ligand bigint, score double, target bigint").json(path)
 
 
-@query("write_facts", "SELECT batch_id, count(*) AS n_facts, min(score) AS best_score FROM facts WHERE round = 3 GROUP BY 1")
+@query("write_facts", "SELECT round, batch_id, count(*) AS n_facts, min(score) AS best_score FROM facts GROUP BY 1, 2")
 def write_facts(t):
     path = scratch_path(t.spark, "facts")
     sinks.write_facts(t.facts.select("round", "batch_id", "target", "ligand", "score", "exh"), path)
-    return t.spark.read.parquet(path).where("round = 3").groupBy("batch_id").agg(F.count("*").alias("n_facts"), F.min("score").alias("best_score"))
+    return t.spark.read.parquet(path).groupBy(F.col("round").cast("int").alias("round"), F.col("batch_id").cast("int").alias("batch_id")).agg(F.count("*").alias("n_facts"), F.min("score").alias("best_score"))
 
 
 @query("slim_projection", "SELECT doc_id, lang FROM documents")

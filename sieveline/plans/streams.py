@@ -20,7 +20,7 @@ def _run(t, operator, sink, mode):
     landing, checkpoint = scratch_path(t.spark, "landing"), scratch_path(t.spark, "checkpoint")
     for i in range(PARTS):
         write_drops(t, f"{landing}/{i}", t.facts.where(F.floor((F.col("round") - 1) * PARTS / 7) == i))
-        I.start(operator(I.stream_drops(t.spark, f"{landing}/*")), sink, checkpoint, mode).awaitTermination()
+        I.start(operator(I.stream_drops(t.spark, landing)), sink, checkpoint, mode).awaitTermination()
 
 
 @query("stream_top_hits", """SELECT CAST(target AS VARCHAR) AS target, CAST(ligand AS VARCHAR) AS ligand, min(score) AS score,
@@ -40,12 +40,15 @@ def stream_new_hits(t):
     return t.spark.read.option("basePath", path).parquet(path).select("round", "target", "ligand")
 
 
-@query("stream_trend", """SELECT CAST(sum(1) AS BIGINT) AS new_hits, CAST(sum(1) AS BIGINT) AS cum_hits, min(score) AS best_score FROM top_pairs""")
+@query("stream_trend", """f AS (SELECT target, ligand, min(round * 100 + batch_id) AS b, min(score) AS s FROM facts WHERE score <= -7 GROUP BY 1, 2),
+    n AS (SELECT b, count(*) AS new_hits, min(s) AS best FROM f GROUP BY 1)
+    SELECT CAST(b // 100 AS INT) AS round, CAST(b % 100 AS INT) AS batch_id, new_hits, CAST(sum(new_hits) OVER w AS BIGINT) AS cum_hits, min(best) OVER w AS best_score
+    FROM n WINDOW w AS (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def stream_trend(t):
-    path = scratch_path(t.spark, "trend")
-    _run(t, I.best_scores, I.trend_sink(path), "update")
-    rows = I.read_epochs(t.spark, path, I.TREND)
-    return rows.agg(F.sum("new_hits").alias("new_hits"), F.max("cum_hits").alias("cum_hits"), F.min("best_score").alias("best_score"))
+    path = scratch_path(t.spark, "best")
+    _run(t, I.best_scores, I.table_sink(path), "update")
+    rows = t.spark.read.option("basePath", path).parquet(path)
+    return I.pair_trend(I.latest(rows, ["target", "ligand"]))
 
 
 @query("stream_ledger", """e AS (SELECT target, ligand, coalesce(CASE WHEN line <> 1 THEN exh WHEN batch_id % 2 = 0 THEN 6 END, CASE WHEN score <= -5.5 THEN 4 ELSE 9999 END) AS exh FROM facts)
@@ -70,10 +73,10 @@ def stream_refresh(t):
     return t.spark.read.parquet(stats).select("target", "n_scored", "n_hits", "best_score")
 
 
-@query("stream_jobs", """SELECT DISTINCT target || '_' || ligand AS job_name FROM facts WHERE score <= -12""")
+@query("stream_jobs", """SELECT DISTINCT target || '_' || ligand AS job_name FROM facts WHERE score <= -7""")
 def stream_jobs(t):
     path = scratch_path(t.spark, "jobs")
-    build = lambda batch: batch.where("score <= -12").select(R.job_name(F.col("target"), F.col("ligand")).alias("job_name"))
+    build = lambda batch: batch.where("score <= -7").select(R.job_name(F.col("target"), F.col("ligand")).alias("job_name"))
     _run(t, lambda s: s, I.new_rows_sink(path, "job_name", "job_name string", build), "append")
     return t.spark.read.option("basePath", path).parquet(path).select("job_name")
 

@@ -342,15 +342,14 @@ def ranked_report(t):
     return report.where("druggable_pockets > 0").select("rank", "accession", "name", "final_score", "top_score_reasons")
 
 
-@query("target_roster", """b AS (SELECT DISTINCT target FROM facts WHERE score <= -12), s AS (SELECT DISTINCT l_suppkey AS target FROM lineitem WHERE l_quantity = 1),
-    u AS (SELECT target, name, 0 AS source_no FROM target_dim WHERE acctbal > 5000 AND target IN (SELECT target FROM b)
+@query("target_roster", """b AS (SELECT DISTINCT target FROM facts WHERE target % 3 = 1), s AS (SELECT DISTINCT target FROM facts WHERE target % 3 <> 1),
+    u AS (SELECT target, name, 0 AS source_no FROM target_dim WHERE target IN (SELECT target FROM b)
         UNION ALL SELECT target, NULL, 1 FROM b UNION ALL SELECT target, NULL, 2 FROM s),
     r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY source_no) AS rn FROM u)
     SELECT target, CAST(source_no AS INT) AS source_no, coalesce(name, CAST(target AS VARCHAR)) AS name FROM r WHERE rn = 1""")
 def target_roster(t):
-    ranked = t.targets.where("acctbal > 5000").select("target", "name")
-    seen = t.read("lineitem").where("l_quantity = 1").select(F.col("l_suppkey").alias("target"))
-    return T.target_roster(ranked, t.facts.where("score <= -12").select("target"), [seen])
+    boxed, seen = t.facts.where("target % 3 = 1").select("target"), t.facts.where("target % 3 <> 1").select("target")
+    return T.target_roster(t.targets.select("target", "name"), boxed, [seen])
 
 
 @query("selection_funnel", """SELECT 0 AS stage_no, 'all' AS stage, count(*) AS n_rows FROM proteins UNION ALL
@@ -560,19 +559,18 @@ def relevant_accessions(t):
     return A.relevant_accessions(_feeding(t))
 
 
-# literature: benchmark passages name the targets; frequent words stand in for organism and phenotype
+# literature: the longest word and the whole of a benchmark passage name a target; frequent words stand in for organism and phenotype
 LITERATURE = r"""w AS (SELECT doc_id AS pmid, ' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' AS words FROM documents),
     rel AS (SELECT * FROM w WHERE (contains(words, ' the ') OR contains(words, ' der ')) AND (contains(words, ' of ') OR contains(words, ' ther'))),
-    tt AS (SELECT item_id AS target, trim(regexp_replace(lower(array_to_string(list_slice(string_split(text, ' '), 2, 2), ' ')), '[^\p{L}\p{N}]+', ' ', 'g')) AS term FROM benchmark
-        UNION SELECT item_id, trim(regexp_replace(lower(left(array_to_string(list_slice(string_split(text, ' '), 3, 5), ' '), 40)), '[^\p{L}\p{N}]+', ' ', 'g')) FROM benchmark
-        WHERE length(array_to_string(list_slice(string_split(text, ' '), 3, 5), ' ')) > 3),
+    tt AS (SELECT item_id AS target, trim(regexp_replace(lower(list_sort(list_transform(string_split(text, ' '), lambda w: {'n': length(w), 'w': w}), 'DESC')[1].w), '[^\p{L}\p{N}]+', ' ', 'g')) AS term FROM benchmark
+        UNION SELECT item_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) FROM benchmark WHERE length(text) > 3),
     lm AS (SELECT DISTINCT target, pmid FROM tt JOIN rel ON contains(words, ' ' || term || ' ') WHERE term <> '')"""
 
 
 def _literature(t):
-    part = F.split("text", " ")
-    targets = t.read("benchmark").select(F.col("item_id").alias("target"), F.array_join(F.slice(part, 2, 1), " ").alias("gene"), F.array_join(F.slice(part, 3, 3), " ").alias("name"))
-    return targets, A.literature_matches(targets, t.abstracts, organisms=("the", "der"), phenotypes=("of", "ther*"))
+    longest = F.array_max(F.transform(F.split("text", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    targets = t.read("benchmark").select(F.col("item_id").alias("target"), longest.alias("gene"), F.col("text").alias("name"))
+    return targets, A.literature_matches(targets, t.abstracts, organisms=("the", "der"), phenotypes=("of", "ther*"), name_chars=None)
 
 
 @query("literature_matches", LITERATURE + " SELECT target, pmid FROM lm")

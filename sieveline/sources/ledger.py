@@ -31,12 +31,25 @@ AUDIT_SCHEMA = _fields(steps=T.MapType(STRING, _fields(
 
 SECTIONS = ("kept", "near_miss", "pruned")
 
+#: A drop's file name holds its round and batch; the objects themselves lack the round.
+DROP_NAME = r"batch_R(\d+)_B(\d+)"
+CORRUPT = "_corrupt_record"
+
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Append-only ledger lines; older ones lack ``exh``. Lines that do not parse are skipped."""
+    """Append-only ledger lines; older ones lack ``exh``. Lines that do not parse are skipped, see
+    :func:`count_ledger_lines`."""
     return spark.read.schema(LEDGER_SCHEMA).option("mode", "DROPMALFORMED").json(path)
 
 
+def count_ledger_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(n_read, n_skipped) of a ledger's lines."""
+    schema = T.StructType([*LEDGER_SCHEMA.fields, T.StructField(CORRUPT, STRING)])
+    lines = spark.read.schema(schema).option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    read = F.col(CORRUPT).isNull() & (F.coalesce(F.length("target"), F.lit(0)) >= 0)
+    return lines.agg(F.count_if(read).alias("n_read"), F.count(CORRUPT).alias("n_skipped"))
+
+
 def explode_drops(drops: DataFrame) -> DataFrame:
     """Facts of batch drops, tagged by section; a fact without ``exh`` takes the drop's."""
     def section(name: str) -> Column:
@@ -50,11 +63,35 @@ def explode_drops(drops: DataFrame) -> DataFrame:
         F.coalesce("_t.f.exh", "_file_exh").alias("exh"), "_t.zone")
 
 
-def read_batch_drops(spark: SparkSession, path: str, multi_line: bool = True, pattern: str = "*.json") -> DataFrame:
-    """Facts of all readable batch files below ``path``."""
-    return explode_drops(
-        spark.read.schema(DROP_SCHEMA).option("multiLine", multi_line).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern).option("ignoreCorruptFiles", True).option("mode", "DROPMALFORMED").json(path))
+def name_drops(drops: DataFrame) -> DataFrame:
+    """Drops with round and batch filled in from their file's name."""
+    name = F.col("_metadata.file_path")
+
+    def part(group: int) -> Column:
+        return F.regexp_extract(name, DROP_NAME, group).try_cast("int")
+
+    return drops.select(F.coalesce("round", part(1)).alias("round"), F.coalesce("batch_id", part(2)).alias("batch_id"),
+                        "exh", *SECTIONS, CORRUPT, name.alias("file"))
+
+
+def drop_reader(reader, multi_line: bool = True, pattern: str = "*"):
+    """A batch or stream reader set up for drops, with text that does not parse kept aside."""
+    return (reader.schema(T.StructType([*DROP_SCHEMA.fields, T.StructField(CORRUPT, STRING)])).option("multiLine", multi_line)
+            .option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", CORRUPT))
+
+
+def read_batch_drops(spark: SparkSession, path: str, multi_line: bool = True, pattern: str = "*") -> DataFrame:
+    """Facts of all readable batch files below ``path``; :func:`count_drops` tells what was skipped."""
+    return explode_drops(name_drops(drop_reader(spark.read, multi_line, pattern).json(path)))
+
+
+def count_drops(spark: SparkSession, path: str, multi_line: bool = True, pattern: str = "*") -> DataFrame:
+    """(file, n_read, n_skipped): drops of each file that parse and that do not."""
+    drops = name_drops(drop_reader(spark.read, multi_line, pattern).json(path))
+    # Spark refuses to read the column of corrupt text alone, so a section is read beside it
+    return drops.groupBy("file").agg(F.count_if(F.col(CORRUPT).isNull() & (F.coalesce(F.size("kept"), F.lit(0)) >= -1)).alias("n_read"),
+                                     F.count(CORRUPT).alias("n_skipped"))
 
 
 def read_trend(spark: SparkSession, path: str) -> DataFrame:

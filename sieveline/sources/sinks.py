@@ -19,12 +19,10 @@ def write_json_rows(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def _spread(df: DataFrame, *keys: str, most: int = 16) -> DataFrame:
-    """Rows laid out by key for a partitioned write: few files per key, yet several tasks for a
-    key that holds a large share of the rows."""
-    slices = max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), most))
-    mixed = F.pmod(F.xxhash64(*df.columns), F.lit(slices))
-    return df.withColumn("_slice", mixed).repartition(*keys, "_slice").drop("_slice")
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows laid out by key for a partitioned write. Adaptive execution cuts a key that holds much of
+    the rows into as many tasks as its size asks for, and joins small keys into one."""
+    return df.hint("rebalance", *[F.col(k) for k in keys])
 
 
 def write_per_target(hits: DataFrame, path: str) -> None:

@@ -15,16 +15,22 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scores import stored_exhaustiveness
 from ..operators.ledger import PAIR, n
+from ..operators.ordering import running_by_round
 from ..params import DEFAULTS, ScreenParams
-from ..sources.ledger import DROP_SCHEMA, explode_drops
+from ..session import cut_lineage
+from ..sources.ledger import drop_reader, explode_drops, name_drops
 
 
-def stream_drops(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Facts from batch drops (one JSON object per line) as they land."""
-    reader = spark.readStream.schema(DROP_SCHEMA)
+def stream_drops(spark: SparkSession, path: str, files_per_trigger: int | None = None, multi_line: bool = True) -> DataFrame:
+    """Facts from batch drops as they land: one JSON object a file, or one a line without ``multi_line``.
+
+    Operator state of queries over them is kept in RocksDB.
+    """
+    keep_state_on_disk(spark)
+    reader = drop_reader(spark.readStream, multi_line)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return explode_drops(reader.json(path))
+    return explode_drops(name_drops(reader.json(path)))
 
 
 def keep_state_on_disk(spark: SparkSession) -> None:
@@ -108,33 +114,17 @@ def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
         *keys, *[F.col(f"_v.{c}").alias(c) for c in rest])
 
 
-TREND = "new_hits bigint, cum_hits bigint, best_score double, batches array<struct<round:int,batch_id:int>>"
-
+def pair_trend(pairs: DataFrame) -> DataFrame:
+    """One row per (round, batch_id) from the latest state of :func:`best_scores`: its new hits, the hits
+    so far and the best score so far.
 
-def trend_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """One trend row per micro-batch from the update output of :func:`best_scores`.
-
-    A pair is new when the batch it was first seen in has no trend row yet; the trend holds one
-    row per micro-batch, so looking that up stays small however many hits there are.
+    A pair counts in the earliest batch that has it, in whatever order and in however many files the
+    batches came, and however often a micro-batch was replayed. Batches without a new hit have no row.
     """
-    def sink(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        past = read_epochs(spark, path, TREND, before=epoch)
-        per_batch = batch.groupBy("first_seen").agg(F.count("*").alias("n"), F.min("score").alias("best"))
-        seen = past.select(F.explode("batches").alias("first_seen")).distinct().withColumn("_old", F.lit(True))
-        marked = per_batch.join(seen, "first_seen", "left")
-        now = marked.agg(
-            F.coalesce(F.sum(F.when(F.col("_old").isNull(), F.col("n"))), F.lit(0)).alias("new_hits"),
-            F.min("best").alias("best"),
-            F.collect_set(F.when(F.col("_old").isNull(), F.col("first_seen"))).alias("batches"))
-        before = past.agg(
-            F.coalesce(F.sum("new_hits"), F.lit(0)).alias("_cum"), F.min("best_score").alias("_best"))
-        row = now.select(
-            F.col("new_hits").cast("bigint").alias("new_hits"),
-            (F.col("new_hits") + before.select("_cum").scalar()).cast("bigint").alias("cum_hits"),
-            F.least("best", before.select("_best").scalar()).alias("best_score"), "batches")
-        write_epoch(row, path, epoch)
-    return sink
+    batches = pairs.groupBy("first_seen").agg(F.count("*").alias("new_hits"), F.min("score").alias("best")).select(
+        "first_seen.round", "first_seen.batch_id", "new_hits", "best")
+    return running_by_round(cut_lineage(batches, "trend"), sums={"cum_hits": "new_hits"}, mins={"best_score": "best"}).select(
+        "round", "batch_id", "new_hits", "cum_hits", "best_score")
 
 
 def refresh_every(every: int, refresh: Callable[[int], None],

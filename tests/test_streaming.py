@@ -1,9 +1,11 @@
 """Incremental operators: replay safety, refresh timing, and equality with the batch operators."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from sieveline.operators import hits, ledger
-from sieveline.sources.ledger import SECTIONS
+from sieveline.sources.ledger import SECTIONS, count_drops, read_batch_drops
 from sieveline.streaming import incremental as I
 
 FACTS = [(1, 0, "T", "a", -8.0, 4), (1, 0, "T", "b", -6.0, 4), (1, 1, "U", "a", -7.0, 8), (2, 0, "T", "a", -9.0, 8), (2, 0, "T", "b", -7.5, 8)]
@@ -28,7 +30,7 @@ def test_streams_equal_batch(spark, tmp_path):
     for i, rows in enumerate((FACTS[:2], FACTS[2:3], FACTS[3:])):
         land(spark, tmp_path / "in", rows, i)
     batch = spark.createDataFrame(FACTS, COLUMNS)
-    source = lambda: I.stream_drops(spark, f"{tmp_path}/in/*", 1)
+    source = lambda: I.stream_drops(spark, f"{tmp_path}/in", 1, multi_line=False)
 
     run(I.best_scores(source()), I.table_sink(f"{tmp_path}/best"), f"{tmp_path}/c1", "update")
     best = I.latest(spark.read.option("basePath", f"{tmp_path}/best").parquet(f"{tmp_path}/best"), ["target", "ligand"])
@@ -42,20 +44,54 @@ def test_streams_equal_batch(spark, tmp_path):
     run(I.first_hits(source()), I.table_sink(f"{tmp_path}/first"), f"{tmp_path}/c3", "append")
     assert spark.read.parquet(f"{tmp_path}/first").count() == 4  # T/a again in round 2
 
-    run(I.best_scores(source()), I.trend_sink(f"{tmp_path}/trend"), f"{tmp_path}/c4", "update")
-    trend = I.read_epochs(spark, f"{tmp_path}/trend", I.TREND).orderBy("epoch").collect()
-    assert trend[-1].cum_hits == hits.top_hits(batch).count() == 3
-    assert trend[-1].best_score == -9.0
-    assert sum(r.new_hits for r in trend) == 3
 
 
-def test_replayed_batch_changes_nothing(spark, tmp_path):
+def drop_file(folder, round_no, batch, facts, part=0):
+    """A drop as it is really written: indented, without a round, which only the file name has."""
+    body = {"batch_id": batch, "exh": 4, "kept": [{"target": t, "ligand": l, "score": s} for t, l, s in facts], "near_miss": [], "pruned": []}
+    (folder / str(part)).mkdir(parents=True, exist_ok=True)
+    (folder / str(part) / f"batch_R{round_no}_B{batch}_compressed.json").write_text(json.dumps(body, indent=2))
+
+
+def test_trend_with_split_late_and_replayed_files(spark, tmp_path):
+    folder, checkpoint = tmp_path / "in", f"{tmp_path}/c"
+    folder.mkdir()
+    landings = [
+        [(1, 0, [("T", "a", -8.0)], 0)], [(1, 0, [("T", "b", -9.0), ("U", "b", -7.5)], 1)],  # one batch in two files
+        [(2, 0, [("T", "c", -7.0), ("T", "a", -10.0)], 2)], [(1, 1, [("T", "c", -7.1)], 3)],  # a batch of round 1 comes late
+        [(1, 0, [("T", "a", -8.0)], 4)]]  # the same pair once more
+    every = []
+    for files in landings:
+        for round_no, batch, facts, part in files:
+            drop_file(folder, round_no, batch, facts, part)
+            every += [(round_no, batch, t, l, s) for t, l, s in facts]
+        run(I.best_scores(I.stream_drops(spark, str(folder), 1)), I.table_sink(f"{tmp_path}/best"), checkpoint, "update")
+    pairs = I.latest(spark.read.option("basePath", f"{tmp_path}/best").parquet(f"{tmp_path}/best"), ["target", "ligand"])
+    got = {(r.round, r.batch_id, r.new_hits, r.cum_hits) for r in I.pair_trend(pairs).collect()}
+    facts = spark.createDataFrame(every, "round int, batch_id int, target string, ligand string, score double")
+    want = {(r.round, r.batch_id, r.new_hits, r.cum_hits) for r in ledger.hit_trend(facts).where("new_hits > 0").collect()}
+    assert got == want == {(1, 0, 3, 3), (1, 1, 1, 4)}
+
+
+def test_replayed_micro_batch_changes_nothing(spark, tmp_path):
     rows = spark.createDataFrame([("T", "a", -8.0, (1, 0)), ("U", "a", -7.0, (1, 0))], "target string, ligand string, score double, first_seen struct<round:int,batch_id:int>")
-    sink = I.trend_sink(f"{tmp_path}/trend")
+    sink = I.table_sink(f"{tmp_path}/pairs")
     for epoch in (0, 1, 1, 1):
-        sink(rows if epoch == 0 else rows.withColumn("first_seen", F.struct(F.lit(1).alias("round"), F.lit(epoch).alias("batch_id"))), epoch)
-    got = I.read_epochs(spark, f"{tmp_path}/trend", I.TREND).orderBy("epoch").collect()
-    assert [(r.new_hits, r.cum_hits) for r in got] == [(2, 2), (2, 4)]
+        sink(rows, epoch)
+    pairs = I.latest(spark.read.option("basePath", f"{tmp_path}/pairs").parquet(f"{tmp_path}/pairs"), ["target", "ligand"])
+    assert [(r.new_hits, r.cum_hits) for r in I.pair_trend(pairs).collect()] == [(2, 2)]
+
+
+def test_drops_as_written_are_read_alike(spark, tmp_path):
+    folder = tmp_path / "in"
+    drop_file(folder, 3, 7, [("T", "a", -8.0), ("T", "b", -9.0)])
+    (folder / "broken.json").write_text("{ no json")
+    batch = read_batch_drops(spark, str(folder))
+    want = {(3, 7, "T", "a", -8.0, 4, "kept"), (3, 7, "T", "b", -9.0, 4, "kept")}
+    assert {tuple(r) for r in batch.collect()} == want
+    assert sorted((r.n_read, r.n_skipped) for r in count_drops(spark, str(folder)).collect()) == [(0, 1), (1, 0)]
+    run(I.stream_drops(spark, str(folder)), I.table_sink(f"{tmp_path}/out"), f"{tmp_path}/c", "append")
+    assert {tuple(r)[:7] for r in spark.read.parquet(f"{tmp_path}/out/epoch=0").collect()} == want
 
 
 def test_jobs_are_emitted_once(spark, tmp_path):
