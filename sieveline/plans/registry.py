@@ -13,7 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def with_views(sql: str) -> str:
+def with_views(sql: str, recursive: bool = False) -> str:
     """``sql`` behind the common table expressions it mentions."""
     needed: list[str] = []
 
@@ -26,16 +26,17 @@ def with_views(sql: str) -> str:
     visit(sql)
     head = ", ".join(f"{name} AS ({VIEWS[name]})" for name in needed)
     starts_plain = re.match(r"\s*(SELECT|FROM)\b", sql, re.I)
+    word = "WITH RECURSIVE" if recursive else "WITH"
     if not head:
-        return sql if starts_plain else f"WITH {sql}"
-    return f"WITH {head} {sql}" if starts_plain else f"WITH {head}, {sql}"
+        return sql if starts_plain else f"{word} {sql}"
+    return f"{word} {head} {sql}" if starts_plain else f"{word} {head}, {sql}"
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, recursive: bool = False):
     """Register ``fn(tables)`` under ``name``, with its SQL where SQL can express it."""
     def register(fn: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if sql is not None:
-            ORACLE[name] = with_views(sql)
+            ORACLE[name] = with_views(sql, recursive)
         return fn
     return register

@@ -32,22 +32,33 @@ def similarity_summary(t):
     return S.similarity_summary(S.nearest_neighbor(t.fingerprints, N_BITS))
 
 
-# The clusters follow an iterative rule that SQL does not express; they are tested against the
-# sequential rule on small tables.
-
-
-@query("butina_clusters")
+# The sequential rule itself: compounds one by one, each that is still free claims its free neighbours.
+CLUSTERS = """nb AS (SELECT a AS x, b AS y FROM fp_pairs WHERE similarity >= 0.5 UNION ALL SELECT b, a FROM fp_pairs WHERE similarity >= 0.5),
+    deg AS (SELECT f.fp_id, f.copies - 1 + coalesce(sum(o.copies), 0) AS degree, coalesce(list(o.fp_id) FILTER (WHERE o.fp_id IS NOT NULL), []) AS nbs
+        FROM fp_distinct f LEFT JOIN nb ON nb.x = f.fp_id LEFT JOIN fp_distinct o ON o.fp_id = nb.y GROUP BY f.fp_id, f.copies),
+    ord AS MATERIALIZED (SELECT fp_id, nbs, row_number() OVER (ORDER BY degree DESC, fp_id) AS pos FROM deg),
+    walk(pos, taken) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT o.pos, CASE WHEN list_contains(w.taken, o.fp_id) THEN w.taken
+        ELSE list_concat(w.taken, [o.fp_id], list_filter(o.nbs, lambda x: NOT list_contains(w.taken, x))) END FROM walk w JOIN ord o ON o.pos = w.pos + 1),
+    cen AS (SELECT o.fp_id, o.pos, row_number() OVER (ORDER BY o.pos) - 1 AS cluster FROM ord o JOIN walk w ON w.pos = o.pos - 1 WHERE NOT list_contains(w.taken, o.fp_id)),
+    own AS (SELECT fp_id, cluster FROM cen UNION ALL SELECT nb.x, min(c.cluster) FROM nb JOIN cen c ON c.fp_id = nb.y WHERE nb.x NOT IN (SELECT fp_id FROM cen) GROUP BY nb.x),
+    clustered AS (SELECT r.ligand, own.cluster FROM fp_rows r JOIN fp_distinct d ON d.pattern = r.pattern JOIN own ON own.fp_id = d.fp_id),
+    scored AS (SELECT c.ligand, c.cluster, s.target, s.score FROM clustered c JOIN (SELECT ligand, target, min(score) AS score FROM facts WHERE score <= -7 GROUP BY 1, 2) s ON s.ligand = c.ligand),
+    tab AS (SELECT cluster, count(*) AS n_members, min(score) AS best_score, arg_min(ligand, (score, ligand, target)) AS rep_ligand,
+        arg_min(target, (score, ligand, target)) AS rep_target FROM scored GROUP BY 1)"""
+
+
+@query("butina_clusters", CLUSTERS + " SELECT ligand, cluster FROM clustered", recursive=True)
 def butina_clusters(t):
     return S.butina(t.fingerprints, N_BITS, 0.5)
 
 
-@query("cluster_table")
+@query("cluster_table", CLUSTERS + " SELECT * FROM tab", recursive=True)
 def cluster_table(t):
     scored = t.facts.where("score <= -7").groupBy("ligand", "target").agg(F.min("score").alias("score"))
     return S.cluster_table(S.butina(t.fingerprints, N_BITS, 0.5).join(scored, "ligand"))
 
 
-@query("cluster_representatives")
+@query("cluster_representatives", CLUSTERS + """ SELECT s.*, n_members, ligand = rep_ligand AS cluster_rep FROM scored s JOIN tab USING (cluster)""", recursive=True)
 def cluster_representatives(t):
     scored = t.facts.where("score <= -7").groupBy("ligand", "target").agg(F.min("score").alias("score"))
     clustered = S.butina(t.fingerprints, N_BITS, 0.5).join(scored, "ligand")
