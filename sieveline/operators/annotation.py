@@ -84,6 +84,20 @@ def keyword_members(df: DataFrame, keyword: str) -> DataFrame:
     return df.where(F.array_contains("keywords", keyword))
 
 
+def site_members(sites: DataFrame, kind: str = "site", description: str = "GPI-anchor") -> DataFrame:
+    """Accessions with a sequence annotation of a kind whose description mentions a term."""
+    fits = (F.lower("type") == kind.lower()) & F.contains(F.lower("description"), F.lit(description.lower()))
+    return sites.where(fits).select("accession").distinct()
+
+
+def keyword_or_site_members(df: DataFrame, keyword: str, sites: DataFrame, kind: str = "site",
+                            description: str = "GPI-anchor") -> DataFrame:
+    """(accession, name): records with the keyword, and those known only from a site annotation, whose name is empty."""
+    named = keyword_members(df, keyword).select("accession", F.coalesce("name", F.lit("")).alias("name"))
+    more = site_members(sites, kind, description).join(named.select("accession"), "accession", "left_anti")
+    return named.unionByName(more.withColumn("name", F.lit("")))
+
+
 def evidence_union(sources: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     """Each accession once, with the names of the sources that support it."""
     merged = None

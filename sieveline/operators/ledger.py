@@ -198,6 +198,25 @@ def nest_top(top: DataFrame) -> DataFrame:
         ).alias("top"))
 
 
+def batch_report(facts: DataFrame, times: DataFrame, k: int = 5, p: ScreenParams = DEFAULTS) -> DataFrame:
+    """One row per (round, batch) as the batch log has it: counts, elapsed seconds to one decimal, the best ``k``
+    entries and the failed targets.
+
+    ``times`` has started and completed of each (round, batch_id). The list of failed targets is as long as
+    a batch has targets.
+    """
+    batch = ["round", "batch_id"]
+    elapsed = F.round(F.unix_micros("completed") / 1e6 - F.unix_micros("started") / 1e6, 1)
+    spans = times.groupBy(*batch).agg(F.min("started").alias("started"), F.max("completed").alias("completed"))
+    failed = batch_failed(facts).groupBy(*batch).agg(F.array_sort(F.collect_list("target")).alias("failed_targets"))
+    report = batch_summary(facts, p)
+    for part in (spans.select(*batch, elapsed.alias("elapsed_s"), F.col("completed").alias("completed_at")),
+                 nest_top(batch_top(facts, k)), failed):
+        report = report.join(part, batch, "left")
+    none = F.array().cast(report.schema["failed_targets"].dataType)
+    return report.withColumn("failed_targets", F.coalesce("failed_targets", none))
+
+
 def campaign_status(summary: DataFrame) -> DataFrame:
     """Totals over all batches and how many had failures."""
     return summary.agg(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import first_match
 from ..functions.text import safe_name
+from ..params import STRUCTURE_PAGE
 from ..session import cut_lineage
 from .hits import look_up
 
@@ -51,12 +52,29 @@ def with_payload(jobs: DataFrame) -> DataFrame:
     return ready.withColumn("payload", F.to_json(job_payload()))
 
 
+def round_jobs(jobs: DataFrame, names: DataFrame, name_chars: int = 55) -> DataFrame:
+    """The new runnable jobs of each round for submission: what each is, and the file of its payload.
+
+    ``jobs`` has a ``round``; jobs without one belong to the round "latest".
+    """
+    ready = look_up(jobs.where(F.col("skip_reason").isNull()), names.select("target", "name"), "target")
+    tag = F.coalesce(F.concat(F.lit("round_"), F.col("round").cast("string")), F.lit("latest"))
+    return ready.select(
+        tag.alias("tag"), "job_name", "target", F.left(F.coalesce("name", F.lit("")), F.lit(name_chars)).alias("target_name"),
+        "ligand", "smiles", F.concat(F.col("job_name"), F.lit(".json")).alias("file"))
+
+
+def round_job_counts(listed: DataFrame) -> DataFrame:
+    return listed.groupBy("tag").agg(F.count("*").alias("n_jobs"))
+
+
 def ranked_report(ranked: DataFrame, n_reasons: int = 3) -> DataFrame:
-    """The published columns of the target table: short names and the leading reasons."""
+    """The published columns of the target table: short names, the structure's page and the leading reasons."""
     return ranked.select(
         "rank", "accession", "gene", F.left("name", F.lit(80)).alias("name"), "length", "mean_plddt",
         "structure_quality", "druggable_pockets", "allosteric_sites", "host_identity_pct", "host_risk",
         "rnai_evidence", "rnai_count", "final_score",
+        F.concat(F.lit(STRUCTURE_PAGE), F.coalesce(F.col("accession").cast("string"), F.lit(""))).alias("structure_url"),
         F.array_join(F.slice("score_reasons", 1, n_reasons), " | ").alias("top_score_reasons"))
 
 

@@ -91,6 +91,9 @@ KNOWN_TARGET_KEYWORDS = (
     "AChE", "AChE2", "acetylcholinesterase", "VGSC", "sodium channel", "GABA", "Bm86",
 )
 
+# address of a predicted structure, before its accession
+STRUCTURE_PAGE = "https://alphafold.ebi.ac.uk/entry/"
+
 STATIC_EXCLUSIONS = (
     "CHEMBL10", "CHEMBL11", "CHEMBL12", "CHEMBL112998", "CHEMBL9937", "CHEMBL429188",
 )

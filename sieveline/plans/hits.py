@@ -37,6 +37,13 @@ def exclude_flagged_ids(t):
     return H.exclude_ids(H.top_hits(t.facts), flagged).select("target", "ligand", "score")
 
 
+@query("static_exclusions", """SELECT CAST(target AS VARCHAR) AS target, 'CHEMBL' || ligand AS ligand, score FROM top_pairs
+    WHERE ligand NOT IN (10, 11, 12, 112998, 9937, 429188)""")
+def static_exclusions(t):
+    named = t.facts.select("round", F.col("target").cast("string").alias("target"), F.concat(F.lit("CHEMBL"), "ligand").alias("ligand"), "score")
+    return H.top_hits(named).select("target", "ligand", "score")
+
+
 @query("target_stats", ALL_STATS + " SELECT * FROM t_stats")
 def target_stats(t):
     return H.target_stats(t.facts)

@@ -138,6 +138,23 @@ def batch_top_nested(t):
         F.transform("top", lambda s: F.concat_ws(":", s["target"].cast("string"), s["ligand"].cast("string"))), " ").alias("top"))
 
 
+@query("batch_report", BATCH_TOP + """, n5 AS (SELECT round, batch_id, string_agg(target || ':' || ligand, ' ' ORDER BY rank) AS top FROM ranked WHERE rank <= 5 GROUP BY 1, 2),
+    ft AS (SELECT round, batch_id, target FROM facts GROUP BY 1, 2, 3 HAVING count(score) = 0),
+    fl AS (SELECT round, batch_id, string_agg(CAST(target AS VARCHAR), ' ' ORDER BY target) AS failed_targets FROM ft GROUP BY 1, 2),
+    ts AS (SELECT year(l_shipdate) - 1994 AS round, month(l_shipdate) AS batch_id, min(l_shipdate) AS s, max(l_shipdate) AS e FROM lineitem GROUP BY 1, 2),
+    b AS (SELECT round, batch_id, count(DISTINCT ligand) AS n_ligands, count(DISTINCT target) AS n_targets, count(DISTINCT CASE WHEN score IS NOT NULL THEN target END) AS n_ok,
+        count(*) FILTER (WHERE score <= -7) AS total_hits FROM facts GROUP BY 1, 2)
+    SELECT b.*, n_targets - n_ok AS n_failed, round(epoch(e) - epoch(s), 1) AS elapsed_s, top, coalesce(failed_targets, '') AS failed_targets
+    FROM b LEFT JOIN n5 USING (round, batch_id) LEFT JOIN fl USING (round, batch_id) LEFT JOIN ts USING (round, batch_id)""")
+def batch_report(t):
+    day = F.col("l_shipdate").cast("timestamp")
+    times = t.read("lineitem").select((F.year("l_shipdate") - 1994).alias("round"), F.month("l_shipdate").alias("batch_id"),
+                                      day.alias("started"), day.alias("completed"))
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+    return L.batch_report(t.facts, times).drop("completed_at").withColumn("failed_targets", text("failed_targets")).withColumn("top", F.array_join(
+        F.transform("top", lambda s: F.concat_ws(":", s["target"].cast("string"), s["ligand"].cast("string"))), " "))
+
+
 @query("batch_failed", """SELECT round, batch_id, ligand AS target FROM facts GROUP BY 1, 2, 3 HAVING count(score) = 0""")
 def batch_failed(t):
     return L.batch_failed(t.facts.withColumn("target", F.col("ligand")))

@@ -14,6 +14,8 @@ from ..operators import homology as S
 from ..operators import reports as R
 from ..operators import targets as T
 from ..params import DRUGGABLE_CLASSES
+from ..session import scratch_path
+from ..sources import sinks
 from .registry import query
 
 KNOWN = "('ACHE', 'ACHE2', 'ACETYLCHOLINESTERASE', 'VGSC', 'SODIUM CHANNEL', 'GABA', 'BM86')"
@@ -311,13 +313,16 @@ def _final(t):
     return T.final_score(t.targets.withColumn("accession", F.col("target")).withColumn("novelty_reasons", F.array(F.lit("base"))))
 
 
-@query("final_score", FINAL + """ SELECT target, final_score, concat_ws('; ', 'base',
+REASONS = """concat_ws('; ', 'base',
     CASE WHEN druggable_pockets >= 3 THEN druggable_pockets || ' druggable pockets (+4)' WHEN druggable_pockets = 2 THEN '2 druggable pockets (+3)' WHEN druggable_pockets = 1 THEN '1 druggable pocket (+2)' END,
     CASE WHEN allosteric_sites >= 2 THEN allosteric_sites || ' allosteric sites (+3)' WHEN allosteric_sites = 1 THEN '1 allosteric site (+2)' END,
     CASE WHEN max_identity < 0.2 THEN 'Below 20% host homology (+4)' WHEN max_identity < 0.4 THEN 'Low host homology ' || format('{:.0f}', max_identity * 100) || '% (+2)'
     WHEN max_identity >= 0.8 THEN 'HIGH host homology ' || format('{:.0f}', max_identity * 100) || '% (-5)' END,
     CASE WHEN rnai_evidence THEN 'RNAi lethality evidence ' || rnai_count || ' papers (+4)' END,
-    CASE WHEN mean_plddt IS NULL THEN 'Experimental structure (+2)' WHEN mean_plddt >= 90 THEN 'Excellent pLDDT (+2)' WHEN mean_plddt >= 80 THEN 'Good pLDDT (+1)' END) AS reasons FROM f""")
+    CASE WHEN mean_plddt IS NULL THEN 'Experimental structure (+2)' WHEN mean_plddt >= 90 THEN 'Excellent pLDDT (+2)' WHEN mean_plddt >= 80 THEN 'Good pLDDT (+1)' END)"""
+
+
+@query("final_score", FINAL + f" SELECT target, final_score, {REASONS} AS reasons FROM f")
 def final_score(t):
     return _final(t).select("target", "final_score", F.array_join("score_reasons", "; ").alias("reasons"))
 
@@ -333,13 +338,35 @@ def rank_totals(t):
     return T.rank_totals(t.targets.withColumn("host_risk", host_risk(F.col("max_identity"))))
 
 
-@query("ranked_report", FINAL + """ SELECT rank, target AS accession, left(name, 80) AS name, final_score,
-    array_to_string(list_slice(string_split('base' || CASE WHEN druggable_pockets >= 3 THEN '|' || druggable_pockets || ' druggable pockets (+4)' WHEN druggable_pockets = 2 THEN '|2 druggable pockets (+3)'
-    WHEN druggable_pockets = 1 THEN '|1 druggable pocket (+2)' ELSE '' END, '|'), 1, 2), ' | ') AS top_score_reasons FROM ranked_t WHERE druggable_pockets > 0""")
+REPORT = FINAL + f""", rep AS (SELECT rank, target AS accession, gene, left(name, 80) AS name, final_score * 10 AS length, mean_plddt, 'Q' || druggable_pockets AS structure_quality,
+    druggable_pockets, allosteric_sites, CASE WHEN max_identity IS NULL THEN '' ELSE format('{{:.1f}}', max_identity * 100) END AS host_identity_pct, {RISK.format(x='max_identity')} AS host_risk,
+    rnai_evidence, rnai_count, final_score, 'https://alphafold.ebi.ac.uk/entry/' || target AS structure_url,
+    array_to_string(list_slice(string_split({REASONS}, '; '), 1, 3), ' | ') AS top_score_reasons FROM ranked_t)"""
+
+
+def _report(t):
+    ranked = T.rank_targets(_final(t)).withColumn("length", F.col("final_score") * 10).withColumn(
+        "structure_quality", F.concat(F.lit("Q"), F.col("druggable_pockets").cast("string")))
+    return R.ranked_report(ranked)
+
+
+@query("ranked_report", REPORT + " SELECT * FROM rep")
 def ranked_report(t):
-    ranked = T.rank_targets(_final(t)).withColumn("length", F.lit(0)).withColumn("structure_quality", F.lit(""))
-    report = R.ranked_report(ranked, n_reasons=2)
-    return report.where("druggable_pockets > 0").select("rank", "accession", "name", "final_score", "top_score_reasons")
+    return _report(t)
+
+
+@query("write_ranked_csv", REPORT + " SELECT * REPLACE (nullif(host_identity_pct, '') AS host_identity_pct) FROM rep")
+def write_ranked_csv(t):
+    path, report = scratch_path(t.spark, "csv"), _report(t)
+    sinks.write_ranked_csv(report, path)
+    return t.spark.read.schema(report.schema).option("header", True).csv(path)
+
+
+@query("write_json_rows", REPORT + " SELECT * FROM rep")
+def write_json_rows(t):
+    path, report = scratch_path(t.spark, "json"), _report(t)
+    sinks.write_json_rows(report, path)
+    return t.spark.read.schema(report.schema).json(path)
 
 
 @query("target_roster", """b AS (SELECT DISTINCT target FROM facts WHERE target % 3 = 1), s AS (SELECT DISTINCT target FROM facts WHERE target % 3 <> 1),
@@ -510,6 +537,14 @@ def keyword_members(t):
     return A.keyword_members(t.proteins, "Cell division").select("accession")
 
 
+@query("keyword_or_site_members", """SELECT accession, coalesce(name, '') AS name FROM proteins WHERE accession % 9 = 0
+    UNION ALL SELECT DISTINCT p_partkey, '' FROM part WHERE p_size % 5 = 0 AND p_partkey % 9 <> 0""")
+def keyword_or_site_members(t):
+    sites = t.read("part").select(F.col("p_partkey").alias("accession"), F.lit("Site").alias("type"),
+                                  F.when(F.col("p_size") % 5 == 0, "GPI-anchor amidated residue").otherwise("Cleavage").alias("description"))
+    return A.keyword_or_site_members(t.proteins, "Cell division", sites)
+
+
 UNION = """e AS (SELECT accession, 'keyword' AS source FROM proteins WHERE accession % 9 = 0 UNION SELECT accession, 'scan' FROM proteins WHERE accession % 50 = 0 OR accession % 20 = 0
     UNION SELECT accession, 'signal' FROM proteins WHERE length > 1500), u AS (SELECT accession, string_agg(source, ',' ORDER BY source) AS sources FROM e GROUP BY 1)"""
 
@@ -615,6 +650,12 @@ def job_payloads(t):
         F.get_json_object(F.get_json_object(payload, "$.sequences[1]"), "$.ligand.smiles").alias("smiles"), F.length(protein).alias("sequence_length"))
 
 
+@query("round_jobs", JOBS + """ SELECT 'round_' || t.first_seen_round AS tag, job_name, j.target, left(coalesce(d.name, ''), 55) AS target_name, j.ligand, j.smiles, job_name || '.json' AS file
+    FROM jobs j JOIN top_pairs t ON t.target = j.target AND t.ligand = j.ligand LEFT JOIN target_dim d ON d.target = j.target WHERE skip_reason IS NULL""")
+def round_jobs(t):
+    return R.round_jobs(_jobs(t).withColumnRenamed("first_seen_round", "round"), t.targets)
+
+
 @query("job_skip_counts", JOBS + " SELECT coalesce(skip_reason, 'ready') AS state, count(*) AS n_jobs FROM jobs GROUP BY 1")
 def job_skip_counts(t):
     return _jobs(t).groupBy(F.coalesce("skip_reason", F.lit("ready")).alias("state")).agg(F.count("*").alias("n_jobs"))

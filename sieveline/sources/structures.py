@@ -119,19 +119,24 @@ def read_pocket_report(spark: SparkSession, path: str, pattern: str = "*_info.tx
 def read_pocket_predictions(spark: SparkSession, path: str, pattern: str = "*_predictions.csv") -> DataFrame:
     """Pocket prediction tables: padded headers, comment lines, and rows that do not parse dropped.
 
-    Columns are found by their header name; the size is a proxy of 20 per surface atom.
+    Columns are found by the names in each file's own header, so files may differ in their order; the size
+    is a proxy of 20 per surface atom.
     """
-    raw = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-        .option("header", True).option("comment", "#").option("ignoreLeadingWhiteSpace", True)
-        .option("ignoreTrailingWhiteSpace", True).option("mode", "DROPMALFORMED").csv(path)
-        .select("*", F.col("_metadata.file_path").alias("_path"))
+    plain = lambda c: F.trim(F.replace(c, F.lit('"'), F.lit("")))
+    lines = (
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+        .select(F.col("_metadata.file_path").alias("_path"), F.transform(F.split("value", ","), plain).alias("_cells"))
+        .where(~F.startswith(F.element_at("_cells", 1), F.lit("#")))
     )
-    raw = raw.select(*[F.col(f"`{c}`").alias(c.strip()) for c in raw.columns])
-    number = lambda c: F.trim(c).try_cast("double")
+    is_header = F.array_contains("_cells", "rank") & F.array_contains("_cells", "probability")
+    headers = lines.where(is_header).groupBy("_path").agg(F.min("_cells").alias("_header"))
+    rows = lines.where(~is_header).join(headers, "_path").where(F.size("_cells") == F.size("_header"))
+    raw = rows.select("_path", F.map_from_arrays("_header", "_cells").alias("_row"))
+    cell = lambda c: F.element_at("_row", F.lit(c))
+    number = lambda c: cell(c).try_cast("double")
     out = raw.select(
         F.regexp_replace(file_name(F.col("_path")), r"(\.pdb)?_predictions\.csv$", "").alias("target"),
-        F.trim("rank").try_cast("int").alias("pocket_id"), F.lit("p2rank").alias("source"),
+        cell("rank").try_cast("int").alias("pocket_id"), F.lit("p2rank").alias("source"),
         number("score").alias("score"), number("probability").alias("probability"),
         (number("surf_atoms") * 20).alias("volume"),
         *[number(f"center_{a}").alias(f"center_{a}") for a in "xyz"])

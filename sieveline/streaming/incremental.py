@@ -61,7 +61,9 @@ def ledger_effort(facts: DataFrame, p: ScreenParams = DEFAULTS) -> DataFrame:
 
 def windowed_hits(events: DataFrame, window: str = "1 day", delay: str = "1 day",
                   p: ScreenParams = DEFAULTS) -> DataFrame:
-    """Facts, hits and best score per event-time window of a ``ts`` column."""
+    """Facts, hits and best score per event-time window of a ``ts`` column; in append mode a window is written
+    once, when the watermark has passed it, and its state goes."""
+    keep_state_on_disk(events.sparkSession)
     return (
         events.withWatermark("ts", delay).groupBy(F.window("ts", window).alias("w")).agg(
             F.count("*").alias("n_facts"), n(F.col("score") <= p.hit_score).alias("n_hits"),

@@ -202,3 +202,39 @@ def test_rank_in_groups_with_a_large_group(spark):
     for k, v in rows:
         groups.setdefault(k, []).append(v)
     assert got == {(k, v): i + 1 for k, vs in groups.items() for i, v in enumerate(sorted(vs, reverse=True))}
+
+
+def test_every_hot_key_is_sliced(spark):
+    """More hot keys than any fixed table would hold, and pairs still meet exactly once."""
+    from sieveline.operators.skew import hot_keys, sliced_join
+    left = spark.range(36_000).selectExpr("id % 12000 as k", "id as a")
+    right = spark.range(12_000).selectExpr("id as k", "id as b")
+    assert hot_keys(left, right, ["k"], 2).count() == 12_000
+    joined = sliced_join(left, right, ["k"], rows_per_slice=2)
+    assert joined.count() == 36_000 == joined.distinct().count()
+
+
+def test_exact_mean_keeps_large_values_and_fails_loudly(spark):
+    import pytest
+    from pyspark.sql import functions as F
+    from sieveline.functions.scores import exact_avg
+    mean = lambda *v: spark.createDataFrame([(x,) for x in v], "v double").agg(exact_avg(F.col("v")).alias("m")).first().m
+    assert mean(1e12, 2.0) == 5.00000000001e11 and mean(1e-9, 3e-9, None) == 2e-9 and mean(None) is None
+    with pytest.raises(Exception):
+        mean(1e30, 1.0)
+
+
+def test_best_rows_are_hash_aggregated(spark):
+    """No sort of all facts and no expansion of them in the plans."""
+    import contextlib
+    import io
+    from sieveline.operators import hits, ledger
+    facts = spark.range(500).selectExpr("cast(id % 3 as int) round", "cast(id % 4 as int) batch_id", "id % 7 target", "id ligand",
+                                        "-cast(id % 13 as double) score", "4 exh")
+    for operator in (hits.target_stats, hits.docking_summary, ledger.batch_summary, ledger.round_summary):
+        text = io.StringIO()
+        with contextlib.redirect_stdout(text):
+            operator(facts).explain()
+        assert "Expand" not in text.getvalue()
+        tied = text.getvalue().count("SortAggregate")
+        assert tied <= 2, text.getvalue()  # only the rows tied for the lowest score are ordered

@@ -135,3 +135,11 @@ def test_maps_and_audit(spark, tmp_path):
 def test_statistics_table_is_empty_without_stats(spark, tmp_path):
     put(tmp_path / "log.json", json.dumps({"steps": {"01": {"stats": {}}}}))
     assert reports.audit_statistics(SL.read_audit_log(spark, str(tmp_path))).count() == 0
+
+
+def test_prediction_columns_follow_each_files_header(spark, tmp_path):
+    put(tmp_path / "A_predictions.csv", "name,rank,score,probability,surf_atoms,center_x,center_y,center_z\np1,1,10.0,0.9,3,1,2,3\n")
+    put(tmp_path / "B_predictions.csv", "# note\nname, rank, probability, score, center_z, center_y, center_x, surf_atoms\np1, 1, 0.8, 20.0, 3, 2, 1, 4\n")
+    rows = {r.target: r for r in SS.read_pocket_predictions(spark, str(tmp_path)).collect()}
+    assert (rows["A"].score, rows["A"].probability, rows["A"].volume) == (10.0, 0.9, 60.0)
+    assert (rows["B"].score, rows["B"].probability, rows["B"].volume, rows["B"].center_x, rows["B"].center_z) == (20.0, 0.8, 80.0, 1.0, 3.0)
