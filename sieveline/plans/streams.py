@@ -73,11 +73,31 @@ def stream_refresh(t):
     return t.spark.read.parquet(stats).select("target", "n_scored", "n_hits", "best_score")
 
 
+@query("stream_refresh_hits", """h AS (SELECT target, ligand, min(score) AS score, min(round) AS first_seen_round FROM facts WHERE score <= -7 AND floor((round - 1) * 3 / 7) <= 1 GROUP BY 1, 2),
+    r AS (SELECT *, CAST(row_number() OVER (ORDER BY score, target, ligand) AS INT) AS rank FROM h)
+    SELECT rank, CAST(r.target AS VARCHAR) AS target, CAST(r.ligand AS VARCHAR) AS ligand, score, first_seen_round, name, smiles, target || '_' || r.ligand AS job_name
+    FROM r LEFT JOIN target_dim d ON d.target = r.target LEFT JOIN compounds c ON c.ligand = r.ligand WHERE rank <= 50""")
+def stream_refresh_hits(t):
+    """Properties and jobs of the best hits as of the refresh after the second of three micro-batches."""
+    path, table = scratch_path(t.spark, "facts"), scratch_path(t.spark, "hits")
+    names = t.targets.select(F.col("target").cast("string").alias("target"), "name")
+    structures = t.compounds.select(F.col("ligand").cast("string").alias("ligand"), "smiles")
+
+    def refresh(epoch):
+        landed = t.spark.read.option("basePath", path).parquet(path).where(F.col("epoch") < epoch)
+        best = H.ranked_top(H.top_hits(landed), [F.col("score"), F.col("target").cast("long"), F.col("ligand").cast("long")], 50)
+        best = best.join(names, "target", "left").join(structures, "ligand", "left")
+        best.withColumn("job_name", R.job_name(F.col("target"), F.col("ligand"))).write.mode("overwrite").parquet(table)
+
+    _run(t, lambda s: s, I.refresh_every(2, refresh, I.table_sink(path)), "append")
+    return t.spark.read.parquet(table).select("rank", "target", "ligand", "score", "first_seen_round", "name", "smiles", "job_name")
+
+
 @query("stream_jobs", """SELECT DISTINCT target || '_' || ligand AS job_name FROM facts WHERE score <= -7""")
 def stream_jobs(t):
     path = scratch_path(t.spark, "jobs")
-    build = lambda batch: batch.where("score <= -7").select(R.job_name(F.col("target"), F.col("ligand")).alias("job_name"))
-    _run(t, lambda s: s, I.new_rows_sink(path, "job_name", "job_name string", build), "append")
+    named = lambda s: I.new_rows(s.where("score <= -7").select(R.job_name(F.col("target"), F.col("ligand")).alias("job_name")), "job_name")
+    _run(t, named, I.table_sink(path), "append")
     return t.spark.read.option("basePath", path).parquet(path).select("job_name")
 
 

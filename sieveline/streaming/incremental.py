@@ -54,6 +54,12 @@ def first_hits(facts: DataFrame, p: ScreenParams = DEFAULTS) -> DataFrame:
     return facts.where(F.col("score") <= p.hit_score).dropDuplicates(["round", *PAIR])
 
 
+def new_rows(rows: DataFrame, key: str) -> DataFrame:
+    """Each key the first time it comes; the keys seen so far are operator state, so history is not read again."""
+    keep_state_on_disk(rows.sparkSession)
+    return rows.dropDuplicates([key])
+
+
 def ledger_effort(facts: DataFrame, p: ScreenParams = DEFAULTS) -> DataFrame:
     """Highest search effort per pair so far."""
     return facts.groupBy(*PAIR).agg(F.max(stored_exhaustiveness(F.col("exh"), F.col("score"), p)).alias("exh"))
