@@ -30,15 +30,17 @@ def kmer_containment(query: DataFrame, subject: DataFrame, k: int = 5, min_conta
     so the most common k-mers never are, and only subjects that reach that count are looked at in
     full. Ties go to the smallest subject id. This is containment, not alignment identity.
     """
-    q = cut_lineage(
-        spread_small_scan(query).select(F.col("id").alias("query_id"), kmer_array(F.col("sequence"), k).alias("q_kmers"))
-        .where(F.size("q_kmers") > 0), "query-kmers")
-    q_rows = q.select("query_id", F.size("q_kmers").alias("n_kmers"), F.explode("q_kmers").alias("kmer"))
-    # read back as a sized table, the wanted k-mers are broadcast if small and shuffled if not
-    wanted = cut_lineage(q_rows.select("kmer").distinct(), "wanted-kmers")
+    spelled = cut_lineage(
+        spread_small_scan(query).select(F.col("id").alias("query_id"), kmer_array(F.col("sequence"), k).alias("texts"))
+        .where(F.size("texts") > 0), "query-kmers")
+    spelled = spelled.select("query_id", F.size("texts").alias("n_kmers"), F.explode("texts").alias("text"))
+    # a number for each wanted k-mer, fixed as a table; it is broadcast if small and shuffled if not
+    wanted = cut_lineage(spelled.select("text").distinct().withColumn("kmer", F.monotonically_increasing_id()), "wanted-kmers")
+    q_rows = cut_lineage(spelled.join(wanted, "text").select("query_id", "n_kmers", "kmer"), "query-numbers")
+    q = q_rows.groupBy("query_id").agg(F.collect_list("kmer").alias("q_kmers"))  # one sequence's k-mers
     s_rows = spread_small_scan(subject).select(
-        F.col("id").alias("subject_id"), F.explode(kmer_array(F.col("sequence"), k)).alias("kmer"))
-    held = s_rows.join(wanted, "kmer", "left_semi").groupBy("subject_id").agg(
+        F.col("id").alias("subject_id"), F.explode(kmer_array(F.col("sequence"), k)).alias("text"))
+    held = s_rows.join(wanted, "text").groupBy("subject_id").agg(
         F.array_sort(F.collect_list("kmer")).alias("s_kmers"))  # at most one sequence's k-mers
     # subjects that share the same k-mers with the queries, copies above all, are compared once
     held = cut_lineage(held.groupBy("s_kmers").agg(F.min("subject_id").alias("subject_id")), "subject-kmers")

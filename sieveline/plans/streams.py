@@ -75,7 +75,7 @@ def stream_refresh(t):
 
 @query("stream_refresh_hits", """h AS (SELECT target, ligand, min(score) AS score, min(round) AS first_seen_round FROM facts WHERE score <= -7 AND floor((round - 1) * 3 / 7) <= 1 GROUP BY 1, 2),
     r AS (SELECT *, CAST(row_number() OVER (ORDER BY score, target, ligand) AS INT) AS rank FROM h)
-    SELECT rank, CAST(r.target AS VARCHAR) AS target, CAST(r.ligand AS VARCHAR) AS ligand, score, first_seen_round, name, smiles, target || '_' || r.ligand AS job_name
+    SELECT rank, CAST(r.target AS VARCHAR) AS target, CAST(r.ligand AS VARCHAR) AS ligand, score, first_seen_round, name, smiles, r.target || '_' || r.ligand AS job_name
     FROM r LEFT JOIN target_dim d ON d.target = r.target LEFT JOIN compounds c ON c.ligand = r.ligand WHERE rank <= 50""")
 def stream_refresh_hits(t):
     """Properties and jobs of the best hits as of the refresh after the second of three micro-batches."""
