@@ -2,7 +2,7 @@
 
 A text is first cut before each blank that follows a visible character. The tokenizer's own pattern
 never lets a token cross such a place, so the pieces can be encoded one by one. A piece is cut further into
-pre-tokens, which are looked up; only pre-tokens never seen before are encoded.
+pre-tokens, which are looked up; only pre-tokens never seen before are encoded, by the tokenizer's model alone.
 """
 
 from __future__ import annotations
@@ -10,14 +10,20 @@ from __future__ import annotations
 import functools
 import os
 import re
+import struct
 
 import regex
 
 #: Entries of a worker's caches; a cache that is full starts anew.
-PIECES, PRE_TOKENS = 300_000, 500_000
+PIECES, PRE_TOKENS = 600_000, 600_000
 #: Pieces with letters past this one are left to the tokenizer whole, as Unicode tables may differ.
 LAST_PLAIN = "ɏ"
 _CUT = re.compile(r"(?<=\S) ")
+#: White space before a blank, where a text is not cut.
+_WIDE = re.compile(r"\s ")
+#: Byte-level models write each byte as one printable character: itself, or one from 256 on.
+_SHOWN = {b for a, z in (("!", "~"), ("¡", "¬"), ("®", "ÿ")) for b in range(ord(a), ord(z) + 1)}
+_LETTERS = {b: b if b in _SHOWN else 256 + sum(x not in _SHOWN for x in range(b)) for b in range(256)}
 
 
 def tokenizer_path(tokenizer: str) -> str:
@@ -56,57 +62,57 @@ class _Bounded(dict):
 
 
 def pieces(text: str) -> list[str]:
-    """Parts of ``text`` that hold whole pre-tokens."""
-    first, *rest = _CUT.split(text)
-    return [first, *[" " + x for x in rest]]
+    """Parts of ``text`` that hold whole pre-tokens. All but the first are without the blank they begin with."""
+    return _CUT.split(text) if text[:1] == " " or _WIDE.search(text) else text.split(" ")
 
 
-class Counter:
-    """Numbers of tokens. ``frequent`` has those of common pre-tokens."""
+class _Lookup:
+    """Values of pieces, put together from those of pre-tokens."""
 
-    def __init__(self, tokenizer: str, frequent: dict[str, int]):
+    def __init__(self, tokenizer: str, value, put_together, frequent=None):
+        """``value`` makes one of a list of ids; ``put_together`` one of a list of values."""
         self.tokenizer, self.special, pattern = load(tokenizer)
-        encode = self.tokenizer.encode
-        misses = _Bounded(lambda x: len(encode(x, add_special_tokens=False).ids), PRE_TOKENS)
+        self.value, self.put_together = value, put_together
+        model = self.tokenizer.model.tokenize
+        pre_tokens = _Bounded(lambda x: value([t.id for t in model(x.encode().decode("latin-1").translate(_LETTERS))]), PRE_TOKENS)
+        known = frequent or {}
 
-        def length(piece: str) -> int:
-            if max(piece, default="") > LAST_PLAIN:
-                return misses[piece]
-            total = 0
-            for pre in pattern.findall(piece):
-                known = frequent.get(pre)
-                total += misses[pre] if known is None else known
-            return total
+        def look_up(pre):
+            found = known.get(pre)
+            return pre_tokens[pre] if found is None else found
 
-        self.pieces = _Bounded(length, PIECES)
+        def of_piece(piece: str):
+            if piece.isascii() or max(piece, default="") <= LAST_PLAIN:
+                return put_together([look_up(x) for x in pattern.findall(piece)])
+            return value(self.tokenizer.encode(piece, add_special_tokens=False).ids)
 
-    def __call__(self, text: str) -> int:
-        if any(x in text for x in self.special):
-            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return sum(map(self.pieces.__getitem__, pieces(text)))
+        def of_later_piece(piece: str):
+            if piece.isalpha() and (piece.isascii() or max(piece) <= LAST_PLAIN):
+                return look_up(" " + piece)
+            return of_piece(" " + piece)
 
+        self.of_piece = of_piece
+        self.later = _Bounded(of_later_piece, PIECES)
 
-class Encoder:
-    """Token ids as little-endian unsigned 32-bit integers."""
+    def __call__(self, text: str):
+        if any(x in text for x in self.special):
+            return self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        first, *rest = pieces(text)
+        return self.put_together([self.of_piece(first), *map(self.later.__getitem__, rest)])
 
-    def __init__(self, tokenizer: str):
-        self.tokenizer, self.special, pattern = load(tokenizer)
-        pre_tokens = _Bounded(self._encode, PRE_TOKENS)
 
-        def ids(piece: str) -> bytes:
-            if max(piece, default="") > LAST_PLAIN:
-                return pre_tokens[piece]
-            return b"".join([pre_tokens[x] for x in pattern.findall(piece)])
+class Counter(_Lookup):
+    """Numbers of tokens. ``frequent`` has those of common pre-tokens."""
 
-        self.pieces = _Bounded(ids, PIECES)
+    def __init__(self, tokenizer: str, frequent: dict[str, int]):
+        super().__init__(tokenizer, len, sum, frequent)
 
-    def _encode(self, text: str) -> bytes:
-        return b"".join([x.to_bytes(4, "little") for x in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
-    def __call__(self, text: str) -> bytes:
-        if any(x in text for x in self.special):
-            return self._encode(text)
-        return b"".join(map(self.pieces.__getitem__, pieces(text)))
+class Encoder(_Lookup):
+    """Token ids as little-endian unsigned 32-bit integers."""
+
+    def __init__(self, tokenizer: str):
+        super().__init__(tokenizer, lambda ids: struct.pack(f"<{len(ids)}I", *ids), b"".join)
 
 
 @functools.lru_cache(maxsize=4)

@@ -45,8 +45,10 @@ def frequent_lengths(docs: DataFrame, tokenizer: str = TOKENIZER, texts: int = S
         tally: Tally[str] = Tally()
         for batch in batches:
             for text in batch.column("text"):
-                for piece in pieces(text.as_py() or ""):
-                    tally.update(pattern.findall(piece))
+                first, *rest = pieces(text.as_py() or "")
+                tally.update(pattern.findall(first))
+                for piece in rest:
+                    tally.update(pattern.findall(" " + piece))
         yield pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), pa.array(list(tally.values()), pa.int64())], ["pre", "n"])
 
     rows = docs.count()
