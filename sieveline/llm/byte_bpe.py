@@ -14,8 +14,8 @@ import struct
 
 import regex
 
-#: Entries of a worker's caches; a cache that is full starts anew.
-PIECES, PRE_TOKENS = 600_000, 600_000
+#: Entries of a worker's caches, about 80 MB each; a cache that is full starts anew.
+PIECES, PRE_TOKENS = 400_000, 400_000
 #: Pieces with letters past this one are left to the tokenizer whole, as Unicode tables may differ.
 LAST_PLAIN = "ɏ"
 _CUT = re.compile(r"(?<=\S) ")
@@ -91,9 +91,14 @@ class _Lookup:
                 return look_up(" " + piece)
             return of_piece(" " + piece)
 
-        self.of_piece = of_piece
+        self.of_piece, self.pre_tokens = of_piece, pre_tokens
         self.later = _Bounded(of_later_piece, PIECES)
 
+    def forget(self) -> None:
+        """Empty the caches, so that an idle worker holds no memory."""
+        self.pre_tokens.clear()
+        self.later.clear()
+
     def __call__(self, text: str):
         if any(x in text for x in self.special):
             return self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -113,9 +118,3 @@ class Encoder(_Lookup):
 
     def __init__(self, tokenizer: str):
         super().__init__(tokenizer, lambda ids: struct.pack(f"<{len(ids)}I", *ids), b"".join)
-
-
-@functools.lru_cache(maxsize=4)
-def encoder(tokenizer: str) -> Encoder:
-    """One encoder for each worker process, so that its caches last from task to task."""
-    return Encoder(tokenizer)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sieveline.session import cut_lineage
 
-from .byte_bpe import encoder
+from .byte_bpe import Encoder
 from .frames import ship_package
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -94,7 +94,7 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:5 + with_ids]
 
     def run(batches):
-        encode = encoder(tokenizer)
+        encode = Encoder(tokenizer)
         for batch in batches:
             rows, out = [], [[] for _ in names[1:]]
             for row, text in enumerate(pc.fill_null(batch.column("text"), "")):
@@ -111,6 +111,7 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_
             if with_ids:
                 arrays.append(pa.array([np.frombuffer(x, "<u4") for x in out[4]], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), *arrays], names)
+        encode.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, _PIECES + ", ids array<long>" * with_ids)

@@ -63,7 +63,7 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def row_groups(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def row_groups(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes of text each; a longer text has a range of its own."""
     _, offsets = text_bytes(column)
     first = 0

@@ -26,17 +26,6 @@ LIMIT = 512
 #: Texts that the table of frequent pre-tokens is fitted on, and its greatest size.
 SAMPLE_TEXTS, TABLE_SIZE = 4_000, 50_000
 
-_COUNTERS: dict[tuple[str, int], Counter] = {}
-
-
-def _counter(tokenizer: str, frequent: dict[str, int]) -> Counter:
-    """The counter of this worker process, so that its caches last from task to task."""
-    key = (tokenizer, id(frequent))
-    if key not in _COUNTERS:
-        _COUNTERS.clear()
-        _COUNTERS[key] = Counter(tokenizer, frequent)
-    return _COUNTERS[key]
-
 
 def frequent_lengths(docs: DataFrame, tokenizer: str = TOKENIZER, texts: int = SAMPLE_TEXTS, size: int = TABLE_SIZE) -> dict[str, int]:
     """Token counts of the pre-tokens that are most frequent in a sample of about ``texts`` texts."""
@@ -67,12 +56,13 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT
     shared = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, tokenizer))
 
     def run(batches):
-        count = _counter(tokenizer, shared.value)
+        count = Counter(tokenizer, shared.value)
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pc.binary_length(texts).cast(pa.int64()),
                  pa.array([count(x.as_py()) for x in texts], pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        count.forget()
 
     counted = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "doc_id long, n_bytes long, n_tokens long")
