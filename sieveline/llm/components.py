@@ -12,8 +12,8 @@ def smallest_reachable(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable over ``links`` (columns a, b), for every node in them.
 
     Each round takes the smallest label among a node's neighbours, then the label of that label, so that
-    long chains shrink by at least half. Rounds end when nothing changes; every round is written to the
-    shared folder. Minima are combined before each shuffle, so a node may have any number of links.
+    long chains take far fewer rounds than they have links. Rounds end when nothing changes; every round is
+    written to the shared folder. Minima are combined before each shuffle, so a node may have any number of links.
     """
     links = links.where("a is not null and b is not null and a <> b")
     both = cut_lineage(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
