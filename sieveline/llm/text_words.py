@@ -29,7 +29,7 @@ _BYTE_VALUES = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the base and of its inverse, modulo 2**64."""
     size = max(n, WINDOW)
     if size not in _POWERS:
@@ -115,7 +115,7 @@ def scan(column: pa.Array, word_byte: np.ndarray, fold: np.ndarray = SAME) -> Wo
         start = np.flatnonzero(begins)
         end = np.flatnonzero(finishes) + 1
         if len(start):
-            power, inverse = _powers(stop - at)
+            power, inverse = powers(stop - at)
             sums = np.zeros(stop - at + 1, dtype=np.uint64)
             np.cumsum(_BYTE_VALUES[folded] * power[:stop - at], out=sums[1:])
             keys.append(mix((sums[end] - sums[start]) * inverse[start]))

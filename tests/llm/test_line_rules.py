@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveline.llm.line_frequency import line_verdicts, remove_frequent_lines
-from sieveline.llm.unit_dedup import remove_repeated_units, repeated_units
+from sieveline.llm.unit_dedup import remove_repeated_units, repeated_passages, repeated_units
 from texts import PLAIN_WORD, UPPER, documents, odd_texts, plain_words, prose, shout, words
 
 
@@ -98,6 +98,43 @@ def test_paragraphs(spark):
     assert got == [(1, 1, 4, 4 + 2 * len(p) + 1, 0)]
 
 
+def plain_passages(rows, size):
+    """Places (in words) to remove from each text, by comparing all runs."""
+    seen, gone = {}, defaultdict(set)
+    for doc_id, text in sorted({(r.doc_id, r.text) for r in rows if r.text}, key=lambda k: (k[0] is None, k[0] or 0)):
+        w = plain_words(text)
+        for i in range(len(w) - size + 1):
+            first = seen.setdefault(tuple(w[i:i + size]), (doc_id, i))
+            if first != (doc_id, i):
+                gone[doc_id] |= set(range(max(i, first[1] + size) if first[0] == doc_id else i, i + size))
+    return gone
+
+
+def test_passages_of_any_place_equal_plain_rule(spark):
+    import random
+    rng = random.Random(8)
+    p, q = prose(rng, 50), prose(rng, 70)
+    texts = [f"{prose(rng, 20)} {p} {prose(rng, 20)}", f"{prose(rng, 9)}; {shout(p)}, {prose(rng, 7)}\n{q}, {prose(rng, 3)}", p.replace(" ", "\n"),
+             f"x {q.replace(' ', chr(10), 40)} y", " ".join(["a b c"] * 60), f"{p.rsplit(' ', 1)[0]} but not the last word", f"{q} {q} end", f"{p} é {p}"]
+    docs = documents(spark, texts).where("doc_id is not null")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    for rows, size in ((keyed, 50), (keyed, 7), (documents(spark).where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_key"), "text"), 50)):
+        whole = {r.doc_id: r.text for r in rows.collect()}
+        got = defaultdict(set)
+        for r in repeated_passages(rows, size).collect():
+            at = len(plain_words(whole[r.doc_id][:r.start]))
+            got[r.doc_id] |= set(range(at, at + len(plain_words(whole[r.doc_id][r.start:r.end]))))
+        assert got == plain_passages(rows.collect(), size) and len(got) > 4
+    before = {r.doc_id: r.text for r in docs.collect()}
+    out = {r.doc_id: r for r in remove_repeated_units(docs, offsets=True).collect()}
+    assert out[0].text == before[0] and out[5].text == before[5] and 2 not in out
+    assert plain_words(out[1].text) == plain_words(before[1].replace(shout(p), "")) and out[3].text == "x y"
+    assert plain_words(out[6].text) == ["end"] and plain_words(out[4].text) == (["a", "b", "c"] * 60)[:50] and out[7].text == "é "
+    for r in out.values():
+        if r.kept_starts is not None:
+            assert plain_words(" ".join(before[r.doc_id][a:b] for a, b in zip(r.kept_starts, r.kept_ends))) == plain_words(r.text)
+
+
 @pytest.mark.parametrize("operator", [line_verdicts, remove_frequent_lines, repeated_units, remove_repeated_units])
 def test_empty_table(spark, operator):
     assert operator(documents(spark, [])).count() == 0
