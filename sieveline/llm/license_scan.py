@@ -8,8 +8,12 @@ A text that holds a notice more than once, or its words elsewhere, has too few u
 done around every occurrence of some template words: of as many of the rarest ones as could all be missing, and one more,
 so that a notice of enough coverage is met by at least one. The best window counts.
 
+A license has templates of several kinds: its name in a short notice, its opening words, and its whole text. Each kind
+has a coverage of its own. A named notice needs all words of the name, next to each other. Whole texts of many words are
+aligned in windows of twice their length that begin at every quarter of it.
+
 Words are those of the class of ``text_words.PLAIN``, in lower case. Null and empty texts and templates without words give
-no rows. Repeated rows give their rows again, and equal coverages of several templates are all given. Other columns are
+no rows. Repeated rows give their rows again, and templates of different licenses that fit equally well are all given. Other columns are
 not looked at.
 """
 
@@ -23,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import ship_package
+from .license_texts import TEXTS
 from .text_words import PLAIN, SPACES
 
 COVERAGE = 0.8
@@ -30,7 +35,7 @@ COVERAGE = 0.8
 TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+    "BSD-2-Clause OR BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
                     "the following conditions are met.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
@@ -41,8 +46,28 @@ TEMPLATES = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+#: Templates above that are the first words of the license itself.
+OPENINGS = ("BSD-2-Clause OR BSD-3-Clause", "MIT")
+#: Names of licenses in short notices.
+NAMES = {
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License"],
+    "CC-BY-4.0": ["CC BY 4.0", "Creative Commons Attribution 4.0 International License"],
+    "CC-BY-NC-4.0": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC-BY-SA-4.0": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2", "GNU GPL v2", "GPLv2"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3", "GNU GPL v3", "GPLv3"],
+    "MIT": ["MIT License"],
+    "MPL-2.0": ["Mozilla Public License, v. 2.0", "Mozilla Public License, version 2.0", "Mozilla Public License 2.0"],
+}
+NOTICES = ("Released under {}", "Released under the {}", "Licensed under {}", "Licensed under the {}", "Distributed under the {}",
+           "Available under the {}", "Under the terms of the {}", "Subject to the terms of the {}")
+#: Templates of more words are aligned in windows.
+LONG = 400
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if PLAIN[b] else SPACES[0] for b in range(256))
-_FOUND = "doc_id long, license string, n_words long, n_matched long, coverage double, start_word long, end_word long"
+_FOUND = "doc_id long, license string, template string, n_words long, n_matched long, coverage double, start_word long, end_word long"
 
 
 def words_of(text: str) -> list[bytes]:
@@ -128,14 +153,52 @@ def _around(text, template, low, high, at, i) -> list[tuple[int, int]]:
     return [*((a + low, c) for a, c in left), (at, i), *((a + at + 1, c + i + 1) for a, c in right)]
 
 
+def named_alignment(text: list[bytes], places: dict[bytes, list[int]], template: list[bytes], name: int, coverage: float) -> list[tuple[int, int]]:
+    """The best alignment that holds the words from ``name`` to the end of the template next to each other."""
+    best: list[tuple[int, int]] = []
+    size, words = len(template) - name, template[name:]
+    for at in places.get(template[name], ()):
+        if text[at:at + size] == words:
+            found = [*patience(text[max(at - 2 * name, 0):at], template[:name]), *((k, name + k) for k in range(size))]
+            low = max(at - 2 * name, 0)
+            found = [(a + (low if c < name else at), c) for a, c in found]
+            if len(found) > len(best):
+                best = found
+    return best if len(best) >= coverage * len(template) else []
+
+
+def long_alignment(text: list[bytes], template: list[bytes], coverage: float) -> list[tuple[int, int]]:
+    """The best alignment with a long template in windows of the text."""
+    need, size = coverage * len(template), len(template)
+    wanted = Counter(template)
+    best: list[tuple[int, int]] = []
+    for low in range(0, max(len(text) - int(need), 0) + 1, size // 4):
+        part = text[low:low + 2 * size]
+        if (wanted & Counter(part)).total() >= max(need, len(best) + 1):
+            found = patience(part, template)
+            if len(found) > len(best):
+                best = [(a + low, c) for a, c in found]
+    return best if len(best) >= need else []
+
+
+def _all_templates(templates: dict[str, str] | None) -> list[tuple[str, str, list[bytes], int | None]]:
+    """(license, kind, words, place of the name or None)."""
+    out = [(k, "opening" if templates is None and k in OPENINGS else "notice", words_of(v), None) for k, v in (templates or TEMPLATES).items()]
+    if templates is None:
+        out += [(k, "text", words_of(v), None) for k, v in TEXTS.items()]
+        out += [(k, "notice", words_of(x.format(v)), len(words_of(x.format("")))) for k, names in NAMES.items() for v in names for x in NOTICES]
+    return sorted((x for x in out if x[2]), key=lambda x: x[:2])
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
-    """One row for each document and template of at least ``coverage``; places are counted in words of the text.
+    """One row for each document, license and kind of template of at least ``coverage``; places are counted in words of the text.
 
-    Of templates aligned with the same words, only those of the greatest coverage are given.
+    Of templates of one kind the best is given. Of licenses aligned with the same words, only those are given that have the most
+    words aligned, less those that miss.
     """
     ship_package(docs.sparkSession)
-    named = {k: words_of(v) for k, v in sorted((templates or TEMPLATES).items()) if words_of(v)}
-    wanted = {w for words in named.values() for w in words}
+    named = [(*x, Counter(x[2]), frozenset(x[2])) for x in _all_templates(templates)]
+    wanted = {w for x in named for w in x[2]}
     names = [x.split()[0] for x in _FOUND.split(", ")]
 
     def run(batches):
@@ -143,22 +206,28 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
             rows, out = [], []
             for row, value in enumerate(batch.column("text")):
                 words = words_of(value.as_py() or "")
-                if len(wanted.intersection(words)) < 2 and all(len(t) > 2 for t in named.values()):
-                    continue
                 places: dict[bytes, list[int]] = {}
                 for i, word in enumerate(words):
                     if word in wanted:
                         places.setdefault(word, []).append(i)
-                here = []
-                for name, template in named.items():
-                    found = best_alignment(words, places, template, coverage)
-                    if found:
-                        here.append((name, len(template), len(found), len(found) / len(template), found[0][0], found[-1][0] + 1))
-                best = [x for x in here if not any(y[3] > x[3] and y[4] < x[5] and x[4] < y[5] for y in here)]
+                have, here = places.keys(), {}
+                for license, kind, template, name, counts, distinct in named:
+                    if name is not None and template[name] not in places or sum(counts[w] for w in distinct & have) < coverage * len(template):
+                        continue
+                    if name is not None:
+                        found = named_alignment(words, places, template, name, coverage)
+                    elif len(template) > LONG:
+                        found = long_alignment(words, template, coverage)
+                    else:
+                        found = best_alignment(words, places, template, coverage)
+                    fit = 2 * len(found) - len(template)
+                    if found and ((license, kind) not in here or fit > here[license, kind][0]):
+                        here[license, kind] = (fit, (license, kind, len(template), len(found), len(found) / len(template), found[0][0], found[-1][0] + 1))
+                best = [x for f, x in here.values() if not any(g > f and y[0] != x[0] and y[5] < x[6] and x[5] < y[6] for g, y in here.values())]
                 rows += [row] * len(best)
                 out += best
-            columns = list(zip(*out, strict=True)) if out else [[]] * 6
-            types = [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 7
+            types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())),
                                               *(pa.array(x, t) for x, t in zip(columns, types, strict=True))], names)
 

@@ -6,7 +6,8 @@ import pyarrow as pa
 import pytest
 
 from sieveline.llm import byte_network, factorization
-from sieveline.llm.license_scan import TEMPLATES, patience, scan_licenses, words_of
+from sieveline.llm.license_scan import NAMES, TEMPLATES, patience, scan_licenses, words_of
+from sieveline.llm.license_texts import TEXTS
 from sieveline.llm.quality import of_quality, score_quality
 from sieveline.llm.toxicity import score_toxicity, without_toxic
 from texts import documents, odd_texts, prose
@@ -106,3 +107,19 @@ def test_licenses_are_found_wherever_they_stand(spark):
     assert got[1, "GPL-3.0"].start_word == 300 and got[1, "GPL-3.0"].end_word == 300 + len(words_of(gpl))
     assert 0.8 < got[4, "MIT"].coverage < 1 == got[6, "GPL-3.0"].coverage
     assert scan_licenses(documents(spark, [])).count() == 0
+
+
+def test_every_kind_of_license_template_is_found(spark):
+    import random
+    rng = random.Random(6)
+    short = [(k, "notice", f"{prose(rng, 40)}\nReleased under the {v}.\n{prose(rng, 40)}") for k, names in NAMES.items() for v in names]
+    whole = [(k, "text", f"{prose(rng, 40)}\n{v}\n{prose(rng, 40)}") for k, v in TEXTS.items()]
+    half = [(k, "text", " ".join(v.split()[len(v.split()) // 8:])) for k, v in TEXTS.items() if k != "BSD-2-Clause"]
+    cases = [*short, *whole, *half, (None, None, "Released under the Foo License."), (None, None, "GNU Lesser General Public License v3 mit license")]
+    docs = documents(spark, [x[2] for x in cases]).where("doc_id is not null")
+    got = {}
+    for r in scan_licenses(docs).distinct().collect():
+        got.setdefault(r.doc_id, []).append((r.license, r.template))
+    for i, (license, kind, _) in enumerate(cases):
+        assert (license, kind) in got.get(i, []) if license else i not in got, (cases[i][:2], got.get(i))
+        assert {x for x, _ in got.get(i, [])} <= {license}, (cases[i][:2], got.get(i))
