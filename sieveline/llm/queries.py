@@ -13,6 +13,7 @@ from .jaccard_join import near_duplicate_groups
 from .license_scan import scan_licenses
 from .line_frequency import line_verdicts
 from .packing import pack_documents
+from .prefix_trie import prefix_trie
 from .quality import score_quality
 from .token_counts import token_counts
 from .toxicity import score_toxicity
@@ -183,3 +184,37 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_quality_cnn")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+TRIE_SQL = r"""
+turns AS (SELECT conv_id, idx, md5(key) AS key, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(key)) AS idx FROM (
+              SELECT conv_id, turn, coalesce(text, '') AS text, length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS key
+              FROM conversations WHERE conv_id IS NOT NULL))),
+convs AS (SELECT conv_id, count(*) AS n, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(
+            string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+            lambda a, x: xor(xor(a, x) >> 1, CASE WHEN xor(a, x) % 2 = 1 THEN 3988292384 ELSE 0 END))) % 4 AS h FROM turns GROUP BY conv_id),
+opening AS (SELECT c.conv_id, idx AS depth, key, words FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 20 AND idx <= h),
+lent AS (SELECT conv_id, count(*) AS m FROM opening GROUP BY conv_id),
+rebuilt AS (SELECT * FROM opening UNION ALL SELECT conv_id, idx - h + coalesce(m, 0), key, words
+            FROM turns JOIN convs USING (conv_id) LEFT JOIN lent USING (conv_id) WHERE idx > h),
+paths AS MATERIALIZED (SELECT conv_id, depth, words, md5(array_to_string(list(key) OVER (PARTITION BY conv_id ORDER BY depth), ',')) AS path FROM rebuilt
+          UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+lengths AS (SELECT conv_id, max(depth) AS depth FROM paths GROUP BY conv_id),
+nodes AS MATERIALIZED (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words FROM paths GROUP BY path, depth),
+parents AS (SELECT n.path, p.path AS above, u.conv_id AS parent_conv_id FROM nodes n JOIN paths p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1
+            JOIN nodes u ON u.path = p.path),
+kids AS (SELECT above AS path, count(*) AS n_children FROM parents GROUP BY above),
+sums AS (SELECT p.path, count(*) FILTER (WHERE kids.path IS NULL) AS n_leaves, CAST(sum((n_convs - 1) * n.words) AS BIGINT) AS saved_tokens
+         FROM nodes n JOIN paths p ON p.conv_id = n.conv_id AND p.depth <= n.depth LEFT JOIN kids ON kids.path = n.path GROUP BY p.path),
+ends AS (SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM paths JOIN lengths USING (conv_id, depth) GROUP BY path)
+"""
+
+
+@_query("op13_prefix_trie", f"""
+WITH {TRIE_SQL}
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens,
+       sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes LEFT JOIN parents USING (path) LEFT JOIN kids USING (path) JOIN sums USING (path) LEFT JOIN ends USING (path)""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read_table(spark, sf_dir, "conversations"))
