@@ -19,6 +19,7 @@ from .token_counts import token_counts
 from .toxicity import score_toxicity
 from .unit_dedup import repeated_units
 from .warc import deduplicated_pages
+from .whitening import whitened_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -218,3 +219,8 @@ SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, coalesc
 FROM nodes LEFT JOIN parents USING (path) LEFT JOIN kids USING (path) JOIN sums USING (path) LEFT JOIN ends USING (path)""")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
+@_query("op12_exact_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_components(read_table(spark, sf_dir, "embeddings"))
