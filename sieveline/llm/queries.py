@@ -12,6 +12,7 @@ from .frames import read_table
 from .jaccard_join import near_duplicate_groups
 from .license_scan import scan_licenses
 from .line_frequency import line_verdicts
+from .lsh_forest import forest_groups
 from .packing import pack_documents
 from .prefix_trie import prefix_trie
 from .quality import score_quality
@@ -34,24 +35,25 @@ def _query(name: str, sql: str | None = None):
     return register
 
 
-SHINGLE_SQL = r"""
+def _shingle_sql(size: int, percent: int) -> str:
+    return rf"""
 cut AS (SELECT doc_id, regexp_extract_all(
           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
           '[^\x20\x09-\x0D]+') AS w FROM documents),
-sets AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-           ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM cut),
+sets AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {size} THEN [array_to_string(w, ' ')]
+           ELSE list_transform(range(1, len(w) - {size - 2}), lambda i: array_to_string(w[i:i + {size - 1}], ' ')) END) AS s FROM cut),
 sizes AS (SELECT doc_id, len(s) AS n FROM sets),
 items AS (SELECT doc_id, unnest(s) AS x FROM sets),
 shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM items a JOIN items b USING (x)
            WHERE a.doc_id <> b.doc_id GROUP BY ALL),
 links AS MATERIALIZED (SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
-          WHERE 100 * k >= 80 * (p.n + q.n - k)),
+          WHERE 100 * k >= {percent} * (p.n + q.n - k)),
 reach(node, seen) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT b, seen FROM reach JOIN links ON a = node)
 """
 
 
 @_query("op4_ngram_jaccard_join", f"""
-WITH RECURSIVE {SHINGLE_SQL}
+WITH RECURSIVE {_shingle_sql(5, 80)}
 SELECT doc_id, n AS n_shingles, min(seen) AS component_id FROM sizes JOIN reach ON node = doc_id GROUP BY ALL""")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(read_table(spark, sf_dir, "documents"))
@@ -224,3 +226,10 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op12_exact_whitening")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened_components(read_table(spark, sf_dir, "embeddings"))
+
+
+@_query("op11_lsh_forest", f"""
+WITH RECURSIVE {_shingle_sql(3, 85)}
+SELECT doc_id, n AS n_shingles, min(seen) AS component_id, doc_id = min(seen) AS kept FROM sizes JOIN reach ON node = doc_id GROUP BY doc_id, n""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest_groups(read_table(spark, sf_dir, "documents"))
