@@ -10,10 +10,10 @@ Jaccard similarity of 0.8 or more. Nothing is sampled or capped:
 3. Of the classes with a signature, the one with most shared signatures is its hub: near copies of one text share more with
    that text than with each other. Each class is compared with the hub that it meets most often. These
    links alone join most groups of near copies.
-4. Classes that share a signature but are not yet in one group are all compared, unless their odd sketches
-   differ in more bits than similar sets can: each element flips one bit of its set's sketch, so two sketches differ in at
-   most as many bits as the sets differ in elements. One signature in sixteen is taken first: the links it gives join
-   most of what is still apart, so that all signatures together give few pairs more than once.
+4. Groups that still share a signature grow in rounds (``near_pairs``): hubs are chosen anew, each class of another group
+   is compared with one of them, and when most hubs are refused the pairs across groups that are not proven unlike are
+   compared, a few of each class and other group at a time. One signature in sixteen is taken first: the links it gives join most of
+   what is still apart.
 
 Step 4 makes the result exact: a pair is left out only if it is already connected, or proven to be unlike.
 
@@ -25,9 +25,6 @@ nothing and has a null component. Other columns are not looked at.
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,59 +32,28 @@ from pyspark.sql import functions as F
 
 from sieveline.session import cut_lineage
 
-from .components import smallest_reachable
-from .frames import only_ids, without_ids
+from .frames import ship_package, without_ids
+from .near_pairs import ODD, Groups, equal_sets, odd_sketches, set_digests, sets_of, sketch_table, spared_copies, text_groups
 from .part_enum import signatures
-from .text_words import LOWER, NOT_SPACE, mix, row_groups, scan, shingle_keys
+from .text_words import mix
 
 SHINGLE = 5
 PERCENT = 80
 
-#: Words of 64 bits in an odd sketch.
-SKETCH = 16
 #: One in so many signatures is looked at first in step 4, since linked sets share many.
 FIRST_SIGNS = 16
 
-_SETS = "doc_id long, n_shingles long, set_a long, set_b long, " + ", ".join(f"odd_{i} long" for i in range(SKETCH))
+_SETS = "doc_id long, n_shingles long, set_a long, set_b long, " + ", ".join(f"{x} long" for x in ODD)
 _SIGNS = "route long, doc_id long, sign long, met boolean"
 
 
-def _distinct(keys: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of each of ``n`` texts, one text after the other, and where each begins."""
-    order = np.argsort(rows, kind="stable")
-    keys, edges = keys[order], np.searchsorted(rows[order], np.arange(n + 1))
-    sets = [np.unique(keys[edges[i]:edges[i + 1]]) for i in range(n)]
-    return (np.concatenate(sets) if sets else keys), np.cumsum([0, *map(len, sets)])
-
-
-def _sets_of(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    keys, rows = shingle_keys(scan(column, NOT_SPACE, LOWER), shingle)
-    return _distinct(keys, rows, len(column))
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Array]]:
-    for batch in batches:
-        for first, last in row_groups(batch.column("text")):
-            part = batch.slice(first, last - first)
-            yield part.column("doc_id"), part.column("text")
-
-
 def document_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, set_a, set_b) and the odd sketch of every document; equal sets have equal set_a and set_b."""
     def run(batches):
-        for ids, texts in _groups(batches):
-            keys, first = _sets_of(texts, shingle)
-            size = np.diff(first)
-            sums = []
-            for salt in (1, 2):
-                total = np.zeros(len(keys) + 1, dtype=np.uint64)
-                np.cumsum(mix(keys + np.uint64(salt * 0x5851F42D4C957F2D)), out=total[1:])
-                sums.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
-            bit = (mix(keys) % np.uint64(64 * SKETCH)).astype(np.int64)
-            cell = np.repeat(np.arange(len(ids)), size) * 64 * SKETCH + bit
-            odd = np.packbits(np.bincount(cell, minlength=len(ids) * 64 * SKETCH) & 1).view(np.int64).reshape(len(ids), SKETCH)
+        for ids, texts in text_groups(batches):
+            keys, first = sets_of(texts, shingle)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(size.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), *map(pa.array, odd.T)],
+                [ids, pa.array(np.diff(first).astype(np.int64)), *map(pa.array, set_digests(keys, first)), *map(pa.array, odd_sketches(keys, first).T)],
                 [x.split()[0] for x in _SETS.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SETS)
@@ -100,9 +66,9 @@ def _signed(docs: DataFrame, shingle: int) -> DataFrame:
     the task have it. These are rows with the signature as sign, and their route is spread.
     """
     def run(batches):
-        for ids, texts in _groups(batches):
+        for ids, texts in text_groups(batches):
             ids = ids.to_numpy(zero_copy_only=False).astype(np.int64)
-            keys, first = _sets_of(texts, shingle)
+            keys, first = sets_of(texts, shingle)
             sign, owner = signatures(keys, first)
             order = np.lexsort((ids[owner], sign))
             sign, doc = sign[order], ids[owner[order]]
@@ -125,54 +91,16 @@ def _shared(signed: DataFrame) -> DataFrame:
             .where("sign is not null or low < high or met").select(F.coalesce("sign", "route").alias("sign"), "doc_id"))
 
 
-def _texts(docs: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
-    """(doc_id, packed): the compressed texts of some documents."""
-    def run(batches):
-        for batch in batches:
-            packed = [zlib.compress((x.as_py() or "").encode(), 1) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "packed"])
-
-    return only_ids(docs, ids, rows).mapInArrow(run, "doc_id long, packed binary")
-
-
-def _links(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose whole texts are similar enough."""
-    pairs = cut_lineage(pairs, "pairs")
-    ids = cut_lineage(pairs.select("a").union(pairs.select("b")).distinct(), "members")
-    texts = cut_lineage(_texts(docs, ids, ids.count()), "texts")
-
-    def run(batches):
-        for batch in batches:
-            ones, twos = batch.column("packed_a"), batch.column("packed_b")
-            good = np.zeros(len(batch), dtype=bool)
-            for at in range(0, len(batch), 64):
-                some = [zlib.decompress(x.as_py()) for pair in zip(ones[at:at + 64], twos[at:at + 64], strict=True) for x in pair]
-                keys, first = _sets_of(pa.array(some, pa.large_binary()), shingle)
-                for i in range(len(some) // 2):
-                    size = first[2 * i + 2] - first[2 * i]
-                    both = keys[first[2 * i]:first[2 * i + 2]]
-                    union = len(np.unique(both))
-                    good[at + i] = 100 * (size - union) >= percent * union
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
-
-    joined = (pairs.join(texts.toDF("a", "packed_a"), "a").join(texts.toDF("b", "packed_b"), "b")
-              .select("a", "b", "packed_a", "packed_b"))
-    return cut_lineage(joined.mapInArrow(run, "a long, b long"), "links")
-
-
 def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     if percent < PERCENT:
         raise ValueError("signatures are made for similarities of 80 percent and more")
+    ship_package(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = cut_lineage(document_sets(docs, shingle), "sets")
     real = sets.where("n_shingles > 0 and doc_id is not null")
-    classes = cut_lineage(real.groupBy("set_a", "set_b", "n_shingles").agg(
-        F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "classes")
-    copies = cut_lineage(real.join(classes, ["set_a", "set_b", "n_shingles"])
-                         .where("doc_id <> class_id").select("doc_id", "class_id").distinct(), "copies")
-    several = real.select("doc_id", "set_a", "set_b").distinct().groupBy("doc_id").count().where("count > 1")
-    spared = cut_lineage(copies.select("doc_id").distinct().join(several, "doc_id", "left_anti"), "spared")
+    copies = equal_sets(real)
+    spared = spared_copies(real, copies)
     single = without_ids(docs.where("doc_id is not null"), spared, spared.count())
     shared = cut_lineage(_shared(_signed(single, shingle)), "shared")
 
@@ -181,31 +109,14 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int
         F.max_by("doc_id", F.struct("n", -F.col("doc_id"))).alias("hub")), "hubs")
     ties = (shared.join(hubs, "sign").where("doc_id <> hub").groupBy("doc_id", "hub").count()
             .groupBy("doc_id").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub")))
-    links = _links(docs, ties.toDF("a", "b"), shingle, percent)
-
-    odd = [f"odd_{i}" for i in range(SKETCH)]
-    sketches = real.groupBy("doc_id").agg(F.max("n_shingles").alias("size"), F.min("n_shingles").alias("least"), F.count_distinct("set_a").alias("texts"),
-                                          *(F.first(x).alias(x) for x in odd))
-    differ = " + ".join(f"bit_count(a.{x} ^ b.{x})" for x in odd)
-    alike = (f"100 * a.size >= {percent} * b.least and 100 * b.size >= {percent} * a.least and (a.texts > 1 or b.texts > 1 "
-             f"or ({100 + percent}) * ({differ}) <= {100 - percent} * (a.size + b.size))")
-
-    def apart(signs: DataFrame, links: DataFrame) -> DataFrame:
-        """Pairs that share one of ``signs``, are not joined by ``links`` and may be alike."""
-        group = smallest_reachable(links).toDF("doc_id", "label")
-        members = cut_lineage(signs.join(group, "doc_id", "left").select("sign", "doc_id", F.coalesce("label", "doc_id").alias("label")), "labelled")
-        mixed = members.groupBy("sign").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        kept = cut_lineage(members.join(cut_lineage(mixed.select("sign"), "mixed"), "sign").distinct().join(sketches, "doc_id"), "apart")
-        return (kept.alias("a").join(kept.alias("b"), F.expr(f"a.sign = b.sign and a.doc_id < b.doc_id and a.label <> b.label and {alike}"))
-                .select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct())
-
-    some = shared.where(F.pmod("sign", F.lit(FIRST_SIGNS)) == 0)
-    links = links.union(_links(docs, apart(some, links), shingle, percent))
-    more = _links(docs, apart(shared, links), shingle, percent)
-
-    linked = links.union(more).union(copies.toDF("a", "b"))
-    return sets.join(smallest_reachable(linked).toDF("doc_id", "label"), "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+
+    labels = cut_lineage(shared.select("doc_id").distinct().select("doc_id", F.col("doc_id").alias("label")), "labels")
+    groups = Groups(docs, sketch_table(real, labels), labels, shingle, percent)
+    groups.compare(ties.toDF("a", "b"))
+    rows = shared.select(F.col("sign").alias("key"), "doc_id", F.lit(0).alias("depth"))
+    groups.by_hubs(rows.where(F.pmod("key", F.lit(FIRST_SIGNS)) == 0))
+    groups.by_pairs(groups.by_hubs(rows))
+    return groups.component_of(sets, copies)
 
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
