@@ -18,7 +18,7 @@ from .prefix_trie import prefix_trie
 from .quality import score_quality
 from .token_counts import token_counts
 from .toxicity import score_toxicity
-from .unit_dedup import repeated_units
+from .unit_dedup import remove_repeated_units
 from .warc import deduplicated_pages
 from .whitening import whitened_components
 
@@ -167,11 +167,17 @@ ranked AS (SELECT *, row_number() OVER p AS r, first_value(doc_id) OVER p AS kep
 """
 
 
-@_query("op7_substring_dedup", f"""
+#: The units alone; the passages that follow them have no SQL and are tested against a plain rule.
+REPEATED_UNITS_SQL = f"""
 WITH {UNITS_SQL}
-SELECT doc_id, CAST(unit AS INT) AS unit, start, "end", kept_doc_id, CAST(kept_unit AS INT) AS kept_unit, kept_start FROM ranked WHERE r > 1""")
+SELECT doc_id, CAST(unit AS INT) AS unit, start, "end", kept_doc_id, CAST(kept_unit AS INT) AS kept_unit, kept_start FROM ranked WHERE r > 1"""
+
+
+@_query("op7_substring_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_units(read_table(spark, sf_dir, "documents")).drop("text_key")
+    """Every document that keeps text, with what is left of it and the places that this had in the original."""
+    left = remove_repeated_units(read_table(spark, sf_dir, "documents"), offsets=True)
+    return left.select("doc_id", "text", F.col("kept_starts").isNotNull().alias("changed"), "kept_starts", "kept_ends")
 
 
 @_query("op5_license_alignment")

@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.session import cut_lineage
@@ -36,8 +36,10 @@ MIN_WORDS = 10
 PASSAGE_WORDS = 50
 #: Separators of units. A paragraph ends at blank lines.
 UNITS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t]*(?:\n[ \t]*)+")}
-#: Each occurrence of a repeated unit is joined with the kept one in one of so many slices.
-SLICES = 16
+#: Occurrences of one key that are joined with the kept one in one slice; a key of more is met in several.
+SLICE_ROWS = 20_000
+#: Numbers in a list of what to remove, up to which it is broadcast (8 bytes each); a longer one meets the texts by a shuffle.
+BROADCAST_NUMBERS = 1_000_000
 
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if PLAIN[b] else SPACES[0] for b in range(256))
 _JOINT = {"line": "\n", "paragraph": "\n\n"}
@@ -86,18 +88,43 @@ def hashed_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS
     return keyed.mapInArrow(run, _UNIT)
 
 
+def _with_kept(rows: DataFrame, kept: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` joined with the written table ``kept``, which has each key once and its number ``n`` of rows.
+
+    Only keys of more than ``SLICE_ROWS`` rows are cut into slices, as many as their rows ask for.
+    """
+    hot = cut_lineage(kept.where(F.col("n") > SLICE_ROWS).select(*on, F.ceil(F.col("n") / SLICE_ROWS).cast("int").alias("slices")), "hot")
+    if hot.isEmpty():
+        return rows.join(kept.drop("n"), on)
+    one = F.coalesce("slices", F.lit(1))
+    dealt = rows.join(hot, on, "left").withColumn("slice", F.pmod(F.xxhash64(*rows.columns), one).cast("int")).drop("slices")
+    spread = kept.join(hot, on, "left").withColumn("slice", F.explode(F.sequence(F.lit(0), one - 1))).drop("slices", "n")
+    return dealt.join(spread, [*on, "slice"]).drop("slice")
+
+
 def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
     """Every unit to remove, with its offsets and the occurrence that is kept."""
-    units = cut_lineage(hashed_units(docs, unit, min_words).distinct(), "units")
+    units = cut_lineage(hashed_units(docs, unit, min_words), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "unit", "text_key", "start")
-    kept = cut_lineage(units.groupBy("digest_a", "digest_b").agg(F.min(rank).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1"), "kept")
-    sliced = kept.select("digest_a", "digest_b", "kept", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"))
-    dealt = units.withColumn("slice", F.pmod(F.xxhash64("doc_id", "unit"), F.lit(SLICES)).cast("int"))
-    return (dealt.join(sliced, ["digest_a", "digest_b", "slice"])
+    # repeated rows have the same rank, and count as one
+    kept = cut_lineage(units.groupBy("digest_a", "digest_b").agg(F.min(rank).alias("kept"), F.max(rank).alias("other"), F.count(F.lit(1)).alias("n"))
+                       .where("kept <> other or not (kept.doc_id <=> other.doc_id)").drop("other"), "kept")
+    return (_with_kept(units, kept, ["digest_a", "digest_b"])
             .where(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("unit") == F.col("kept.unit"))
                      & (F.col("text_key") == F.col("kept.text_key"))))
             .select("doc_id", "text_key", "unit", "start", "end", F.col("kept.doc_id").alias("kept_doc_id"),
-                    F.col("kept.unit").alias("kept_unit"), F.col("kept.start").alias("kept_start")))
+                    F.col("kept.unit").alias("kept_unit"), F.col("kept.start").alias("kept_start")).distinct())
+
+
+def _list_by_text(gone: DataFrame, values: Column, id_: str, key: str, name: str) -> tuple[DataFrame, int]:
+    """The distinct ``values`` of each text, written, and how many numbers the table holds."""
+    listed = cut_lineage(gone.groupBy(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).agg(F.collect_set(values).alias(name)), name)
+    return listed, listed.agg(F.coalesce(F.sum(F.size(name) * 2 + 2), F.lit(0))).first()[0]
+
+
+def _beside_texts(texts: DataFrame, listed: DataFrame, numbers: int, same: Column, how: str) -> DataFrame:
+    """``texts`` joined with a list of counted size; while it is small no text is moved."""
+    return texts.join(F.broadcast(listed) if numbers <= BROADCAST_NUMBERS else listed, same, how)
 
 
 def _without_units(text: pd.Series, unit: pd.Series, gone: pd.Series) -> pd.DataFrame:
@@ -196,12 +223,6 @@ def _runs_at(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("doc_id", "text_key", "text", "places").mapInArrow(run, fields)
 
 
-def _in_slices(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
-    """``rows`` joined with ``wanted``, which has each key once, so that a hot key is met in several tasks."""
-    sliced = wanted.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
-    return rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text_key", "place"), F.lit(SLICES)).cast("int")).join(sliced, [*on, "slice"])
-
-
 def repeated_passages(texts: DataFrame, size: int = PASSAGE_WORDS) -> DataFrame:
     """(doc_id, text_key, start, end) of every run of ``size`` words that ranks behind an equal one.
 
@@ -210,15 +231,16 @@ def repeated_passages(texts: DataFrame, size: int = PASSAGE_WORDS) -> DataFrame:
     ship_package(texts.sparkSession)
     anchors = cut_lineage(_anchors(texts, size), "anchors")
     place = F.xxhash64("doc_id", "text_key", "place")
-    again = cut_lineage(anchors.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("anchor"), "again")
-    marked = cut_lineage(_in_slices(anchors, again, ["anchor"]).groupBy(F.col("doc_id").alias("at_doc"), F.col("text_key").alias("at_text"))
-                         .agg(F.collect_set("place").alias("places")), "marked")
-    near = texts.join(marked, F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("text_key") == F.col("at_text")))
-    runs = cut_lineage(_runs_at(near, size).distinct(), "runs")
+    again = cut_lineage(anchors.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count(F.lit(1)).alias("n"))
+                        .where("a <> b").select("anchor", "n"), "again")
+    marked, numbers = _list_by_text(_with_kept(anchors, again, ["anchor"]), F.col("place"), "at_doc", "at_text", "places")
+    near = _beside_texts(texts, marked, numbers, F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("text_key") == F.col("at_text")), "inner")
+    runs = cut_lineage(_runs_at(near, size), "runs")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "place", "end")
-    kept = cut_lineage(runs.groupBy("digest_a", "digest_b").agg(F.min(rank).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1"), "kept")
+    kept = cut_lineage(runs.groupBy("digest_a", "digest_b").agg(F.min(rank).alias("kept"), F.max(rank).alias("other"), F.count(F.lit(1)).alias("n"))
+                       .where("kept <> other or not (kept.doc_id <=> other.doc_id)").drop("other"), "kept")
     same_text = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_key") == F.col("kept.text_key"))
-    return (_in_slices(runs, kept, ["digest_a", "digest_b"])
+    return (_with_kept(runs, kept, ["digest_a", "digest_b"])
             .where(~(same_text & (F.col("place") == F.col("kept.place"))))
             .select("doc_id", "text_key", F.when(same_text, F.greatest("start", "kept.end")).otherwise(F.col("start")).alias("start"), "end"))
 
@@ -261,9 +283,9 @@ def remove_repeated_units(docs: DataFrame, unit: str = "line", min_words: int =
     """
     id_, key, units, new = (free_name(docs, x) for x in ("gone_doc", "gone_text", "gone_units", "new_text"))
     own, old_starts, old_ends = (free_name(docs, x) for x in ("own_text", "old_starts", "old_ends"))
-    gone = (repeated_units(docs, unit, min_words).groupBy(F.col("doc_id").alias(id_), F.col("text_key").alias(key))
-            .agg(F.collect_list("unit").alias(units)))
-    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(key)), "left")
+    gone, numbers = _list_by_text(repeated_units(docs, unit, min_words), F.col("unit"), id_, key, units)
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(key))
+    joined = _beside_texts(docs, gone, numbers, same, "left")
     hit = F.col(units).isNotNull()
     cut = F.pandas_udf(_without_units, "struct<text: string, starts: array<long>, ends: array<long>>")
     joined = joined.withColumn(new, F.when(hit, cut(F.when(hit, F.col("text")).otherwise(""), F.lit(unit),
@@ -273,9 +295,8 @@ def remove_repeated_units(docs: DataFrame, unit: str = "line", min_words: int =
     lined = cut_lineage(lined.select(*docs.columns, own, F.col(f"{new}.starts").alias(old_starts), F.col(f"{new}.ends").alias(old_ends)), "lined")
 
     texts = lined.select(F.col("doc_id").cast("long"), F.col(own).alias("text_key"), F.col("text").cast("string"))
-    spans = (repeated_passages(texts, passage_words).groupBy(F.col("doc_id").alias(id_), F.col("text_key").alias(key))
-             .agg(F.collect_list(F.struct("start", "end")).alias(units)))
-    joined = lined.join(spans, lined["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(key)), "left")
+    spans, numbers = _list_by_text(repeated_passages(texts, passage_words), F.struct("start", "end"), id_, key, units)
+    joined = _beside_texts(lined, spans, numbers, lined["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(key)), "left")
     cut = F.pandas_udf(_without_spans, "struct<text: string, starts: array<long>, ends: array<long>>")
     joined = joined.withColumn(new, F.when(hit, cut(F.when(hit, F.col("text")).otherwise(""), F.lit(unit), old_starts, old_ends,
                                                     F.coalesce(units, F.array().cast("array<struct<start: bigint, end: bigint>>")))))

@@ -135,6 +135,32 @@ def test_passages_of_any_place_equal_plain_rule(spark):
             assert plain_words(" ".join(before[r.doc_id][a:b] for a, b in zip(r.kept_starts, r.kept_ends))) == plain_words(r.text)
 
 
+def test_null_ids_and_repeated_rows_lose_units_and_passages(spark):
+    import random
+    rng = random.Random(9)
+    p, line = prose(rng, 52), prose(rng, 15)
+    rows = [(3, f"{prose(rng, 5)} {p}"), (3, None), (None, f"x {p} y"), (None, f"x {p} y"), (None, line), (7, f"{line}\nz"), (7, f"{line}\nz"),
+            (None, f"{line}\nz"), (9, f"a {p} b"), (9, f"a {p} b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in remove_repeated_units(docs).collect()), key=str)
+    want = [rows[0], (3, None), (None, "x y"), (None, "x y"), (7, f"{line}\nz"), (7, f"{line}\nz"), (None, "z"), (9, "a b"), (9, "a b")]
+    assert got == sorted(want, key=str)
+
+
+def test_hot_units_are_met_in_slices(spark, monkeypatch):
+    import random
+    from sieveline.llm import unit_dedup
+    rng = random.Random(10)
+    line, p = prose(rng, 12), prose(rng, 55)
+    texts = [f"{line}\n{prose(rng, 4)} {i} {p} {i} {prose(rng, 4)}" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    whole = sorted(map(tuple, remove_repeated_units(docs, offsets=True).collect()), key=str)
+    monkeypatch.setattr(unit_dedup, "SLICE_ROWS", 7)
+    monkeypatch.setattr(unit_dedup, "BROADCAST_NUMBERS", 0)
+    assert sorted(map(tuple, remove_repeated_units(docs, offsets=True).collect()), key=str) == whole
+    assert sum(p in r[1] for r in whole) == 1 and sum(line in r[1] for r in whole) == 1 and len(whole) == 60
+
+
 @pytest.mark.parametrize("operator", [line_verdicts, remove_frequent_lines, repeated_units, remove_repeated_units])
 def test_empty_table(spark, operator):
     assert operator(documents(spark, [])).count() == 0

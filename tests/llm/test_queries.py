@@ -6,9 +6,9 @@ import corpus_pipeline
 from sieveline.llm.decontamination import remove_contamination
 from sieveline.llm.jaccard_join import keep_one_of_each_group
 from sieveline.llm.packing import pack_documents
-from sieveline.llm.queries import ORACLE, QUERIES
+from sieveline.llm.queries import ORACLE, QUERIES, REPEATED_UNITS_SQL
 from sieveline.llm.toxicity import without_toxic
-from sieveline.llm.unit_dedup import remove_repeated_units
+from sieveline.llm.unit_dedup import remove_repeated_units, repeated_units
 
 duckdb = pytest.importorskip("duckdb")
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -32,6 +32,12 @@ def test_matches_sql(spark, con, name):
     assert sorted(map(str, got)) == sorted(map(str, want)) and got
 
 
+def test_repeated_units_match_sql(spark, con):
+    got = repeated_units(spark.read.parquet(f"{SF}/documents.parquet")).drop("text_key").collect()
+    want = con.execute(REPEATED_UNITS_SQL).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and got
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs_without_sql(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
