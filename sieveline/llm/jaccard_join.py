@@ -12,8 +12,7 @@ Jaccard similarity of 0.8 or more. Nothing is sampled or capped:
    links alone join most groups of near copies.
 4. Groups that still share a signature grow in rounds (``near_pairs``): hubs are chosen anew, each class of another group
    is compared with one of them, and when most hubs are refused the pairs across groups that are not proven unlike are
-   compared, a few of each class and other group at a time. One signature in sixteen is taken first: the links it gives join most of
-   what is still apart.
+   compared, a few of each class and other group at a time.
 
 Step 4 makes the result exact: a pair is left out only if it is already connected, or proven to be unlike.
 
@@ -40,9 +39,6 @@ from .text_words import mix
 SHINGLE = 5
 PERCENT = 80
 
-#: One in so many signatures is looked at first in step 4, since linked sets share many.
-FIRST_SIGNS = 16
-
 _SETS = "doc_id long, n_shingles long, set_a long, set_b long, " + ", ".join(f"{x} long" for x in ODD)
 _SIGNS = "route long, doc_id long, sign long, met boolean"
 
@@ -114,7 +110,6 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int
     groups = Groups(docs, sketch_table(real, labels), labels, shingle, percent)
     groups.compare(ties.toDF("a", "b"))
     rows = shared.select(F.col("sign").alias("key"), "doc_id", F.lit(0).alias("depth"))
-    groups.by_hubs(rows.where(F.pmod("key", F.lit(FIRST_SIGNS)) == 0))
     groups.by_pairs(groups.by_hubs(rows))
     return groups.component_of(sets, copies)
 

@@ -2,7 +2,7 @@
 
 Candidates come as rows (key, doc_id, depth): documents with a common key may be alike. Groups are grown without listing
 the pairs of a key. In each round one document of every key that still holds several groups is its hub, and
-every document of another group is compared with one hub at most, the most alike by its sketch. What is found joins groups, so the
+every document of another group is compared with one hub at most, the one it shares most with. What is found joins groups, so the
 next round has fewer. When most hubs are refused, the pairs that lie across groups and may be alike are listed
 once, and of those only a few for each document and other group are compared at a time, since one link joins both
 groups. A pair is left out only if it is connected already, or proven unlike by its odd sketch: each element flips
@@ -32,6 +32,8 @@ SKETCH = 16
 ODD = [f"odd_{i}" for i in range(SKETCH)]
 #: Hubs of a key are chosen in so many ways at a time, by the key.
 HUBS = 8
+#: Hubs of which the sketches are looked at, for each document and round.
+HUBS_TRIED = 3
 #: Rounds end when fewer than one comparison in so many finds a link, or fewer than one open group in ``RARE`` is joined.
 FEW = 16
 RARE = 100
@@ -211,7 +213,7 @@ class Groups:
     def by_hubs(self, rows: DataFrame) -> DataFrame:
         """Grow groups along the keys of ``rows`` until few hubs are linked with anything; the rows that are still open.
 
-        Of its hubs a document takes one that shares the deepest key with it, then the nearest by sketch.
+        Of the ``HUBS_TRIED`` hubs that share the deepest and most keys with it, a document takes the nearest by sketch.
         """
         self.texts = None
         while True:
@@ -225,9 +227,12 @@ class Groups:
             self.turn += 1
             toss = F.xxhash64("doc_id", F.pmod("key", F.lit(HUBS)), F.lit(self.turn))
             hubs = opened.groupBy("key").agg(F.min_by(F.struct("doc_id", "label"), F.struct(toss, "doc_id")).alias("hub"))
-            pairs = (opened.join(hubs, "key").where(F.col("label") != F.col("hub.label"))
-                     .groupBy(F.col("doc_id").alias("a"), F.col("hub.doc_id").alias("b")).agg(F.max("depth").alias("depth")))
-            best = self._unlike_left_out(pairs).groupBy("a").agg(F.min_by("b", F.struct(-F.col("depth"), "apart", "b")).alias("b"))
+            met = (opened.join(hubs, "key").where(F.col("label") != F.col("hub.label"))
+                   .groupBy(F.col("doc_id").alias("a"), F.col("hub.doc_id").alias("b")).agg(F.max("depth").alias("depth"), F.count(F.lit(1)).alias("keys")))
+            # few hubs for each document, before anything is joined to them
+            first = Window.partitionBy("a").orderBy(F.desc("depth"), F.desc("keys"), "b")
+            few = met.withColumn("place", F.row_number().over(first)).where(F.col("place") <= HUBS_TRIED).select("a", "b")
+            best = self._unlike_left_out(few).groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
             n, found = self.compare(best)
             if FEW * found <= n or RARE * found <= apart:
                 return rows
