@@ -12,7 +12,7 @@ from ..functions.scores import (
 from ..params import DEFAULTS, STATIC_EXCLUSIONS, ScreenParams
 from ..session import cut_lineage
 from .ledger import PAIR, n
-from .ordering import lowest_rows, ranked_top, tail_counts, top_per_group
+from .ordering import ranked_top, tail_counts, top_per_group
 
 BEST_FIRST = ("score", "target", "ligand")
 
@@ -36,27 +36,58 @@ def top_hits(facts: DataFrame, threshold: float | None = None, top: int | None =
     return hits if top is None else hits.orderBy(*BEST_FIRST).limit(top)
 
 
+def _by_score(rows: DataFrame, p: ScreenParams) -> DataFrame:
+    """Per target: rows, hits, leads and the best (score, ligand), in one pass.
+
+    Rows are first counted for each score of a target with its smallest ligand: a hash aggregation before any shuffle that
+    leaves as many rows as a target has different scores, so nothing is read again to look the best one up.
+    """
+    levels = rows.groupBy("target", "score").agg(F.count("*").alias("_n"), F.min("ligand").alias("ligand"))
+
+    def below(cut: float) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("score") <= cut, F.col("_n"))), F.lit(0)).cast("bigint")
+
+    return levels.groupBy("target").agg(
+        F.sum("_n").cast("bigint").alias("n_scored"), below(p.hit_score).alias("n_hits"), below(p.lead_score).alias("n_leads"),
+        F.min("score").alias("best_score"), F.min_by("ligand", "score").alias("best_ligand"))  # a target has each score once
+
+
+def target_partials(facts: DataFrame, p: ScreenParams = DEFAULTS) -> DataFrame:
+    """(target, n_scored, n_hits, best_score, best_ligand) of some of the facts; see :func:`merge_targets`."""
+    return _by_score(facts.where(F.col("score").isNotNull()), p).drop("n_leads")
+
+
+def _with_rate(totals: DataFrame) -> DataFrame:
+    negative = F.col("best_score") < 0
+    return totals.select(
+        "target", "n_scored", "n_hits", F.round(F.col("n_hits") / F.col("n_scored"), 3).alias("hit_rate"),
+        *[F.when(negative, F.col(c)).alias(c) for c in ("best_score", "best_ligand")])
+
+
+def merge_targets(partials: DataFrame) -> DataFrame:
+    """Statistics of all facts from the partials of parts of them, in whatever order and number."""
+    merged = partials.groupBy("target").agg(
+        F.sum("n_scored").cast("bigint").alias("n_scored"), F.sum("n_hits").cast("bigint").alias("n_hits"),
+        F.min(F.struct("best_score", "best_ligand")).alias("_best"))
+    return _with_rate(merged.select("target", "n_scored", "n_hits", "_best.best_score", "_best.best_ligand"))
+
+
 def target_stats(facts: DataFrame, p: ScreenParams = DEFAULTS) -> DataFrame:
     """Per target: scored facts, hits, hit rate, and the best ligand where the best is negative."""
-    scored = facts.where(F.col("score").isNotNull())
-    stats = scored.groupBy("target").agg(F.count("*").alias("n_scored"), n(F.col("score") <= p.hit_score).alias("n_hits"))
-    best = lowest_rows(scored.where("score < 0"), ["target"], "score", ["ligand"]).toDF("_target", "best_score", "best_ligand")
-    return stats.join(best, F.col("target").eqNullSafe(F.col("_target")), "left").select(
-        "target", "n_scored", "n_hits",
-        F.round(F.col("n_hits") / F.col("n_scored"), 3).alias("hit_rate"), "best_score", "best_ligand")
+    return _with_rate(target_partials(facts, p))
+
+
+def merge_hits(partials: DataFrame) -> DataFrame:
+    """:func:`top_hits` of all facts from that of parts of them."""
+    return partials.groupBy(*PAIR).agg(F.min("score").alias("score"), F.min("first_seen_round").alias("first_seen_round"))
 
 
 def docking_summary(poses: DataFrame, p: ScreenParams = DEFAULTS) -> DataFrame:
     """Per target: ligands docked, hits, leads and the best pose."""
-    scored = poses.where(F.col("score").isNotNull())
-    per_ligand = scored.groupBy(*PAIR).agg(F.min("score").alias("score"))
-    totals = per_ligand.groupBy("target").agg(
-        F.count("*").alias("total_docked"),
-        n(F.col("score") <= p.hit_score).alias("hits"),
-        n(F.col("score") <= p.lead_score).alias("leads"))
-    best = lowest_rows(scored, ["target"], "score", ["ligand"]).toDF("_target", "best_energy", "best_ligand")
-    return totals.join(best, F.col("target").eqNullSafe(F.col("_target"))).select(
-        "target", "total_docked", "hits", "leads", "best_energy", "best_ligand")
+    per_ligand = poses.where(F.col("score").isNotNull()).groupBy(*PAIR).agg(F.min("score").alias("score"))
+    return _by_score(per_ligand, p).select(
+        "target", F.col("n_scored").alias("total_docked"), F.col("n_hits").alias("hits"), F.col("n_leads").alias("leads"),
+        F.col("best_score").alias("best_energy"), "best_ligand")
 
 
 def docking_totals(summary: DataFrame) -> DataFrame:

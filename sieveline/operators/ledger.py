@@ -234,18 +234,17 @@ def campaign_top(facts: DataFrame, k: int = 5) -> DataFrame:
 
 
 def round_summary(facts: DataFrame, p: ScreenParams = DEFAULTS) -> DataFrame:
-    """One row per round: sizes, distinct hits and the best pair."""
-    by_ligand = facts.groupBy("round", "ligand").agg(F.max("exh").alias("_exh")).groupBy("round").agg(
-        F.max("_exh").alias("exh"), F.count("ligand").alias("n_ligands"))
-    by_target = facts.groupBy("round", "target").count().groupBy("round").agg(F.count("target").alias("n_targets"))
-    hits = facts.where(F.col("score") <= p.hit_score).groupBy("round", *PAIR).count().groupBy("round").agg(F.count("*").alias("n_hits"))
-    best = lowest_rows(facts, ["round"], "score", ["target", "ligand"]).toDF("round", "best_score", "best_target", "best_ligand")
-    rounds = by_ligand
-    for part, how in ((by_target, "inner"), (hits, "left"), (best, "left")):
-        part = part.withColumnRenamed("round", "_round")
-        rounds = rounds.join(part, F.col("round").eqNullSafe(F.col("_round")), how).drop("_round")
-    return rounds.select("round", "exh", "n_ligands", "n_targets", F.coalesce("n_hits", F.lit(0)).alias("n_hits"),
-                         "best_score", "best_ligand", "best_target")
+    """One row per round: sizes, distinct hits and the best pair. The facts are read once, into one row per round and pair."""
+    pairs = cut_lineage(facts.groupBy("round", *PAIR).agg(F.max("exh").alias("exh"), F.min("score").alias("score")), "round-pairs")
+    by_ligand = pairs.groupBy("round", "ligand").agg(F.max("exh").alias("_exh"), n(F.col("score") <= p.hit_score).alias("_hits")).groupBy("round").agg(
+        F.max("_exh").alias("exh"), F.count("ligand").alias("n_ligands"), F.sum("_hits").cast("bigint").alias("n_hits"))
+    # the best ligand of each score and target first, by hash aggregation; the best of these is looked for among few rows
+    by_target = pairs.groupBy("round", "target", "score").agg(F.min("ligand").alias("ligand")).groupBy("round", "target").agg(
+        F.min("score").alias("score"), F.min_by("ligand", "score").alias("ligand")).groupBy("round").agg(
+        F.count("target").alias("n_targets"), F.min(F.when(F.col("score").isNotNull(), F.struct("score", "target", "ligand"))).alias("_best"))
+    rounds = by_ligand.join(by_target.withColumnRenamed("round", "_round"), F.col("round").eqNullSafe(F.col("_round")))
+    return rounds.select("round", "exh", "n_ligands", "n_targets", "n_hits", F.col("_best.score").alias("best_score"),
+                         F.col("_best.ligand").alias("best_ligand"), F.col("_best.target").alias("best_target"))
 
 
 def upsert_rounds(existing: DataFrame, new: DataFrame) -> DataFrame:

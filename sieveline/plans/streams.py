@@ -60,36 +60,35 @@ def stream_ledger(t):
 
 
 @query("stream_refresh", """SELECT CAST(target AS VARCHAR) AS target, count(*) AS n_scored, count(*) FILTER (WHERE score <= -7) AS n_hits, min(score) AS best_score
-    FROM facts WHERE score IS NOT NULL AND floor((round - 1) * 3 / 7) <= 1 GROUP BY 1""")
+    FROM facts WHERE score IS NOT NULL GROUP BY 1""")
 def stream_refresh(t):
-    """Target statistics as of the refresh after the second of three micro-batches."""
-    path, stats = scratch_path(t.spark, "facts"), scratch_path(t.spark, "stats")
-
-    def refresh(epoch):
-        landed = t.spark.read.option("basePath", path).parquet(path).where(F.col("epoch") < epoch)
-        H.target_stats(landed).write.mode("overwrite").parquet(stats)
-
-    _run(t, lambda s: s, I.refresh_every(2, refresh, I.table_sink(path)), "append")
+    """Target statistics, merged from partials after the second micro-batch and when the stream has ended."""
+    parts, stats = scratch_path(t.spark, "partials"), scratch_path(t.spark, "stats")
+    schema = "target string, n_scored long, n_hits long, best_score double, best_ligand string"
+    refresh = I.refresh_from(t.spark, parts, schema, H.merge_targets, stats)
+    _run(t, lambda s: s, I.refresh_every(2, refresh, I.partials_sink(parts, H.target_partials)), "append")
+    refresh()
     return t.spark.read.parquet(stats).select("target", "n_scored", "n_hits", "best_score")
 
 
-@query("stream_refresh_hits", """h AS (SELECT target, ligand, min(score) AS score, min(round) AS first_seen_round FROM facts WHERE score <= -7 AND floor((round - 1) * 3 / 7) <= 1 GROUP BY 1, 2),
+@query("stream_refresh_hits", """h AS (SELECT target, ligand, min(score) AS score, min(round) AS first_seen_round FROM facts WHERE score <= -7 GROUP BY 1, 2),
     r AS (SELECT *, CAST(row_number() OVER (ORDER BY score, target, ligand) AS INT) AS rank FROM h)
     SELECT rank, CAST(r.target AS VARCHAR) AS target, CAST(r.ligand AS VARCHAR) AS ligand, score, first_seen_round, name, smiles, r.target || '_' || r.ligand AS job_name
     FROM r LEFT JOIN target_dim d ON d.target = r.target LEFT JOIN compounds c ON c.ligand = r.ligand WHERE rank <= 50""")
 def stream_refresh_hits(t):
-    """Properties and jobs of the best hits as of the refresh after the second of three micro-batches."""
-    path, table = scratch_path(t.spark, "facts"), scratch_path(t.spark, "hits")
+    """Properties and jobs of the best hits, merged from partials after the second micro-batch and when the stream has ended."""
+    parts, table = scratch_path(t.spark, "partials"), scratch_path(t.spark, "hits")
     names = t.targets.select(F.col("target").cast("string").alias("target"), "name")
     structures = t.compounds.select(F.col("ligand").cast("string").alias("ligand"), "smiles")
 
-    def refresh(epoch):
-        landed = t.spark.read.option("basePath", path).parquet(path).where(F.col("epoch") < epoch)
-        best = H.ranked_top(H.top_hits(landed), [F.col("score"), F.col("target").cast("long"), F.col("ligand").cast("long")], 50)
+    def merge(partials):
+        best = H.ranked_top(H.merge_hits(partials), [F.col("score"), F.col("target").cast("long"), F.col("ligand").cast("long")], 50)
         best = best.join(names, "target", "left").join(structures, "ligand", "left")
-        best.withColumn("job_name", R.job_name(F.col("target"), F.col("ligand"))).write.mode("overwrite").parquet(table)
+        return best.withColumn("job_name", R.job_name(F.col("target"), F.col("ligand")))
 
-    _run(t, lambda s: s, I.refresh_every(2, refresh, I.table_sink(path)), "append")
+    refresh = I.refresh_from(t.spark, parts, "target string, ligand string, score double, first_seen_round int", merge, table)
+    _run(t, lambda s: s, I.refresh_every(2, refresh, I.partials_sink(parts, H.top_hits)), "append")
+    refresh()
     return t.spark.read.parquet(table).select("rank", "target", "ligand", "score", "first_seen_round", "name", "smiles", "job_name")
 
 

@@ -135,12 +135,21 @@ def pair_trend(pairs: DataFrame) -> DataFrame:
         "round", "batch_id", "new_hits", "cum_hits", "best_score")
 
 
+def partials_sink(path: str, partials: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """What ``partials`` makes of each micro-batch, as its own epoch folder: a replay writes the same rows again.
+
+    The facts themselves are read once, when they come; tables over all of them are merged from the partials.
+    """
+    def sink(batch: DataFrame, epoch: int) -> None:
+        write_epoch(partials(batch), path, epoch)
+    return sink
+
+
 def refresh_every(every: int, refresh: Callable[[int], None],
                   sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """Run ``refresh`` after each ``every`` micro-batches, over what they wrote.
 
-    It runs when the next micro-batch arrives, so never after the last one; the end of a round has
-    its own full pass.
+    It runs when the next micro-batch arrives; call ``refresh`` itself once more when the stream has ended.
     """
     def wrapped(batch: DataFrame, epoch: int) -> None:
         if epoch and epoch % every == 0:
@@ -149,6 +158,13 @@ def refresh_every(every: int, refresh: Callable[[int], None],
     return wrapped
 
 
+def refresh_from(spark: SparkSession, parts: str, schema, merge: Callable[[DataFrame], DataFrame], table: str) -> Callable[[int | None], None]:
+    """A refresh that writes what ``merge`` makes of the partials in ``parts``, up to an epoch or of all, to ``table``."""
+    def refresh(epoch: int | None = None) -> None:
+        merge(read_epochs(spark, parts, schema, before=epoch)).write.mode("overwrite").parquet(table)
+    return refresh
+
+
 def new_rows_sink(path: str, key: str, schema: str,
                   build: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """Write what ``build`` makes of a micro-batch, without rows whose key an earlier one wrote."""

@@ -110,3 +110,41 @@ def test_refresh_runs_between_batches_only(spark):
     for epoch in range(5):
         sink(None, epoch)
     assert seen == [2, 4] and written == [0, 1, 2, 3, 4]
+
+
+def test_refresh_merges_partials_and_closes(spark, tmp_path):
+    parts, table = f"{tmp_path}/parts", f"{tmp_path}/stats"
+    schema = "target string, n_scored long, n_hits long, best_score double, best_ligand string"
+    refresh = I.refresh_from(spark, parts, schema, hits.merge_targets, table)
+    sink = I.refresh_every(2, refresh, I.partials_sink(parts, hits.target_partials))
+    rows = [*FACTS, (2, 1, "V", "c", None, 4), (2, 1, "U", "z", -7.0, 4), (3, 0, "W", "a", 0.5, 4)]
+    batches = [rows[:2], rows[2:4], rows[4:6], rows[6:]]
+    frame = lambda some: spark.createDataFrame(some, COLUMNS)
+    stats = lambda df: sorted(map(tuple, df.collect()))
+    for epoch, some in enumerate(batches):
+        sink(frame(some), epoch)
+        sink(frame(some), epoch)  # replayed
+    assert stats(spark.read.parquet(table)) == stats(hits.target_stats(frame(rows[:4])))
+    refresh()
+    assert stats(spark.read.parquet(table)) == stats(hits.target_stats(frame(rows)))
+    assert stats(hits.target_stats(frame(rows))) == [("T", 4, 3, 0.75, -9.0, "a"), ("U", 2, 2, 1.0, -7.0, "a"), ("W", 1, 0, 0.0, None, None)]
+
+
+def test_hits_merge_from_partials(spark):
+    frame = lambda some: spark.createDataFrame(some, COLUMNS)
+    merged = hits.merge_hits(hits.top_hits(frame(FACTS[:3])).unionByName(hits.top_hits(frame(FACTS[3:]))))
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, hits.top_hits(frame(FACTS)).collect()))
+
+
+def test_statistics_read_the_facts_once(spark, tmp_path, monkeypatch):
+    spark.createDataFrame(FACTS, COLUMNS).write.parquet(f"{tmp_path}/facts")
+    facts = spark.read.parquet(f"{tmp_path}/facts")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for operator in (hits.target_stats, hits.docking_summary):
+        found = plan(operator(facts))
+        assert found.count("FileScan") == 1 and "Join" not in found
+    written = []
+    monkeypatch.setattr(ledger, "cut_lineage", lambda df, label: (written.append(plan(df)), spark.createDataFrame(df.collect(), df.schema))[1])
+    rounds = ledger.round_summary(facts)
+    assert len(written) == 1 and written[0].count("FileScan") == 1 and "FileScan" not in plan(rounds)
+    assert sorted(map(tuple, rounds.collect())) == [(1, 8, 2, 2, 2, -8.0, "a", "T"), (2, 8, 2, 1, 2, -9.0, "a", "T")]
