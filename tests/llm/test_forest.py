@@ -53,7 +53,7 @@ def test_groups_equal_all_pairs(spark, texts):
 
 
 def test_large_cloud_of_near_copies(spark):
-    texts = cloud(6, 1850) + cloud(7, 150)
+    texts = cloud(6, 700) + cloud(7, 150)
     rows = [(i, t) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     plain = [type("R", (), {"doc_id": i, "text": t}) for i, t in rows]
