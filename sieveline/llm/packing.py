@@ -1,8 +1,8 @@
 """Best-fit decreasing packing of token pieces into sequences.
 
 Each document becomes its token ids and an end id. A longer one is cut into full pieces, the first of which
-may be shorter. Pieces are dealt at random over shards of a bounded number of pieces, and each shard is packed
-on its own: from the longest to the shortest, each piece goes into the open sequence with the least room
+may be shorter. Pieces are dealt over shards by the hash of a number fixed in their written table, so that shards are alike in
+size whatever the ids are, and each shard is packed on its own: from the longest to the shortest, each piece goes into the open sequence with the least room
 that is enough. A segment tree over remaining capacities finds it in logarithmic time. A shard leaves about one
 sequence unfilled, so many shards cost less than one sequence in a thousand.
 
@@ -119,7 +119,7 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_
 
 def pack(pieces: DataFrame, length: int = LENGTH, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """``pieces`` with sequence_id and offset."""
-    pieces = cut_lineage(pieces, "pieces")
+    pieces = cut_lineage(pieces.withColumn("deal", F.monotonically_increasing_id()), "pieces")
     shards = -(-pieces.count() // shard_pieces) or 1
 
     def run(key, shard):
@@ -127,7 +127,7 @@ def pack(pieces: DataFrame, length: int = LENGTH, shard_pieces: int = SHARD_PIEC
         sequence, offset = best_fit_decreasing(shard["length"].to_numpy(), length)
         return shard.append_column("sequence_id", pa.array(sequence + (key[0].as_py() << 40))).append_column("offset", pa.array(offset))
 
-    dealt = pieces.select(*(x.split()[0] for x in _PIECES.split(", ")), F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).alias("shard"))
+    dealt = pieces.select(*(x.split()[0] for x in _PIECES.split(", ")), F.pmod(F.xxhash64("deal"), F.lit(shards)).alias("shard"))
     return dealt.groupBy("shard").applyInArrow(run, _PLACED)
 
 

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sieveline.llm.byte_bpe import Counter, Encoder, load, pieces
-from sieveline.llm.packing import best_fit_decreasing, pack_documents, sequences, token_pieces
+from sieveline.llm.packing import best_fit_decreasing, pack, pack_documents, sequences, token_pieces
 from sieveline.llm.token_counts import token_counts
 from texts import documents, odd_texts
 
@@ -81,6 +81,13 @@ def test_packed_pieces_hold_every_token(spark):
     assert len({r.sequence_id for r in rows}) <= -(-total // 256) + 1
 
 
+def test_shards_are_even_whatever_the_ids(spark):
+    pieces = spark.range(6000, numPartitions=5).selectExpr(
+        "if(id % 3 = 0, id, null) doc_id", "0 piece", "0L start", "1 + id % 7 length", "0L ids_crc32")
+    sizes = [r["count"] for r in pack(pieces, 64, 1000).selectExpr("sequence_id >> 40 shard").groupBy("shard").count().collect()]
+    assert sum(sizes) == 6000 and len(sizes) == 6 and max(sizes) < 1200
+
+
 def test_sequences_are_the_ids_in_place(spark):
     docs = documents(spark, ["a b c", "d e f g", None, "é" * 50]).where("doc_id is not null").dropDuplicates(["doc_id"])
     whole = token_pieces(docs, length=16, with_ids=True)
