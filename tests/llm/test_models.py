@@ -66,6 +66,51 @@ def test_pair_terms_are_learned():
     assert both > 1 and one < -1 and other < -1 and both > one + other - model.bias
 
 
+def test_pairs_of_terms_that_tell_nothing_alone_are_learned():
+    rng = np.random.default_rng(2)
+    texts, label = [], []
+    for _ in range(4000):
+        a, b = rng.random(2) < 0.5
+        texts.append(" ".join([*["insult"] * int(a), *["group"] * int(b), *(f"w{x}" for x in rng.integers(300, size=12))]))
+        label.append(float(a == b))
+    first, bucket, value = factorization.hashed_terms(pa.array(texts))
+    label = np.array(label, np.float32)
+    half = 2000
+    cut = first[half]
+    model = factorization.fit(first[:half + 1], bucket[:cut], value[:cut], label[:half], rounds=30)
+    right = (model.logits(first[half:] - cut, bucket[cut:], value[cut:]) > 0) == (label[half:] > 0)
+    alone = factorization.telling(first[:half + 1], bucket[:cut], label[:half])
+    two = factorization.hashed_terms(pa.array(["insult group"]))[1]
+    assert not alone[two].any() and factorization.telling_pairs(first[:half + 1], bucket[:cut], label[:half])[two].all()
+    assert right.mean() > 0.95
+
+
+def test_pair_sums_and_pair_counts_equal_the_plain_ones():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"t{x}" for x in rng.integers(40, size=rng.integers(0, 15))) for _ in range(400)]
+    first, bucket, value = factorization.hashed_terms(pa.array(texts))
+    label = (rng.random(400) < 0.4).astype(np.float32)
+    size = 1 << factorization.BITS
+    model = factorization.FactorizationMachine(0.3, rng.normal(size=size), rng.normal(size=(size, 4)))
+    for i, got in enumerate(model.logits(first, bucket, value)):
+        b, x = bucket[first[i]:first[i + 1]], value[first[i]:first[i + 1]]
+        want = 0.3 + sum(model.weight[t] * v for t, v in zip(b, x))
+        want += sum(model.factor[b[p]] @ model.factor[b[q]] * x[p] * x[q] for q in range(len(b)) for p in range(q))
+        assert abs(got - want) < 1e-4 * max(1, abs(want))
+    sets = [set(bucket[first[i]:first[i + 1]].tolist()) for i in range(400)]
+    want = set()
+    spread = label.mean() * (1 - label.mean())
+    for p in sorted(set(bucket.tolist())):
+        for q in sorted(set(bucket.tolist())):
+            cells = [[label[i] for i in range(400) if (p in sets[i], q in sets[i]) == k] for k in ((True, True), (True, False), (False, True), (False, False))]
+            if min(map(len, cells)) >= 5:
+                beyond = np.mean(cells[0]) - np.mean(cells[1]) - np.mean(cells[2]) + np.mean(cells[3])
+                if abs(beyond) > 2.0 * np.sqrt(spread * sum(1 / len(c) for c in cells)):
+                    want |= {p, q}
+    got = factorization.telling_pairs(first, bucket, label, least=2.0, texts=5, block=7)
+    assert set(np.flatnonzero(got).tolist()) == want
+
+
 def test_chunks_cover_every_byte():
     sizes = [0, 1, 511, 512, 513, 896, 897, 5000]
     offsets = np.cumsum([0, *sizes])
