@@ -48,6 +48,24 @@ def test_tanimoto_pairs_come_once(spark):
     assert pairs.count() == pairs.select("a", "b").distinct().count()
 
 
+@pytest.mark.parametrize("rows_per_slice", [3, 20_000])
+def test_nearest_similarity_without_near_neighbours(spark, rows_per_slice):
+    rng = random.Random(5)
+    bits = 320
+    rows = [(i, sorted(rng.sample(range(300), 12))) for i in range(60)] + [(100 + i, [300 + 2 * i, 301 + 2 * i]) for i in range(5)]
+    fps = similarity.distinct_fingerprints(bits_table(spark, rows), bits)
+    want = {i: max(tanimoto(a, b) for j, b in rows if j != i) for i, a in rows}
+    assert sum(v < 0.2 for v in want.values()) > 40
+    got = {r.fp_id: r.nn_similarity for r in similarity.nearest_similarity(fps, bits, rows_per_slice=rows_per_slice).collect()}
+    assert got == pytest.approx(want)
+    ordered = similarity.rare_first(fps, bits)
+    reached = {r.fp_id: r.reached for r in similarity.reached_similarity(ordered, ordered, bits).collect()}
+    assert set(reached) == {i for i, v in want.items() if v > 0}
+    assert all(0 < v <= want[i] + 1e-12 for i, v in reached.items())
+    probes = similarity._probes(ordered.join(spark.createDataFrame(list(reached.items()), "fp_id int, reached double"), "fp_id"), F.col("reached"), "a")
+    assert probes.count() < sum(len(b) for i, b in rows if want[i] > 0)
+
+
 def test_nearest_neighbor(spark):
     rows = random_bits(50, copies=5) + [(900, []), (901, [69])]
     got = {r.ligand: r.nn_similarity for r in similarity.nearest_neighbor(bits_table(spark, rows), 70).collect()}
