@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
 The machine learns pairs of terms as well as terms, so an insult beside a mention of a group weighs more than the
-two apart. It is fitted on a bounded sample of labelled documents; whole texts are scored where they are
+two apart. It is fitted in a task, on a bounded sample of labelled documents; whole texts are scored where they are
 read, with a model of fixed size, without any shuffle.
 
 Null and empty texts get the score of the bias alone. Repeated rows and ties are scored alike. Without any
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .factorization import FactorizationMachine, fit, hashed_terms
+from .factorization import BITS, FactorizationMachine, fit, hashed_terms
 from .frames import ship_package
 from .labelled import held_out, training_texts
 from .text_words import row_groups
@@ -25,6 +25,10 @@ from .text_words import row_groups
 SAMPLE, LONGEST = 8_000, 1 << 16
 THRESHOLD = 0.7
 FOLD = (3, 1)
+#: Length of the vector of each term.
+FACTORS = 4
+
+_MODEL = "bias double, bucket array<long>, weight array<float>, factor array<float>"
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST, fold: tuple[int, int] = FOLD,
@@ -43,10 +47,28 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longe
 
     rows = training_texts(docs, labels, label, held_out(*fold), sample, longest).mapInArrow(
         run, "doc_id long, label int, bucket array<long>, value array<float>")
-    table = rows.toArrow().sort_by("doc_id").combine_chunks()
-    buckets, values = (table[x].combine_chunks() for x in ("bucket", "value"))
-    first = np.concatenate([[0], np.cumsum(buckets.value_lengths().to_numpy())]).astype(np.int64)
-    return fit(first, buckets.flatten().to_numpy(), values.flatten().to_numpy(), table["label"].to_numpy().astype(np.float32), rounds=30)
+    found = rows.repartition(1).mapInArrow(_fit_rows, _MODEL).first()
+    model = FactorizationMachine(found.bias, np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, FACTORS), np.float32))
+    model.weight[found.bucket] = found.weight
+    model.factor[found.bucket] = np.array(found.factor, np.float32).reshape(-1, FACTORS)
+    return model
+
+
+def _fit_rows(batches):
+    """One row, the model of all rows (a bounded sample): its bias and the buckets that it learned."""
+    parts = list(batches)
+    if parts:
+        table = pa.Table.from_batches(parts).sort_by("doc_id").combine_chunks()
+        buckets, values, label = (table[x].combine_chunks() for x in ("bucket", "value", "label"))
+        first = np.concatenate([[0], np.cumsum(buckets.value_lengths().to_numpy())]).astype(np.int64)
+        rows = first, buckets.flatten().to_numpy(), values.flatten().to_numpy(), label.to_numpy().astype(np.float32)
+    else:
+        rows = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.float32)
+    model = fit(*rows, factors=FACTORS, rounds=30)
+    learned = np.flatnonzero((model.weight != 0) | model.factor.any(axis=1))
+    lists = [learned, model.weight[learned], model.factor[learned].ravel()]
+    yield pa.RecordBatch.from_arrays([pa.array([model.bias]), *(pa.ListArray.from_arrays([0, len(x)], pa.array(x)) for x in lists)],
+                                     ["bias", "bucket", "weight", "factor"])
 
 
 def toxicity_score(spark: SparkSession, model: FactorizationMachine, text: Column) -> Column:
