@@ -12,26 +12,38 @@ from .ledger import n
 from .skew import ROWS_PER_SLICE, sliced_join
 
 CELL = ["pose", "cx", "cy", "cz"]
+# Edge of a cell in cutoffs: wider cells repeat ligand atoms less and compare more pairs.
+CELL_CUTOFFS = 1.5
+
+
+def touched_cells(ligand: DataFrame, cutoff: float, size: float) -> DataFrame:
+    """Each ligand atom (pose, lig_element, lx, ly, lz) once for every cell that the ball around it reaches.
+
+    Of the 27 cells around an atom only those are kept whose nearest point is within the cutoff; axis by axis, so that
+    cells out of reach are never formed. With cells of 1.5 cutoffs, 10.4 cells an atom are reached on average.
+    """
+    reach, out = cutoff * cutoff * (1 + 1e-9) + 1e-9, ligand.withColumn("_gap", F.lit(0.0))
+    for a in "xyz":
+        own = F.floor(F.col(f"l{a}") / size)
+        out = out.withColumn(f"c{a}", F.explode(F.sequence(own - 1, own + 1)))
+        low = F.col(f"c{a}") * size
+        gap = F.greatest(F.lit(0.0), low - F.col(f"l{a}"), F.col(f"l{a}") - (low + size))
+        out = out.withColumn("_gap", F.col("_gap") + gap * gap).where(F.col("_gap") <= reach)
+    return out.drop("_gap")
 
 
 def near_atoms(ligand: DataFrame, receptor: DataFrame, cutoff: float,
-               rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+               rows_per_slice: int = ROWS_PER_SLICE, cells: float = CELL_CUTOFFS) -> DataFrame:
     """Ligand/receptor atom pairs of a pose within ``cutoff``, with their ``distance``.
 
-    Space is cut into cells of the cutoff's size and a ligand atom is looked up in its own cell
-    and the 26 around it, so only atoms that may be in reach meet. Atoms that coincide are folded.
+    Space is cut into cells of ``cells`` (1 or more) cutoffs. A receptor atom lies in one cell, which owns its pairs; a ligand atom
+    is looked up in the cells that its ball reaches, so each pair meets once. Atoms that coincide are folded.
     """
-    def cell(a: str) -> Column:
-        return F.floor(F.col(a) / cutoff).cast("int")
-
-    near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    lig = ligand.select("pose", "element", "x", "y", "z").distinct().select(
-        "pose", F.col("element").alias("lig_element"), *[F.col(a).alias(f"l{a}") for a in "xyz"],
-        *[cell(a).alias(f"_c{a}") for a in "xyz"])
-    for a in "xyz":
-        lig = lig.withColumn("_d", F.explode(near)).withColumn(f"c{a}", F.col(f"_c{a}") + F.col("_d")).drop("_d", f"_c{a}")
+    size = cutoff * cells
+    lig = touched_cells(ligand.select("pose", "element", "x", "y", "z").distinct().select(
+        "pose", F.col("element").alias("lig_element"), *[F.col(a).alias(f"l{a}") for a in "xyz"]), cutoff, size)
     rec = receptor.select("pose", "chain", "resnum", "resname", F.col("element").alias("rec_element"), "x", "y", "z")
-    rec = rec.distinct().select("*", *[cell(a).alias(f"c{a}") for a in "xyz"])
+    rec = rec.distinct().select("*", *[F.floor(F.col(a) / size).alias(f"c{a}") for a in "xyz"])
     square = sum(((F.col(f"l{a}") - F.col(a)) * (F.col(f"l{a}") - F.col(a)) for a in "yz"),
                  (F.col("lx") - F.col("x")) * (F.col("lx") - F.col("x")))
     return sliced_join(lig, rec, CELL, F.sqrt(square) <= cutoff, rows_per_slice).withColumn("distance", F.sqrt(square))

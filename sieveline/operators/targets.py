@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import Rule, first_match, rule_score
@@ -13,9 +13,13 @@ from ..functions.text import contains_any, contains_word, joined, matched_terms,
 from ..params import (
     DEFAULTS, DRUGGABLE_CLASSES, ESSENTIAL_PROCESSES, KNOWN_TARGET_KEYWORDS, MEMBRANE_TERMS,
     PRIORITY_CLASSES, ScreenParams)
+from ..session import cut_lineage
 from .ledger import n
 from .ordering import dense_index, rank_in_groups
 
+# Pockets of one target that a single window ranks.
+ROWS_PER_WINDOW = 100_000
+
 
 def words(column: Column) -> Column:
     """A keyword array as one text."""
@@ -184,10 +188,21 @@ def druggable(pockets: DataFrame, p: ScreenParams = DEFAULTS) -> DataFrame:
         & (F.coalesce("volume", F.lit(0.0)) >= p.min_pocket_volume))
 
 
-def filter_pockets(pockets: DataFrame, p: ScreenParams = DEFAULTS) -> DataFrame:
-    """Druggable pockets, ranked by volume: the largest is primary, the others allosteric."""
-    good = druggable(pockets, p)
-    ranked = rank_in_groups(good, ["target"], [F.desc("volume"), F.col("pocket_id")], "pocket_rank")
+def filter_pockets(pockets: DataFrame, p: ScreenParams = DEFAULTS, rows_per_window: int = ROWS_PER_WINDOW) -> DataFrame:
+    """Druggable pockets, ranked by volume: the largest is primary, the others allosteric.
+
+    A target has a handful of pockets, so a window ranks them. Targets of over ``rows_per_window`` are counted first
+    and ranked over ranges instead.
+    """
+    good, order = druggable(pockets, p), [F.desc("volume"), F.col("pocket_id")]
+    hot = cut_lineage(good.groupBy("target").count().where(F.col("count") > rows_per_window).select(F.col("target").alias("_hot")), "hot-targets")
+    in_window = F.row_number().over(Window.partitionBy("target").orderBy(*order))
+    if hot.isEmpty():
+        ranked = good.withColumn("pocket_rank", in_window)
+    else:
+        is_hot = F.col("target").eqNullSafe(F.col("_hot"))
+        ranked = good.join(hot, is_hot, "left_anti").withColumn("pocket_rank", in_window).unionByName(
+            rank_in_groups(good.join(hot, is_hot, "left_semi"), ["target"], order, "pocket_rank"))
     place = F.col("pocket_rank")
     return ranked.withColumn("pocket_rank", place - 1).withColumn(
         "site_type", F.when(place == 0, "PRIMARY").otherwise(F.concat(F.lit("ALLOSTERIC_"), place)),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.scores import score_tier
@@ -9,6 +11,7 @@ from ..operators import hits as H
 from ..operators import ledger as L
 from ..operators.ordering import keep_first
 from ..session import scratch_path
+from ..sources import pair_store as S
 from .registry import query
 
 PAIRS = ["target", "ligand"]
@@ -80,15 +83,30 @@ def ledger_counts(t):
     return L.ledger_counts(L.compact_ledger(t.ledger))
 
 
-@query("pending_work", f"""pairs AS (SELECT DISTINCT target, ligand FROM facts),
+PENDING = f"""pairs AS (SELECT DISTINCT target, ligand FROM facts),
     l AS (SELECT target, ligand, max({EFFORT}) AS exh FROM ledger_rows GROUP BY 1, 2)
     SELECT target, ligand FROM pairs p
     WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.target = p.target AND l.ligand = p.ligand AND l.exh >= 8)
-      AND NOT EXISTS (SELECT 1 FROM facts h WHERE h.score <= -7 AND h.target = p.target AND h.ligand = p.ligand)""")
+      AND NOT EXISTS (SELECT 1 FROM facts h WHERE h.score <= -7 AND h.target = p.target AND h.ligand = p.ligand)"""
+
+
+@query("pending_work", PENDING)
 def pending_work(t):
     return L.pending_work(t.facts.select(*PAIRS).distinct(), L.compact_ledger(t.ledger), H.top_hits(t.facts), 8)
 
 
+@query("pending_work_bucketed", PENDING)
+def pending_work_bucketed(t):
+    """The same work list from bucketed tables: the efforts come in by rounds, and nothing is moved to compare."""
+    pairs, efforts = (f"{x}_{uuid.uuid4().hex}" for x in ("pairs", "efforts"))
+    buckets = max(8, t.spark.sparkContext.defaultParallelism)
+    S.append_pairs(t.facts.select(*PAIRS).distinct(), pairs, buckets, scratch_path(t.spark, "pairs"))
+    where = scratch_path(t.spark, "efforts")
+    for part in (F.col("round") < 4, ~(F.col("round") < 4)):
+        S.append_pairs(S.settled_efforts(t.ledger.where(part)), efforts, buckets, where)
+    return S.pending_pairs(t.spark, pairs, efforts, 8)
+
+
 @query("assign_batches", """SELECT ligand, row_number() OVER (ORDER BY ligand) - 1 AS idx,
     CAST((row_number() OVER (ORDER BY ligand) - 1) // 75 AS INT) AS batch_id FROM compounds""")
 def assign_batches(t):

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.operators import annotation, contacts, hits, homology, ledger, ordering, similarity, skew
+from sieveline.operators import annotation, contacts, hits, homology, ledger, ordering, similarity, skew, targets
+from sieveline.sources import pair_store
 
 
 def bits_table(spark, rows):
@@ -256,3 +257,57 @@ def test_best_rows_are_hash_aggregated(spark):
         assert "Expand" not in text.getvalue()
         tied = text.getvalue().count("SortAggregate")
         assert tied <= 2, text.getvalue()  # only the rows tied for the lowest score are ordered
+
+
+def test_balls_reach_few_cells(spark):
+    rng = random.Random(8)
+    atoms = [("p", "C", *(rng.uniform(-20, 20) for _ in range(3))) for _ in range(2000)] + [("p", "C", 0.0, 0.0, 0.0), ("p", "C", 6.0, -6.0, 3.0)]
+    df = spark.createDataFrame(atoms, "pose string, lig_element string, lx double, ly double, lz double")
+    rows = contacts.touched_cells(df, 4.0, 6.0).groupBy("lx", "ly", "lz").agg(F.collect_list(F.struct("cx", "cy", "cz")).alias("cells")).collect()
+    assert len(rows) == len(atoms) and 10 < sum(len(r.cells) for r in rows) / len(rows) < 11 < 27
+    for r in rows[:200]:
+        at, cells = (r.lx, r.ly, r.lz), {tuple(c) for c in r.cells}
+        assert len(cells) == len(r.cells)
+        for _ in range(50):  # wherever a partner may be, its cell is among them
+            step = [rng.gauss(0, 1) for _ in range(3)]
+            long = 4.0 * rng.random() ** (1 / 3) / sum(x * x for x in step) ** 0.5
+            assert tuple(int((a + x * long) // 6.0) for a, x in zip(at, step)) in cells
+
+
+@pytest.mark.parametrize("rows_per_window", [3, 100_000])
+def test_pockets_of_hot_targets(spark, rows_per_window):
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot", "hot", "hot", None, "a", "b"]), i, 0.9, float(rng.randint(400, 430))) for i in range(80)]
+    df = spark.createDataFrame(rows, "target string, pocket_id int, score double, volume double")
+    good = targets.filter_pockets(df, rows_per_window=rows_per_window)
+    want = {}
+    for t, i, _, v in sorted(rows, key=lambda r: (-r[3], r[1])):
+        want[t, i] = sum(k[0] == t for k in want)
+    assert {(r.target, r.pocket_id): r.pocket_rank for r in good.collect()} == want
+    if rows_per_window > 80:
+        assert "rangepartitioning" not in good._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bucketed_pairs_are_compared_in_place(spark, tmp_path):
+    rng = random.Random(10)
+    pairs = [(t, i) for t in range(6) for i in range(40)] + [(None, 1)]
+    facts = [(*rng.choice(pairs[:-1]), rng.choice([-8.0, -6.0, -4.0, None]), rng.choice([None, 4, 8, 16])) for _ in range(300)]
+    make = lambda rows: spark.createDataFrame(rows, "target int, ligand int, score double, exh int")
+    pair_store.append_pairs(spark.createDataFrame(pairs, "target int, ligand int"), "to_dock", 5, str(tmp_path / "pairs"))
+    for part in (facts[:100], facts[100:]):
+        pair_store.append_pairs(pair_store.settled_efforts(make(part)), "efforts", 5, str(tmp_path / "efforts"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large for it
+    try:
+        left = pair_store.pending_pairs(spark, "to_dock", "efforts", 8)
+        got = {tuple(r) for r in left.collect()}
+        plan = left._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        for table in ("to_dock", "efforts"):
+            spark.sql(f"DROP TABLE {table}")
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    kept = ledger.compact_ledger(make(facts))
+    best = hits.top_hits(make(facts).selectExpr("*", "1 as round", "1 as batch_id"), exclude=())
+    assert got == {tuple(r) for r in ledger.pending_work(spark.createDataFrame(pairs, "target int, ligand int"), kept, best, 8).collect()}
+    assert (None, 1) in got and 20 < len(got) < len(pairs)
