@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveline.operators import annotation, contacts, hits, homology, ledger, ordering, similarity, skew, targets
+from sieveline.plans import QUERIES
 from sieveline.sources import pair_store
 
 
@@ -193,6 +194,16 @@ def test_plan_pairs_and_counts(spark):
     assert left[("T0", 0)] == 2 and left[("T3", 2)] == 1 and left[("T6", 1)] == 4
 
 
+def test_plan_totals_without_pairs(spark):
+    targets = spark.createDataFrame([(i,) for i in range(7)], "target long")
+    batches = spark.createDataFrame([(i, i // 4) for i in range(10)], "ligand long, batch_id int")
+    totals = {(r.target, r.batch_id): (r.n_pairs, r.ligand_sum) for r in ledger.plan_totals(targets, batches).collect()}
+    assert totals == {(t, b): [(4, 6), (4, 22), (2, 17)][b] for t in range(7) for b in range(3)}
+    assert ledger.plan_totals(targets, batches.where("ligand < 0")).count() == 0
+    plan = QUERIES["plan_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "ligand#" not in plan  # no ligand is left where targets are repeated
+
+
 def test_pending_work_rules(spark):
     pairs = spark.createDataFrame([("T", c) for c in "abcd"], "target string, ligand string")
     book = spark.createDataFrame([("T", "a", 8), ("T", "b", 4), ("T", "d", 9999)], "target string, ligand string, exh int")
