@@ -297,7 +297,7 @@ def final_score(df: DataFrame, p: ScreenParams = DEFAULTS) -> DataFrame:
     pockets = F.coalesce(F.col("druggable_pockets"), F.lit(0))
     sites = F.coalesce(F.col("allosteric_sites"), F.lit(0))
     ident, plddt = F.col("max_identity"), F.col("mean_plddt")
-    whole = F.format_string("%.0f%%", ident * 100)
+    whole = F.concat(percent_text(ident, 0), F.lit("%"))
     score, reasons = rule_score([
         Rule(pockets >= 3, 4, F.concat(pockets, F.lit(" druggable pockets (+4)"))),
         Rule(pockets == 2, 3, "2 druggable pockets (+3)"),

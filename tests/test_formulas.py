@@ -238,3 +238,20 @@ def test_empty_tables(spark):
     upgrade = ledger.near_miss_upgrade(facts, hits.top_hits(facts)).first()
     assert (upgrade.prev_near_misses, upgrade.upgraded, upgrade.upgrade_rate) == (0, 0, 0.0)
     assert hits.score_distribution(facts).count() == 0
+
+
+def test_fixed_text_rounds_the_exact_value(spark):
+    """Every percentage of two decimals, and a few ties, as C and SQL print them."""
+    values = [i / 10000 * 100 for i in range(10000)] + [0.5, 1.5, 12.5, 0.25, 0.35, 2.675, -0.25, -0.35, 1e20]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    shown = rows.select("v", *[text.fixed_text(F.col("v"), d).alias(f"d{d}") for d in (0, 1, 2)]).collect()
+    assert [tuple(r) for r in shown] == [(v, f"{v:.0f}", f"{v:.1f}", f"{v:.2f}") for v in values]
+
+
+def test_final_score_and_rank_print_identity_exactly(spark):
+    rows = spark.createDataFrame([(1, 0.225), (2, 0.1235), (3, 0.825), (4, 0.3)], "accession long, max_identity double").selectExpr(
+        "*", "0 druggable_pockets", "0 allosteric_sites", "false rnai_evidence", "0 rnai_count", "50.0D mean_plddt", "0 novelty_score", "array('base') novelty_reasons")
+    scored = targets.final_score(rows)
+    reasons = {r.accession: r.score_reasons[1] for r in scored.collect()}
+    assert reasons[1] == "Low host homology 22% (+2)" and reasons[3] == "HIGH host homology 82% (-5)"
+    assert {r.accession: r.host_identity_pct for r in targets.rank_targets(scored).collect()} == {1: "22.5", 2: "12.3", 3: "82.5", 4: "30.0"}
