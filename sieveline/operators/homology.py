@@ -111,8 +111,12 @@ def ortholog_totals(summary: DataFrame) -> DataFrame:
 
 
 def gpi_signal(sequence: Column, min_hydrophobic: int = 8) -> Column:
-    """Anchor signal at the end of a sequence: a hydrophobic tail behind a small residue."""
-    tail = F.upper(F.right(sequence, F.lit(30)))
+    """Anchor signal at the end of a sequence: a hydrophobic tail behind a small residue.
+
+    Letters are raised one by one: ``upper`` makes some, such as the sharp s, longer, and would move the window. The two
+    others that become residue letters are the dotless i and the long s.
+    """
+    tail = F.translate(F.right(sequence, F.lit(30)), "abcdefghijklmnopqrstuvwxyz\u0131\u017f", "ABCDEFGHIJKLMNOPQRSTUVWXYZIS")
     hydrophobic = F.regexp_count(F.right(tail, F.lit(15)), F.lit(f"[{HYDROPHOBIC_RESIDUES}]"))
     site = F.substring(tail, 14, 7).rlike(f"[{SMALL_RESIDUES}]")
     return (F.length(sequence) >= 30) & (hydrophobic >= min_hydrophobic) & site

@@ -255,3 +255,11 @@ def test_final_score_and_rank_print_identity_exactly(spark):
     reasons = {r.accession: r.score_reasons[1] for r in scored.collect()}
     assert reasons[1] == "Low host homology 22% (+2)" and reasons[3] == "HIGH host homology 82% (-5)"
     assert {r.accession: r.host_identity_pct for r in targets.rank_targets(scored).collect()} == {1: "22.5", 2: "12.3", 3: "82.5", 4: "30.0"}
+
+
+def test_gpi_signal_keeps_the_length_of_the_tail(spark):
+    """One character stays one character in upper case; before, a sharp s became two and moved the window."""
+    tail = "q" * 13 + "qqqqqqg" + "ACFILMVWYA"
+    assert one(spark, homology.gpi_signal(F.lit("q" + tail)))
+    assert one(spark, homology.gpi_signal(F.lit("q" + tail.replace("ACFILMVWYA", "acfilmvw\u00df\u00df"))))
+    assert not one(spark, homology.gpi_signal(F.lit("q" * 11 + "g\u00df" + "q" * 7 + "ACFILMVWYA")))
