@@ -34,11 +34,12 @@ def distinct_by_id(items: Column) -> Column:
 def fill_annotation(targets: DataFrame, found: DataFrame, domains: DataFrame) -> DataFrame:
     """Fill blank text fields from ``found`` and always set domains, terms and function class.
 
-    ``domains`` has (accession, domains, go_terms), arrays of (id, name).
+    ``domains`` has (accession, domains, go_terms), arrays of (id, name). Both joins sort and merge: arrays built from
+    short columns are far larger than the size Spark takes them for, and would be broadcast.
     """
     fields = ["name", "gene", "function", "subcellular"]
     new = found.select("accession", *[F.col(f).alias(f"_{f}") for f in fields])
-    out = targets.join(new, "accession", "left").join(domains, "accession", "left")
+    out = targets.join(new.hint("merge"), "accession", "left").join(domains.hint("merge"), "accession", "left")
     empty = F.array().cast("array<struct<id:string,name:string>>")
     filled = [F.coalesce(blank_to_null(F.col(f)), blank_to_null(F.col(f"_{f}")), F.lit("")).alias(f) for f in fields]
     changed = [

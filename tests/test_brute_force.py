@@ -204,6 +204,12 @@ def test_plan_totals_without_pairs(spark):
     assert "ligand#" not in plan  # no ligand is left where targets are repeated
 
 
+def test_annotation_tables_are_not_broadcast(spark):
+    for name in ("fill_annotation", "annotation_report"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
+
+
 def test_pending_work_rules(spark):
     pairs = spark.createDataFrame([("T", c) for c in "abcd"], "target string, ligand string")
     book = spark.createDataFrame([("T", "a", 8), ("T", "b", 4), ("T", "d", 9999)], "target string, ligand string, exh int")
