@@ -32,16 +32,3 @@ def overlap(a: Column, b: Column, n_bits: int) -> Column:
         (F.bit_count(a[w].bitwiseAND(b[w])) for w in range(1, word_count(n_bits))),
         F.bit_count(a[0].bitwiseAND(b[0])),
     )
-
-
-def none_common_below(a: Column, b: Column, position: Column, n_bits: int) -> Column:
-    """Whether no bit before ``position`` is set in both."""
-    def masked(w: int) -> Column:
-        inside = F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("bigint"), (position - w * WORD).cast("int")))
-        mask = F.when(position >= (w + 1) * WORD, F.lit(-1).cast("bigint")).when(position > w * WORD, inside).otherwise(F.lit(0).cast("bigint"))
-        return a[w].bitwiseAND(b[w]).bitwiseAND(mask) == 0
-
-    out = masked(0)
-    for w in range(1, word_count(n_bits)):
-        out = out & masked(w)
-    return out

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.operators import annotation, contacts, hits, homology, ledger, ordering, similarity, skew, targets
+from sieveline.operators import annotation, bit_grid, contacts, hits, homology, ledger, ordering, similarity, skew, targets
 from sieveline.plans import QUERIES
 from sieveline.sources import pair_store
 
@@ -97,6 +98,37 @@ def test_clusters_equal_the_sequential_rule(spark, seed, cutoff):
     assert got == sequential_clusters(rows, cutoff)
 
 
+@pytest.mark.parametrize("rows_per_block", [3, 8192])
+@pytest.mark.parametrize("n_bits,cutoff", [(24, 0.3), (150, 0.05)])
+def test_clusters_by_blocks(spark, n_bits, cutoff, rows_per_block):
+    """Rounds of any block size give the sequential rule's clusters, and counts without a list of pairs."""
+    rows = random_bits(40, n_bits=n_bits, seed=4, copies=3) + [(500, [])]
+    table = bits_table(spark, rows)
+    fps = similarity.distinct_fingerprints(table, n_bits).cache()
+    near = {i: sum(1 for j, b in rows if set(a) != set(b) and (a or b) and tanimoto(a, b) >= cutoff) for i, a in rows}
+    counts = {r.fp_id: r.n for r in bit_grid.neighbour_counts(fps, cutoff, n_bits, rows_per_block).collect()}
+    assert counts == {i: near[i] for i in counts} and len(counts) == len(folded(rows))
+    clusters = {r.fp_id: r.cluster for r in similarity.greedy_by_blocks(fps, cutoff, n_bits, rows_per_block).collect()}
+    listed = {r.fp_id: r.cluster for r in similarity.greedy_clusters(fps, similarity.tanimoto_pairs(fps, cutoff, n_bits)).collect()}
+    assert clusters == listed
+
+
+def test_least_shared_is_exact():
+    sizes = np.arange(0, 130)
+    for t in (0.0, 0.1, 0.3, 0.5, 0.8, 1.0):
+        for size in range(0, 130, 7):
+            got = bit_grid.least_shared(size, sizes, t)
+            for other, least in zip(sizes.tolist(), got.tolist()):
+                fits = [n for n in range(1, min(size, other) + 1) if n / (size + other - n) >= t]
+                assert least == fits[0] if fits else least > min(size, other)
+
+
+def test_similarity_lists_no_pair_per_bit(spark):
+    for name in ("tanimoto_join", "nearest_neighbor"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "bit#" not in plan
+
+
 def test_sliced_join_with_hot_keys(spark):
     left = spark.range(400).select((F.col("id") % 3).alias("k"), F.col("id").alias("a"))
     right = spark.range(300).select(F.when(F.col("id") < 200, 0).otherwise(F.col("id") % 5).cast("long").alias("k"), F.col("id").alias("b"))
