@@ -43,14 +43,17 @@ def pose_scores(files: DataFrame) -> DataFrame:
     Pose numbers follow the lines of a file, so a file is one row here. Folders named
     ``target_pocketN_results`` keep their pocket number instead of posing as targets.
     """
-    folder = F.regexp_extract("path", r"([^/]+)_results/[^/]+$", 1)
     energies = F.regexp_extract_all("value", F.lit(r"REMARK VINA RESULT:?\s+" + FLOAT), F.lit(1))
-    return files.select(
-        F.regexp_replace(folder, r"_pocket\d+$", "").alias("target"),
-        F.coalesce(F.regexp_extract(folder, r"_pocket(\d+)$", 1).try_cast("int"), F.lit(0)).alias("pocket_idx"),
-        normalise_ligand(file_name(F.col("path"))).alias("ligand"),
-        F.posexplode(energies).alias("_i", "_e"),
-    ).select("target", "pocket_idx", "ligand", (F.col("_i") + 1).alias("pose"), F.col("_e").cast("double").alias("energy"))
+    parts = F.split("path", "/")
+    folder = F.when((F.size(parts) > 1) & (file_name(F.col("path")) != ""), F.element_at(parts, -2))
+    # names and energies are cut out once a file, before its poses become rows
+    read = files.select(folder.alias("_folder"), normalise_ligand(file_name(F.col("path"))).alias("ligand"), energies.alias("_e")).withColumn(
+        "_name", F.when(F.endswith("_folder", F.lit("_results")), F.expr("left(_folder, length(_folder) - 8)")).otherwise(""))
+    keyed = read.select(
+        F.regexp_replace("_name", r"_pocket\d+$", "").alias("target"),
+        F.coalesce(F.regexp_extract("_name", r"_pocket(\d+)$", 1).try_cast("int"), F.lit(0)).alias("pocket_idx"), "ligand", "_e")
+    return keyed.select("target", "pocket_idx", "ligand", F.posexplode("_e").alias("_i", "_e")).select(
+        "target", "pocket_idx", "ligand", (F.col("_i") + 1).alias("pose"), F.col("_e").cast("double").alias("energy"))
 
 
 def read_pose_scores(spark: SparkSession, path: str, pattern: str = "*.pdbqt") -> DataFrame:

@@ -143,3 +143,16 @@ def test_prediction_columns_follow_each_files_header(spark, tmp_path):
     rows = {r.target: r for r in SS.read_pocket_predictions(spark, str(tmp_path)).collect()}
     assert (rows["A"].score, rows["A"].probability, rows["A"].volume) == (10.0, 0.9, 60.0)
     assert (rows["B"].score, rows["B"].probability, rows["B"].volume, rows["B"].center_x, rows["B"].center_z) == (20.0, 0.8, 80.0, 1.0, 3.0)
+
+
+def test_pose_names_are_read_once_a_file(spark):
+    """No pattern is matched above the step that turns a file into its poses."""
+    files = spark.createDataFrame([
+        ("/x/T1_pocket3_results/L1_out.pdbqt", "REMARK VINA RESULT:  -7.5 0 0\nREMARK VINA RESULT:  -6 0 0\n"),
+        ("/x/T_results_results/L2.pdbqt", "REMARK VINA RESULT: 1.25\n"), ("_results/L3.pdbqt", "REMARK VINA RESULT: 1"),
+        ("/x/other/L4.pdbqt", "REMARK VINA RESULT: 2"), ("L5.pdbqt", "REMARK VINA RESULT: 3"), ("/x/T6_results/L6_out.pdbqt", "none")], "path string, value string")
+    poses = SS.pose_scores(files)
+    assert sorted(tuple(r) for r in poses.collect()) == [
+        ("", 0, "L3", 1, 1.0), ("", 0, "L4", 1, 2.0), ("", 0, "L5", 1, 3.0), ("T1", 3, "L1", 1, -7.5), ("T1", 3, "L1", 2, -6.0), ("T_results", 0, "L2", 1, 1.25)]
+    above = poses._jdf.queryExecution().optimizedPlan().toString().split("Generate posexplode")[0]
+    assert "regexp" not in above
