@@ -193,23 +193,36 @@ def read_ledger(t):
 FACTS_PER_DROP = 2000
 
 
-def write_drops(t, path, facts=None):
-    """Batch drops of the facts: one file of indented JSON for each (round, batch, chunk), with arrays per
-    section. The round is in the file's path only. The number of chunks follows the table, so that a drop stays small."""
-    facts = t.facts if facts is None else facts
-    total, batches = t.facts.agg(F.count("*")).scalar(), t.facts.agg(F.count_distinct("round", "batch_id")).scalar()
-    chunks = F.greatest(F.lit(1), F.ceil(total / batches / FACTS_PER_DROP))
+def drop_chunks(t):
+    """Drops of each batch, such that they have about FACTS_PER_DROP facts on average."""
+    batches = t.facts.groupBy("round", "batch_id").count().agg(F.sum("count").alias("facts"), F.count("*").alias("n")).first()
+    return max(1, -(-(batches["facts"] or 0) // (max(1, batches["n"]) * FACTS_PER_DROP)))
+
+
+def drop_rows(facts, chunks):
+    """(round, batch_id, exh, kept, near_miss, pruned) of each drop of ``facts``, with ``chunks`` drops a batch."""
     text = facts.select(
         "round", "batch_id", F.when(F.col("batch_id") % 2 == 0, 6).alias("file_exh"),
-        F.pmod(F.xxhash64(*facts.columns), chunks).alias("chunk"),
+        F.pmod(F.xxhash64(*facts.columns), F.lit(chunks)).alias("chunk"),
         F.when(F.col("score") <= -7, "kept").when(F.col("score") <= -5.5, "near_miss").otherwise("pruned").alias("zone"),
         F.struct(F.col("target").cast("string").alias("target"), F.col("ligand").cast("string").alias("ligand"), "score",
                  F.when(F.col("line") != 1, F.col("exh")).alias("exh")).alias("fact"))
-    drops = text.groupBy("round", "batch_id", "chunk").agg(
+    return text.groupBy("round", "batch_id", "chunk").agg(
         F.max("file_exh").alias("exh"), *[F.collect_list(F.when(F.col("zone") == z, F.col("fact"))).alias(z) for z in SL.SECTIONS])
+
+
+def write_drops(t, path):
+    """Batch drops of the facts: one file of indented JSON for each (round, batch, chunk), with arrays per
+    section. The round is in the file's path only. The number of chunks follows the table, so that a drop stays small."""
     body = F.to_json(F.struct("batch_id", "exh", *SL.SECTIONS), {"pretty": "true"})
     name = F.format_string("batch_R%d_B%d_compressed.json", "round", "batch_id")
-    drops.select(name.alias("drop"), body.alias("value")).write.option("maxRecordsPerFile", 1).partitionBy("drop").text(path)
+    drop_rows(t.facts, drop_chunks(t)).select(name.alias("drop"), body.alias("value")).write.option(
+        "maxRecordsPerFile", 1).partitionBy("drop").text(path)
+
+
+def write_drop_lines(facts, chunks, path):
+    """The same drops, one a line with its round, in as few files as their size asks for."""
+    drop_rows(facts, chunks).select(F.to_json(F.struct("round", "batch_id", "exh", *SL.SECTIONS)).alias("value")).write.text(path)
 
 
 DROPS = """SELECT round, batch_id, CAST(target AS VARCHAR) AS target, CAST(ligand AS VARCHAR) AS ligand, score,

@@ -5,6 +5,9 @@ import json
 from pyspark.sql import functions as F
 
 from sieveline.operators import hits, ledger
+from sieveline.plans import QUERIES
+from sieveline.plans.bindings import Tables
+from sieveline.plans.sources import drop_chunks
 from sieveline.sources.ledger import SECTIONS, count_drops, read_batch_drops
 from sieveline.streaming import incremental as I
 
@@ -148,3 +151,28 @@ def test_statistics_read_the_facts_once(spark, tmp_path, monkeypatch):
     rounds = ledger.round_summary(facts)
     assert len(written) == 1 and written[0].count("FileScan") == 1 and "FileScan" not in plan(rounds)
     assert sorted(map(tuple, rounds.collect())) == [(1, 8, 2, 2, 2, -8.0, "a", "T"), (2, 8, 2, 1, 2, -9.0, "a", "T")]
+
+
+def test_landed_files_follow_the_size_not_the_number_of_drops(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("sieveline.plans.sources.FACTS_PER_DROP", 10)
+    monkeypatch.setattr("sieveline.plans.streams.scratch_path", lambda spark, label: f"{tmp_path}/{label}")
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    drops = tables.facts.groupBy("round", "batch_id").count().count() * drop_chunks(tables)
+    assert drops > 300
+    got = {tuple(r) for r in QUERIES["stream_refresh"](spark, tables.path).select("target", "n_scored", "n_hits").collect()}
+    landed = list((tmp_path / "landing").rglob("part-*"))
+    assert 0 < len(landed) < drops / 10
+    read = read_batch_drops(spark, f"{tmp_path}/landing", multi_line=False)
+    columns = ["round", "batch_id", "target", "ligand", "score"]
+    facts = tables.facts.withColumns({c: F.col(c).cast("string") for c in ("target", "ligand")}).select(columns)
+    assert read.select(columns).exceptAll(facts).count() == facts.exceptAll(read.select(columns)).count() == 0
+    want = facts.where("score is not null").groupBy("target").agg(F.count("*"), F.count_if(F.col("score") <= -7))
+    assert got == {tuple(r) for r in want.collect()}
+
+
+def test_latest_takes_whole_numbers_and_structs_of_the_last_epoch(spark):
+    rows = spark.createDataFrame([("a", 0, 5, (1, 2)), ("a", 1, 3, (0, 9)), ("b", 0, 7, (4, 4)), ("a", 2, None, (0, 8))],
+                                 "key string, epoch int, exh int, first_seen struct<round: int, batch_id: int>")
+    assert sorted((r.key, r.exh, tuple(r.first_seen)) for r in I.latest(rows, ["key"]).collect()) == [("a", None, (0, 8)), ("b", 7, (4, 4))]
+    plan = I.latest(rows.drop("first_seen"), ["key"])._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
