@@ -316,7 +316,7 @@ def write_table(t):
 def write_per_target(t):
     path = scratch_path(t.spark, "per-target")
     sinks.write_per_target(H.top_hits(t.facts).select("target", "ligand", "score"), path)
-    return t.spark.read.schema("ligand bigint, score double, target bigint").json(path)
+    return sinks.read_per_target(t.spark, path, "ligand bigint, score double, target bigint")
 
 
 @query("write_facts", "SELECT round, batch_id, count(*) AS n_facts, min(score) AS best_score FROM facts GROUP BY 1, 2")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,18 @@ def write_per_target(hits: DataFrame, path: str) -> None:
     _spread(hits, "target").write.mode("overwrite").partitionBy("target").json(path)
 
 
+def read_per_target(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What :func:`write_per_target` wrote. Folders are listed by a few tasks for each core; by default Spark starts a
+    task for every folder, which costs more than to list it."""
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(4 * spark.sparkContext.defaultParallelism))
+    try:
+        return spark.read.schema(schema).json(path)
+    finally:
+        spark.conf.set(setting, before)
+
+
 def write_facts(facts: DataFrame, path: str) -> None:
     """The fact table in its query layout: a folder per round and batch, for pruning. Rewrites
     only the batches that are present."""

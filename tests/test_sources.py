@@ -2,10 +2,12 @@
 
 import json
 
+from pyspark.sql import functions as F
 
 from sieveline.operators import reports, targets
 from sieveline.sources import ledger as SL
 from sieveline.sources import proteins as SP
+from sieveline.sources import sinks
 from sieveline.sources import structures as SS
 
 
@@ -156,3 +158,18 @@ def test_pose_names_are_read_once_a_file(spark):
         ("", 0, "L3", 1, 1.0), ("", 0, "L4", 1, 2.0), ("", 0, "L5", 1, 3.0), ("T1", 3, "L1", 1, -7.5), ("T1", 3, "L1", 2, -6.0), ("T_results", 0, "L2", 1, 1.25)]
     above = poses._jdf.queryExecution().optimizedPlan().toString().split("Generate posexplode")[0]
     assert "regexp" not in above
+
+
+def test_folders_of_targets_are_listed_by_a_few_tasks(spark, tmp_path):
+    hits = spark.range(300).select((F.col("id") % 150).alias("target"), F.col("id").alias("ligand"), (-F.col("id") / 8).alias("score"))
+    sinks.write_per_target(hits, f"{tmp_path}/hits")
+    context, setting = spark.sparkContext, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(setting)
+    context.setJobGroup("list folders", "")
+    back = sinks.read_per_target(spark, f"{tmp_path}/hits", "ligand bigint, score double, target bigint")
+    context.setJobGroup("", "")
+    tracker = context.statusTracker()
+    stages = [i for job in tracker.getJobIdsForGroup("list folders") for i in tracker.getJobInfo(job).stageIds]
+    assert 0 < sum(tracker.getStageInfo(i).numTasks for i in stages) <= 4 * context.defaultParallelism < 150
+    assert spark.conf.get(setting) == before
+    assert {tuple(r) for r in back.select("target", "ligand", "score").collect()} == {tuple(r) for r in hits.collect()}
