@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.session import cut_lineage
@@ -40,6 +40,8 @@ SHINGLE = 5
 PERCENT = 80
 
 _SETS = "doc_id long, n_shingles long, set_a long, set_b long, " + ", ".join(f"{x} long" for x in ODD)
+#: Bits of a signature that are kept: an equal one of unlike sets costs a comparison, never a link, so the rest need not travel.
+SIGN = np.uint64((1 << 48) - 1)
 _SIGNS = "route long, doc_id long, sign long, met boolean"
 
 
@@ -66,6 +68,7 @@ def _signed(docs: DataFrame, shingle: int) -> DataFrame:
             ids = ids.to_numpy(zero_copy_only=False).astype(np.int64)
             keys, first = sets_of(texts, shingle)
             sign, owner = signatures(keys, first)
+            sign = sign & SIGN
             order = np.lexsort((ids[owner], sign))
             sign, doc = sign[order], ids[owner[order]]
             lead = np.ones(len(sign), dtype=bool)
@@ -74,7 +77,7 @@ def _signed(docs: DataFrame, shingle: int) -> DataFrame:
             keep = lead | (doc != doc[lead][number])
             met = np.bincount(number[keep & ~lead], minlength=lead.sum())[number] > 0
             sign, doc, lead, met = (x[keep] for x in (sign, doc, lead, met))
-            route = np.where(lead, sign, mix(sign + mix(doc.astype(np.uint64)))).view(np.int64)
+            route = np.where(lead, sign, mix(sign + mix(doc.astype(np.uint64))) & SIGN).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(route), pa.array(doc), pa.array(sign.view(np.int64), mask=lead), pa.array(met)], ["route", "doc_id", "sign", "met"])
 
@@ -100,13 +103,12 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int
     single = without_ids(docs.where("doc_id is not null"), spared, spared.count())
     shared = cut_lineage(_shared(_signed(single, shingle)), "shared")
 
-    often = shared.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    hubs = cut_lineage(shared.join(often, "doc_id").groupBy("sign").agg(
-        F.max_by("doc_id", F.struct("n", -F.col("doc_id"))).alias("hub")), "hubs")
-    ties = (shared.join(hubs, "sign").where("doc_id <> hub").groupBy("doc_id", "hub").count()
-            .groupBy("doc_id").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub")))
+    often = cut_lineage(shared.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "often")
+    first = Window.partitionBy("sign").orderBy(F.desc("n"), "doc_id")
+    ties = (shared.join(often, "doc_id").select("doc_id", F.first("doc_id").over(first).alias("hub")).where("doc_id <> hub")
+            .groupBy("doc_id", "hub").count().groupBy("doc_id").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub")))
 
-    labels = cut_lineage(shared.select("doc_id").distinct().select("doc_id", F.col("doc_id").alias("label")), "labels")
+    labels = cut_lineage(often.select("doc_id", F.col("doc_id").alias("label")), "labels")
     groups = Groups(docs, sketch_table(real, labels), labels, shingle, percent)
     groups.compare(ties.toDF("a", "b"))
     rows = shared.select(F.col("sign").alias("key"), "doc_id", F.lit(0).alias("depth"))

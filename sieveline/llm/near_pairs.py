@@ -113,17 +113,18 @@ def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return cut_lineage(only_ids(docs, ids, ids.count()).mapInArrow(run, "doc_id long, packed binary"), "texts")
 
 
-def _with_text(pairs: DataFrame, rows: int, texts: DataFrame, side: str) -> DataFrame:
-    """``pairs`` with the text of one side; documents of more than ``SLICE_ROWS`` pairs are joined in slices."""
-    texts = texts.toDF(side, f"packed_{side}")
+def _with_text(joined: DataFrame, pairs: DataFrame, rows: int, texts: DataFrame, side: str) -> DataFrame:
+    """``joined``, made of ``pairs``, with the text of one side; documents of more than ``SLICE_ROWS`` pairs are joined in slices."""
+    # a text moves only if a pair has it
+    texts = only_ids(texts, pairs.select(side).distinct(), rows).toDF(side, f"packed_{side}")
     if rows <= SLICE_ROWS:
-        return pairs.join(texts, side)
+        return joined.join(texts, side)
     hot = cut_lineage(pairs.groupBy(side).count().where(F.col("count") > SLICE_ROWS)
                       .select(side, F.ceil(F.col("count") / SLICE_ROWS).cast("int").alias("slices")), "hot")
     if hot.isEmpty():
-        return pairs.join(texts, side)
+        return joined.join(texts, side)
     one = F.coalesce("slices", F.lit(1))
-    dealt = pairs.join(hot, side, "left").withColumn("slice", F.pmod(F.xxhash64("a", "b"), one).cast("int")).drop("slices")
+    dealt = joined.join(hot, side, "left").withColumn("slice", F.pmod(F.xxhash64("a", "b"), one).cast("int")).drop("slices")
     spread = texts.join(hot, side, "left").withColumn("slice", F.explode(F.sequence(F.lit(0), one - 1))).drop("slices")
     return dealt.join(spread, [side, "slice"]).drop("slice")
 
@@ -143,7 +144,8 @@ def similar_pairs(pairs: DataFrame, rows: int, texts: DataFrame, shingle: int, p
                     good[at + i] = 100 * (size - union) >= percent * union
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
 
-    joined = _with_text(_with_text(pairs.select("a", "b"), rows, texts, "a"), rows, texts, "b").select("a", "b", "packed_a", "packed_b")
+    pairs = pairs.select("a", "b")
+    joined = _with_text(_with_text(pairs, pairs, rows, texts, "a"), pairs, rows, texts, "b").select("a", "b", "packed_a", "packed_b")
     return cut_lineage(joined.mapInArrow(run, "a long, b long").distinct(), "links")
 
 

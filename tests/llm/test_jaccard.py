@@ -3,7 +3,9 @@ import random
 import pytest
 
 from sieveline.llm.components import smallest_reachable
-from sieveline.llm.jaccard_join import keep_one_of_each_group, near_duplicate_groups
+from sieveline.llm.frames import ship_package
+from sieveline.llm.jaccard_join import _signed, keep_one_of_each_group, near_duplicate_groups
+from sieveline.llm.near_pairs import _with_text, packed_texts
 from texts import changed, documents, odd_texts, prose, words
 
 
@@ -80,3 +82,17 @@ def test_components_of_chains_and_stars(spark):
     links = [(i + 1, i) for i in range(100, 140)] + [(7, i) for i in range(200, 230)] + [(9, 9), (None, 3)]
     got = {r.node: r.label for r in smallest_reachable(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 141)} | {i: 7 for i in (7, *range(200, 230))}
+
+
+def test_little_is_moved(spark):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, prose(rng, 60)) for i in range(40)], "doc_id long, text string")
+    ship_package(spark)
+    sign, route = _signed(docs, 5).selectExpr("max(greatest(sign, route))", "min(least(sign, route))").first()
+    assert 0 <= route < sign < 2**48
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    texts = packed_texts(docs, docs.select("doc_id"))
+    with_a = _with_text(pairs, pairs, 2, texts, "a")
+    assert "LeftSemi" in with_a._jdf.queryExecution().executedPlan().toString()
+    both = _with_text(with_a, pairs, 2, texts, "b")
+    assert sorted((r.a, r.b) for r in both.where("packed_a <> packed_b").collect()) == [(1, 2), (1, 3)]
