@@ -4,7 +4,7 @@ import pytest
 
 from sieveline.llm.components import smallest_reachable
 from sieveline.llm.frames import ship_package
-from sieveline.llm.jaccard_join import _signed, keep_one_of_each_group, near_duplicate_groups
+from sieveline.llm.jaccard_join import _packed, _shared, _signed, keep_one_of_each_group, near_duplicate_groups
 from sieveline.llm.near_pairs import _with_text, packed_texts
 from texts import changed, documents, odd_texts, prose, words
 
@@ -96,3 +96,19 @@ def test_little_is_moved(spark):
     assert "LeftSemi" in with_a._jdf.queryExecution().executedPlan().toString()
     both = _with_text(with_a, pairs, 2, texts, "b")
     assert sorted((r.a, r.b) for r in both.where("packed_a <> packed_b").collect()) == [(1, 2), (1, 3)]
+
+
+def test_signatures_travel_packed(spark):
+    rng = random.Random(6)
+    texts = [prose(rng, 60) for _ in range(300)]
+    texts += [changed(rng, x, 0.02) for x in texts[:50]] + texts[:3]
+    docs = spark.createDataFrame([(i << 33, x) for i, x in enumerate(texts)] + [(0, texts[0]), (-5, texts[7])], "doc_id long, text string").repartition(3)
+    ship_package(spark)
+    signed = _signed(docs, 5).selectExpr("coalesce(sign, route) as sign", "doc_id").distinct().collect()
+    owners = {}
+    for r in signed:
+        owners.setdefault(r.sign, set()).add(r.doc_id)
+    got = _shared(docs, 5, 20_000).distinct().collect()
+    assert sorted(map(tuple, got)) == sorted((s, d) for s, ids in owners.items() if len(ids) > 1 for d in ids)
+    rows, most = _packed(docs, 5, 8).selectExpr("count(*)", "max(bucket)").first()
+    assert rows <= 3 * 8 and most == 7

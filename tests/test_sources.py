@@ -1,10 +1,12 @@
 """Readers on files as other tools write them."""
 
 import json
+import time
 
 from pyspark.sql import functions as F
 
 from sieveline.operators import reports, targets
+from sieveline.session import SHUFFLE_CLEANUP, cut_lineage
 from sieveline.sources import ledger as SL
 from sieveline.sources import proteins as SP
 from sieveline.sources import sinks
@@ -173,3 +175,19 @@ def test_folders_of_targets_are_listed_by_a_few_tasks(spark, tmp_path):
     assert 0 < sum(tracker.getStageInfo(i).numTasks for i in stages) <= 4 * context.defaultParallelism < 150
     assert spark.conf.get(setting) == before
     assert {tuple(r) for r in back.select("target", "ligand", "score").collect()} == {tuple(r) for r in hits.collect()}
+
+
+def test_written_step_leaves_no_shuffle_files(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    before = shuffled()
+    table = cut_lineage(spark.range(20_000).withColumn("key", F.xxhash64("id")).repartition(5, "key"))
+    for _ in range(50):  # files are removed in the background
+        left = shuffled() - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left and table.count() == 20_000
+    assert spark.conf.get(SHUFFLE_CLEANUP) == "false"
