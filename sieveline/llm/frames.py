@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one long each that may be broadcast: 16 bytes a row in a hashed relation, about 16 MB.
 BROADCAST_ROWS = 1_000_000
+#: Rows of two longs that may be: at most some 10 MB.
+BROADCAST_PAIRS = 200_000
 _SHIPPED: set[str] = set()
 
 
@@ -49,6 +51,11 @@ def _sized(ids: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(ids) if rows <= BROADCAST_ROWS else ids
 
 
+def sized(pairs: DataFrame, rows: int) -> DataFrame:
+    """``pairs``, rows of two longs, marked for broadcast only when they were counted to be few."""
+    return F.broadcast(pairs) if rows <= BROADCAST_PAIRS else pairs
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
     """Rows of ``docs`` whose doc_id is not in ``ids`` (one column, ``rows`` rows, counted before)."""
     other = ids.toDF("_gone")

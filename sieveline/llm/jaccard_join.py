@@ -12,7 +12,7 @@ Jaccard similarity of 0.8 or more. Nothing is sampled or capped:
    that text than with each other. Each class is compared with the hub that it meets most often. These
    links alone join most groups of near copies.
 4. Groups that still share a signature grow in rounds (``near_pairs``): hubs are chosen anew, each class of another group
-   is compared with one of them, and when most hubs are refused the pairs across groups that are not proven unlike are
+   is compared with a few of them, and when most hubs are refused the pairs across groups that are not proven unlike are
    compared, a few of each class and other group at a time.
 
 Step 4 makes the result exact: a pair is left out only if it is already connected, or proven to be unlike.

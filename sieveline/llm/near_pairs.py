@@ -2,7 +2,7 @@
 
 Candidates come as rows (key, doc_id, depth): documents with a common key may be alike. Groups are grown without listing
 the pairs of a key. In each round one document of every key that still holds several groups is its hub, and
-every document of another group is compared with one hub at most, the one it shares most with. What is found joins groups, so the
+every document of another group is compared with a few hubs at most, of the groups it shares most with. What is found joins groups, so the
 next round has fewer. When most hubs are refused, the pairs that lie across groups and may be alike are listed
 once, and of those only a few for each document and other group are compared at a time, since one link joins both
 groups. A pair is left out only if it is connected already, or proven unlike by its odd sketch: each element flips
@@ -24,7 +24,7 @@ from sieveline.operators.skew import sliced_join
 from sieveline.session import cut_lineage
 
 from .components import smallest_reachable
-from .frames import only_ids
+from .frames import BROADCAST_ROWS, only_ids, sized
 from .text_words import LOWER, NOT_SPACE, mix, row_groups, scan, shingle_keys
 
 #: Words of 64 bits in an odd sketch.
@@ -32,11 +32,11 @@ SKETCH = 16
 ODD = [f"odd_{i}" for i in range(SKETCH)]
 #: Hubs of a key are chosen in so many ways at a time, by the key.
 HUBS = 8
-#: Hubs of which the sketches are looked at, for each document and round.
+#: Hubs that a document is compared with in a round, each of another group.
 HUBS_TRIED = 3
 #: Rounds end when fewer than one comparison in so many finds a link, or fewer than one open group in ``RARE`` is joined.
 FEW = 16
-RARE = 100
+RARE = 25
 #: Rows of one key or document that are joined in one slice.
 SLICE_ROWS = 2_000
 
@@ -82,16 +82,17 @@ def odd_sketches(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def equal_sets(real: DataFrame) -> DataFrame:
-    """(doc_id, class_id): documents whose set another document with a smaller id has too."""
+    """(doc_id, class_id): documents whose set another document with a smaller id has too; a doc_id of several rows may be there often."""
     same = ["set_a", "set_b", "n_shingles"]
     classes = cut_lineage(real.groupBy(*same).agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
                           .where("copies > 1"), "classes")
-    return cut_lineage(real.join(classes, same).where("doc_id <> class_id").select("doc_id", "class_id").distinct(), "copies")
+    return cut_lineage(real.join(classes, same).where("doc_id <> class_id").select("doc_id", "class_id"), "copies")
 
 
 def spared_copies(real: DataFrame, copies: DataFrame) -> DataFrame:
     """Documents that are wholly stood for by another one with an equal set: those with one text only."""
-    several = real.select("doc_id", "set_a", "set_b").distinct().groupBy("doc_id").count().where("count > 1")
+    several = (real.groupBy("doc_id").agg(*(f(x).alias(f"{f.__name__}_{x}") for f in (F.min, F.max) for x in ("set_a", "set_b")))
+               .where("min_set_a <> max_set_a or min_set_b <> max_set_b"))
     return cut_lineage(copies.select("doc_id").distinct().join(several, "doc_id", "left_anti"), "spared")
 
 
@@ -116,7 +117,8 @@ def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def _with_text(joined: DataFrame, pairs: DataFrame, rows: int, texts: DataFrame, side: str) -> DataFrame:
     """``joined``, made of ``pairs``, with the text of one side; documents of more than ``SLICE_ROWS`` pairs are joined in slices."""
     # a text moves only if a pair has it
-    texts = only_ids(texts, pairs.select(side).distinct(), rows).toDF(side, f"packed_{side}")
+    ids = pairs.select(side)
+    texts = only_ids(texts, ids if rows <= BROADCAST_ROWS else ids.distinct(), rows).toDF(side, f"packed_{side}")
     if rows <= SLICE_ROWS:
         return joined.join(texts, side)
     hot = cut_lineage(pairs.groupBy(side).count().where(F.col("count") > SLICE_ROWS)
@@ -146,7 +148,7 @@ def similar_pairs(pairs: DataFrame, rows: int, texts: DataFrame, shingle: int, p
 
     pairs = pairs.select("a", "b")
     joined = _with_text(_with_text(pairs, pairs, rows, texts, "a"), pairs, rows, texts, "b").select("a", "b", "packed_a", "packed_b")
-    return cut_lineage(joined.mapInArrow(run, "a long, b long").distinct(), "links")
+    return cut_lineage(joined.mapInArrow(run, "a long, b long"), "links")
 
 
 @dataclass
@@ -165,6 +167,20 @@ class Groups:
     tried: DataFrame | None = None
     texts: DataFrame | None = None
     turn: int = field(default=0)
+    n_tried: int = field(default=0)
+
+    def __post_init__(self):
+        self.many = self.labels.count()
+
+    def _labelled(self, rows: DataFrame, doc: str = "doc_id", label: str = "label") -> DataFrame:
+        """``rows`` with the label of their column ``doc``."""
+        return rows.join(sized(self.labels.toDF(doc, label), self.many), doc)
+
+    def _untried(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (a, b, ...) that have not been compared either way round."""
+        if self.tried is None:
+            return pairs
+        return pairs.join(sized(self.tried, self.n_tried), (pairs["a"] == F.col("tried_a")) & (pairs["b"] == F.col("tried_b")), "left_anti")
 
     def _apart(self, a: str, b: str) -> Column:
         """How many bits the sketches of two sides differ in."""
@@ -182,11 +198,8 @@ class Groups:
 
     def _unlike_left_out(self, pairs: DataFrame) -> DataFrame:
         """``pairs`` (a, b, ...) that may be alike and have not been compared, with the bits they differ in."""
-        near = pairs.join(self._side("a"), "a").join(self._side("b"), "b").where(self._alike())
-        near = near.select(*pairs.columns, self._apart("a", "b").alias("apart"))
-        if self.tried is None:
-            return near
-        return near.join(self.tried, (near["a"] == F.col("tried_a")) & (near["b"] == F.col("tried_b")), "left_anti")
+        near = self._untried(pairs).join(self._side("a"), "a").join(self._side("b"), "b").where(self._alike())
+        return near.select(*pairs.columns, self._apart("a", "b").alias("apart"))
 
     def compare(self, pairs: DataFrame) -> tuple[int, int]:
         """Compare ``pairs`` (a, b) in full and join the groups that they link: the number of pairs and of links."""
@@ -196,46 +209,49 @@ class Groups:
             return 0, 0
         both = pairs.toDF("tried_a", "tried_b").unionByName(pairs.select(F.col("b").alias("tried_a"), F.col("a").alias("tried_b")))
         self.tried = both if self.tried is None else self.tried.unionByName(both)
+        self.n_tried += 2 * n
         texts = self.texts if self.texts is not None else packed_texts(self.docs, pairs.select("a").union(pairs.select("b")))
         links = similar_pairs(pairs, n, texts, self.shingle, self.percent)
         found = links.count()
         if found:
-            ends = (links.join(self.labels.toDF("a", "low"), "a").join(self.labels.toDF("b", "high"), "b")
-                    .where("low <> high").select(F.col("low").alias("a"), F.col("high").alias("b")).distinct())
-            lower = smallest_reachable(ends).toDF("label", "lower")
+            ends = (self._labelled(self._labelled(links, "a", "low"), "b", "high")
+                    .where("low <> high").select(F.col("low").alias("a"), F.col("high").alias("b")))
+            lower = sized(smallest_reachable(ends).toDF("label", "lower"), 2 * found)
             self.labels = cut_lineage(self.labels.join(lower, "label", "left").select("doc_id", F.coalesce("lower", "label").alias("label")), "labels")
         return n, found
 
     def _open(self, rows: DataFrame) -> DataFrame:
-        """``rows`` whose key holds several groups, with labels."""
-        members = cut_lineage(rows.join(self.labels, "doc_id"), "labelled")
-        mixed = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        return cut_lineage(members.join(mixed.select("key"), "key", "left_semi"), "open")
+        """``rows`` whose key holds several groups, with labels and the hub (doc_id, label) of their key in this turn."""
+        members = cut_lineage(self._labelled(rows), "labelled")
+        toss = F.xxhash64("doc_id", F.pmod("key", F.lit(HUBS)), F.lit(self.turn))
+        mixed = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"),
+                                           F.min_by(F.struct("doc_id", "label"), F.struct(toss, "doc_id")).alias("hub"))
+        return cut_lineage(members.join(mixed.where("low < high").select("key", "hub"), "key"), "open")
 
     def by_hubs(self, rows: DataFrame) -> DataFrame:
         """Grow groups along the keys of ``rows`` until few hubs are linked with anything; the rows that are still open.
 
-        Of the ``HUBS_TRIED`` hubs that share the deepest and most keys with it, a document takes the nearest by sketch.
+        A document is compared with up to ``HUBS_TRIED`` hubs of as many other groups, those that share the deepest and most keys with it.
         """
         self.texts = None
         while True:
+            self.turn += 1
             opened = self._open(rows)
-            rows = opened.drop("label")
-            apart = opened.select("label").distinct().count()
+            rows = opened.drop("label", "hub")
+            # near enough to tell when to stop
+            apart = opened.agg(F.approx_count_distinct("label")).first()[0]
             if not apart:
                 return rows
             if self.texts is None:  # only open documents are compared from here on
                 self.texts = packed_texts(self.docs, opened.select("doc_id"))
-            self.turn += 1
-            toss = F.xxhash64("doc_id", F.pmod("key", F.lit(HUBS)), F.lit(self.turn))
-            hubs = opened.groupBy("key").agg(F.min_by(F.struct("doc_id", "label"), F.struct(toss, "doc_id")).alias("hub"))
-            met = (opened.join(hubs, "key").where(F.col("label") != F.col("hub.label"))
-                   .groupBy(F.col("doc_id").alias("a"), F.col("hub.doc_id").alias("b")).agg(F.max("depth").alias("depth"), F.count(F.lit(1)).alias("keys")))
-            # few hubs for each document, before anything is joined to them
-            first = Window.partitionBy("a").orderBy(F.desc("depth"), F.desc("keys"), "b")
-            few = met.withColumn("place", F.row_number().over(first)).where(F.col("place") <= HUBS_TRIED).select("a", "b")
-            best = self._unlike_left_out(few).groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
-            n, found = self.compare(best)
+            # dealt once by document: its hubs are counted and put in order in one task, few of them before anything is joined
+            met = (opened.where(F.col("label") != F.col("hub.label"))
+                   .select(F.col("doc_id").alias("a"), F.col("hub.doc_id").alias("b"), F.col("hub.label").alias("other"), "depth").repartition("a")
+                   .groupBy("a", "other", "b").agg(F.max("depth").alias("depth"), F.count(F.lit(1)).alias("keys"))
+                   .groupBy("a", "other").agg(F.min(F.struct((-F.col("depth")).alias("depth"), (-F.col("keys")).alias("keys"), "b")).alias("best")))
+            first = Window.partitionBy("a").orderBy("best")
+            few = met.withColumn("place", F.row_number().over(first)).where(F.col("place") <= HUBS_TRIED).select("a", F.col("best.b").alias("b"))
+            n, found = self.compare(self._unlike_left_out(few))
             if FEW * found <= n or RARE * found <= apart:
                 return rows
 
@@ -250,11 +266,9 @@ class Groups:
         condition = (F.col("a_doc_id") < F.col("b_doc_id")) & (F.col("a_label") != F.col("b_label")) & self._alike()
         met = sliced_join(one, two, ["key"], condition, SLICE_ROWS)
         left = met.select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b"), self._apart("a", "b").alias("apart")).distinct()
-        if self.tried is not None:
-            left = left.join(self.tried, (left["a"] == F.col("tried_a")) & (left["b"] == F.col("tried_b")), "left_anti")
-        left, at_once = cut_lineage(left, "across"), 1
+        left, at_once = cut_lineage(self._untried(left), "across"), 1
         while True:
-            now = (left.join(self.labels.toDF("a", "a_label"), "a").join(self.labels.toDF("b", "b_label"), "b").where("a_label <> b_label"))
+            now = self._labelled(self._labelled(left, "a", "a_label"), "b", "b_label").where("a_label <> b_label")
             nearest = Window.partitionBy("a", "b_label").orderBy("apart", "b")
             ranked = cut_lineage(now.withColumn("place", F.row_number().over(nearest)).select("a", "b", "apart", "place"), "ranked")
             if not self.compare(ranked.where(F.col("place") <= at_once))[0]:
