@@ -1,6 +1,7 @@
 """Distributed joins, orderings and clusters against straightforward loops, with hot keys forced."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -236,6 +237,19 @@ def test_plan_totals_without_pairs(spark):
     assert "ligand#" not in plan  # no ligand is left where targets are repeated
 
 
+def test_rows_of_a_plan_are_formed_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ledger, "ROWS_PER_TASK", 30, raising=False)
+    targets = spark.createDataFrame([(i,) for i in range(100)] + [(7,)], "target long").coalesce(1)
+    batches = spark.createDataFrame([(i, i // 4) for i in range(10)], "ligand long, batch_id int")
+    totals = ledger.plan_totals(targets, batches).withColumn("task", F.spark_partition_id()).collect()
+    sizes = Counter(r.task for r in totals)
+    assert len(sizes) > 5 and max(sizes.values()) < 100  # 303 / 30 tasks, not the one that holds the targets
+    got = {(r.target, r.batch_id): (r.n_pairs, r.ligand_sum) for r in totals}
+    ones = [(4, 6), (4, 22), (2, 17)]
+    assert len(totals) == 300
+    assert got == {(t, b): tuple(x * (2 if t == 7 else 1) for x in ones[b]) for t in range(100) for b in range(3)}
+
+
 def test_annotation_tables_are_not_broadcast(spark):
     for name in ("fill_annotation", "annotation_report"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
