@@ -250,6 +250,34 @@ def test_rows_of_a_plan_are_formed_in_many_tasks(spark, monkeypatch):
     assert got == {(t, b): tuple(x * (2 if t == 7 else 1) for x in ones[b]) for t in range(100) for b in range(3)}
 
 
+def test_plan_counts_moves_only_settled_pairs(spark, monkeypatch):
+    monkeypatch.setattr(ledger, "ROWS_PER_TASK", 30, raising=False)
+    rng = random.Random(5)
+    ids = [*range(20), 7, None]  # one target twice, one unknown, targets 20 to 24 are not asked for
+    ligands = [(i, i // 6) for i in range(60) if i // 6 != 4]  # batch 4 is missing
+    pairs = [(rng.choice([*range(3, 25), None]), rng.choice([*range(70), None])) for _ in range(300)]
+    pairs += [(3, i) for i in range(60)]
+    targets = spark.createDataFrame([(i,) for i in ids], "target long")
+    batches = spark.createDataFrame(ligands, "ligand long, batch_id int")
+    left = ledger.plan_counts(targets, batches, spark.createDataFrame(pairs, "target long, ligand long"))
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("Generate explode")]  # nothing is shuffled or sorted once the batches are formed
+    assert "Sort" not in above and "Exchange" not in above
+    assert [f.dataType.simpleString() for f in left.schema] == ["bigint", "int", "bigint", "bigint", "bigint"]
+    known = {p for p in pairs if None not in p}
+    want = {}
+    for t in ids:
+        for c, b in ligands:
+            n, done = want.get((t, b), (0, 0))
+            want[t, b] = n + 1, done + ((t, c) in known)
+    rows = left.collect()
+    assert len(rows) == len(want) == 21 * 9
+    assert {(r.target, r.batch_id): (r.n_ligands, r.n_done) for r in rows} == want
+    assert all(r.n_pending == r.n_ligands - r.n_done for r in rows)
+    assert left.select(F.spark_partition_id().alias("task")).distinct().count() > 3
+    assert ledger.plan_counts(targets, batches.limit(0), targets.select("target", F.lit(1).cast("long").alias("ligand"))).count() == 0
+
+
 def test_annotation_tables_are_not_broadcast(spark):
     for name in ("fill_annotation", "annotation_report"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
